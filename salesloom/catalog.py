@@ -126,6 +126,7 @@ _add("orders_page", partial(listings.orders_page, page=1, limit=20))
 _add("orders_page_search", partial(listings.orders_page, text=TEXT, page=3, limit=20))
 _add("orders_page_filtered", partial(listings.orders_page, page=2, limit=50, flt=FILTERED))
 for _kind in ("products", "customers", "locations"):
+    _add(f"{_kind}_rollup", getattr(listings, f"{_kind}_rollup"))
     _add(f"join_left_{_kind}", getattr(listings, f"{_kind}_rollup"))
     _add(f"{_kind}_page", partial(getattr(listings, f"{_kind}_page"), page=2, limit=20))
 _add("products_search", partial(listings.products_rollup, text="RED"))
@@ -142,7 +143,7 @@ def _far_page(star):
     return listings.far_page(frame, listings._order(frame, "order_date"), 3000, 50)
 
 
-@query("orders_keyset_page")
+@query("products_keyset_page")
 def _keyset_page(star):
     """Second page of products, reached from the last row of the first."""
     frame = listings.products_rollup(star)
@@ -306,8 +307,8 @@ _fitted: dict[tuple, training.Model] = {}
 
 def fitted(star: Star, task: str, trees: int = TREES) -> training.Model:
     """A model per session and source, fitted on first use."""
-    orders = star.tables["orders"]
-    key = (orders.sparkSession.sparkContext.applicationId, tuple(orders.inputFiles()), task, trees)
+    session = star.tables["orders"].sparkSession
+    key = (session.sparkContext.applicationId, star.origin, task, trees)
     if key not in _fitted:
         _fitted[key] = training.train_on_star(star, task, trees)
     return _fitted[key]
@@ -338,8 +339,10 @@ def _save_load(star):
     path = _scratch(spark, "model")
     training.save_model(model, path, spark)
     loaded = training.load_model(spark, path)
-    scored = scoring.score_classify(star_transactions(star), loaded)
-    return scored.groupBy("classification.prediction").agg(F.count(F.lit(1)).alias("line_count"))
+    frame = features.features_profit(star_transactions(star))
+    both = scoring.predicted(loaded, scoring.predicted(model, frame, "saved_"), "loaded_")
+    same = F.col("saved_probabilities") == F.col("loaded_probabilities")
+    return both.groupBy(same.alias("same_result")).agg(F.count(F.lit(1)).alias("line_count"))
 
 
 _add("score_classify", lambda star: scoring.score_classify(star_transactions(star), fitted(star, "profit_class")))
@@ -455,7 +458,6 @@ def _score_stream(star):
     _flawed(star).write.json(source)
     model = fitted(star, "profit_class")
     score_stream(spark, source, {"profit_class": model}, out).awaitTermination()
-    scored = spark.read.parquet(f"{out}/scored").groupBy(F.col("classification.prediction").alias("outcome"))
-    rejected = spark.read.parquet(f"{out}/rejected").groupBy(F.explode("reasons").alias("outcome"))
-    count = F.count(F.lit(1)).alias("record_count")
-    return scored.agg(count).unionByName(rejected.agg(count))
+    scored = spark.read.parquet(f"{out}/scored").select(F.lit("scored").alias("outcome"))
+    rejected = spark.read.parquet(f"{out}/rejected").select(F.explode("reasons").alias("outcome"))
+    return scored.unionByName(rejected).groupBy("outcome").agg(F.count(F.lit(1)).alias("record_count"))

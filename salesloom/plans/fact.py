@@ -8,6 +8,8 @@ into a plain count, and leaves the join with unique keys on both sides.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -96,25 +98,37 @@ def lines(
 # --- Measures -------------------------------------------------------------
 # Each partial is a sum or a count, so partials of any grain merge by summing.
 
-PARTIALS: dict[str, tuple[tuple[str, ...], Column]] = {}
+def _sum(name: str) -> Callable[[], Column]:
+    return lambda: F.sum(name)
+
 
+def _count(name: str) -> Callable[[], Column]:
+    return lambda: F.count(name)
 
-def _define() -> None:
-    for name in ("sales", "profit", "shipping_cost", "discount"):
-        PARTIALS[name] = ((name,), F.sum(name))
-    PARTIALS["quantity"] = (("quantity",), F.sum("quantity"))
-    for name in ("sales", "discount", "quantity"):
-        PARTIALS[f"{name}_n"] = ((name,), F.count(name))
-    # Amounts rounded per line first, as the listing shows them.
-    for name in ("sales", "profit", "shipping_cost"):
-        PARTIALS[f"{name}_listed"] = ((name,), F.sum(F.round(name, 2)))
-    PARTIALS["price"] = (("sales", "quantity"), F.sum(unit_price()))
-    PARTIALS["price_n"] = (("sales", "quantity"), F.count(unit_price()))
-    PARTIALS["items"] = (("row_id",), F.count("row_id"))
-    PARTIALS["line_count"] = ((), F.count(F.lit(1)))
 
+def _sum_listed(name: str) -> Callable[[], Column]:
+    """Sum of amounts rounded per line first, as the listing shows them."""
+    return lambda: F.sum(F.round(name, 2))
 
-_define()
+
+# Measure -> (line columns it reads, its partial aggregate).
+PARTIALS: dict[str, tuple[tuple[str, ...], Callable[[], Column]]] = {
+    "sales": (("sales",), _sum("sales")),
+    "profit": (("profit",), _sum("profit")),
+    "shipping_cost": (("shipping_cost",), _sum("shipping_cost")),
+    "discount": (("discount",), _sum("discount")),
+    "quantity": (("quantity",), _sum("quantity")),
+    "sales_n": (("sales",), _count("sales")),
+    "discount_n": (("discount",), _count("discount")),
+    "quantity_n": (("quantity",), _count("quantity")),
+    "sales_listed": (("sales",), _sum_listed("sales")),
+    "profit_listed": (("profit",), _sum_listed("profit")),
+    "shipping_cost_listed": (("shipping_cost",), _sum_listed("shipping_cost")),
+    "price": (("sales", "quantity"), lambda: F.sum(unit_price())),
+    "price_n": (("sales", "quantity"), lambda: F.count(unit_price())),
+    "items": (("row_id",), _count("row_id")),
+    "line_count": ((), lambda: F.count(F.lit(1))),
+}
 
 
 def measure_inputs(measures) -> list[str]:
@@ -122,7 +136,7 @@ def measure_inputs(measures) -> list[str]:
 
 
 def partials(measures) -> list[Column]:
-    return [PARTIALS[m][1].alias(m) for m in measures]
+    return [PARTIALS[m][1]().alias(m) for m in measures]
 
 
 def merged(measures) -> list[Column]:
@@ -145,19 +159,19 @@ def order_totals(star: Star, measures, columns=(), flt: Filter = NO_FILTER, thro
 
 # --- Output measures ------------------------------------------------------
 
-OUTPUTS: dict[str, Column] = {
-    "sales": money("sales"),
-    "profit": money("profit"),
-    "quantity": F.col("quantity").cast("double"),
-    "avg_unit_price": rounded(ratio("price", "price_n"), 2),
-}
-
 BASIC = ("sales", "profit", "quantity")
 PRICED = (*BASIC, "price", "price_n")
 
 
 def shown(*names: str) -> list[Column]:
-    return [OUTPUTS[n].alias(n) for n in names]
+    """Summed measures as they are handed out, under their own names."""
+    output = {
+        "sales": lambda: money("sales"),
+        "profit": lambda: money("profit"),
+        "quantity": lambda: F.col("quantity").cast("double"),
+        "avg_unit_price": lambda: rounded(ratio("price", "price_n"), 2),
+    }
+    return [output[n]().alias(n) for n in names]
 
 
 def ranked(frame: DataFrame, lead: str, limit: int | None = None) -> DataFrame:

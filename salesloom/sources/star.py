@@ -82,6 +82,7 @@ class Star:
     tables: dict[str, DataFrame]
     derived: dict[str, Derived] = field(default_factory=dict)
     header_lookups: dict[str, DataFrame] = field(default_factory=dict)
+    origin: str = ""
 
     def closure(self, columns) -> set[str]:
         """The columns with the inputs of every derived one added."""
@@ -119,7 +120,7 @@ def load_star(spark: SparkSession, path: str, kind: str = "parquet", **options)
             reader = reader.option("header", True)
         loaded = reader.option("dbtable", table).load() if kind == "jdbc" else reader.load(f"{path}/{table}")
         tables[table] = conform(loaded, table)
-    return Star(tables)
+    return Star(tables, origin=path)
 
 
 def star_of(**tables: DataFrame) -> Star:

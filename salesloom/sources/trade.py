@@ -123,4 +123,5 @@ def trade_star(spark: SparkSession, path: str) -> Star:
             "location_id": Derived(("customer_id", "nation_key"), home.cast("bigint")),
         },
         header_lookups={"ship_date": _ship_dates(line)},
+        origin=path,
     )
