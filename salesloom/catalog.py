@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable
 from functools import partial
 
@@ -15,7 +14,7 @@ from salesloom.operators import evaluation, features, geography, listings, rollu
 from salesloom.plans.bundles import dashboard_summary, region_drilldown, tidy
 from salesloom.plans.fact import line_fact
 from salesloom.plans.filters import Filter, preset_window
-from salesloom.session import shared_folder
+from salesloom.session import scratch_path
 from salesloom.sources.export import export_csv, write_star
 from salesloom.sources.star import Star, load_star
 from salesloom.sources.trade import trade_star
@@ -49,11 +48,6 @@ def _add(name: str, function: Callable[[Star], DataFrame]) -> None:
     query(name)(function)
 
 
-def _scratch(spark: SparkSession, name: str) -> str:
-    """A fresh place in the shared folder for what a query writes and reads."""
-    return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
-
-
 # --- Fact, KPIs and rollups -----------------------------------------------
 
 
@@ -112,7 +106,7 @@ _add("region_drilldown", lambda star: tidy(region_drilldown(star, REGION)))
 def _stored_star(star):
     """The star written as five tables once, then queried from them."""
     spark = star.tables["orders"].sparkSession
-    path = _scratch(spark, "star")
+    path = scratch_path(spark, "star")
     write_star(star, path)
     return rollups.kpi(load_star(spark, path), FILTERED)
 
@@ -178,7 +172,7 @@ def _order_date_texts(star):
 def _export(star):
     rows = listings.customers_rollup(star)
     spark = rows.sparkSession
-    path = _scratch(spark, "csv")
+    path = scratch_path(spark, "csv")
     export_csv(rows, path)
     return spark.read.schema(rows.schema).option("header", True).option("escape", '"').csv(path)
 
@@ -208,7 +202,7 @@ _add("step_day", partial(geography.stepped_days, delta=7, low="1996-01-01", high
 def _read_transactions(star):
     records = star_transactions(star)
     spark = records.sparkSession
-    path = _scratch(spark, "json")
+    path = scratch_path(spark, "json")
     records.write.json(path)
     read = read_transactions(spark, path, "profit", "json")
     return read.groupBy("segment", "ship_mode").agg(
@@ -336,7 +330,7 @@ _add("decision_factors", lambda star: training.decision_factors(fitted(star, "pr
 def _save_load(star):
     model = fitted(star, "profit_class")
     spark = star.tables["orders"].sparkSession
-    path = _scratch(spark, "model")
+    path = scratch_path(spark, "model")
     training.save_model(model, path, spark)
     loaded = training.load_model(spark, path)
     frame = features.features_profit(star_transactions(star))
@@ -454,7 +448,7 @@ for _part in ("holdout", "training"):
 def _score_stream(star):
     """All transactions as files, scored by the streaming job."""
     spark = star.tables["orders"].sparkSession
-    source, out = _scratch(spark, "incoming"), _scratch(spark, "outgoing")
+    source, out = scratch_path(spark, "incoming"), scratch_path(spark, "outgoing")
     _flawed(star).write.json(source)
     model = fitted(star, "profit_class")
     score_stream(spark, source, {"profit_class": model}, out).awaitTermination()

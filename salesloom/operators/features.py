@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass, field
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from salesloom.functions.numeric import ratio_or_zero
@@ -196,10 +196,11 @@ def label_profit(profit="profit") -> Column:
 
 def class_weights(frame: DataFrame, label: str) -> DataFrame:
     """Balanced weight per class: lines / (classes * lines of the class)."""
-    counts = frame.groupBy(label).agg(F.count(F.lit(1)).alias("line_count")).withColumn("_one", F.lit(1))
-    whole = counts.groupBy("_one").agg(F.sum("line_count").alias("_n"), F.count(F.lit(1)).alias("_k"))
-    weight = F.col("_n").cast("double") / (F.col("_k") * F.col("line_count")).cast("double")
-    return counts.join(whole, "_one").select(label, "line_count", weight.alias("weight"))
+    counts = frame.groupBy(label).agg(F.count(F.lit(1)).alias("line_count"))
+    every = Window.partitionBy()  # over one row per class
+    whole, classes = F.sum("line_count").over(every), F.count(F.lit(1)).over(every)
+    weight = whole.cast("double") / (classes * F.col("line_count")).cast("double")
+    return counts.select(label, "line_count", weight.alias("weight"))
 
 
 # --- Validation -----------------------------------------------------------

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from salesloom.functions.numeric import ratio_or_zero
@@ -113,27 +113,29 @@ def country_shipmode(star: Star, country: str, window=None, day=None) -> DataFra
 
     newest = F.max(F.struct("order_date", "ship_mode"))["ship_mode"]
     by_raw_id = orders.groupBy("order_id_raw").agg(newest.alias("ship_mode"))
-    counts = by_raw_id.groupBy("ship_mode").agg(F.count(F.lit(1)).alias("orders"))
-    sums = orders.groupBy("ship_mode").agg(
-        F.sum("sales_listed").cast("double").alias("sales"),
-        F.sum("shipping_cost_listed").cast("double").alias("shipping"),
-    )
-    whole = counts.agg(F.sum("orders").alias("all_orders")).withColumn("_one", F.lit(1))
 
-    modes = F.explode(F.array(*[F.lit(m) for m in SHIP_MODES])).alias("ship_mode")
+    def per_mode(frame: DataFrame, **measures) -> DataFrame:
+        mode = F.when(F.col("ship_mode").isin(*SHIP_MODES), F.col("ship_mode")).alias("ship_mode")
+        return frame.groupBy(mode).agg(*[m.alias(n) for n, m in measures.items()])
+
+    # Five rows at most: the listed modes, and all others together.
+    listed = orders.sparkSession.range(1).select(F.explode(F.array(*[F.lit(m) for m in SHIP_MODES])).alias("ship_mode"))
     rows = (
-        orders.sparkSession.range(1)
-        .select(modes, F.lit(1).alias("_one"))
-        .join(counts, "ship_mode", "left")
-        .join(sums, "ship_mode", "left")
-        .join(whole, "_one", "left")
+        listed.unionByName(per_mode(by_raw_id, orders=F.count(F.lit(1))), allowMissingColumns=True)
+        .unionByName(
+            per_mode(orders, sales=F.sum("sales_listed"), shipping=F.sum("shipping_cost_listed")),
+            allowMissingColumns=True,
+        )
+        .groupBy("ship_mode")
+        .agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("orders", "sales", "shipping")])
+        .withColumn("all_orders", F.sum("orders").over(Window.partitionBy()))
     )
-    return rows.select(
+    return rows.where("ship_mode IS NOT NULL").select(
         "ship_mode",
-        F.coalesce("orders", F.lit(0)).alias("orders"),
-        F.coalesce("sales", F.lit(0.0)).alias("sales"),
-        F.coalesce("shipping", F.lit(0.0)).alias("shipping"),
-        ratio_or_zero(F.coalesce("orders", F.lit(0)), "all_orders", 100.0).alias("order_share_pct"),
+        "orders",
+        F.col("sales").cast("double").alias("sales"),
+        F.col("shipping").cast("double").alias("shipping"),
+        ratio_or_zero("orders", "all_orders", 100.0).alias("order_share_pct"),
     )
 
 

@@ -75,12 +75,13 @@ def far_page(frame: DataFrame, order: list[Column], offset: int, size: int) -> D
         .withColumn("_row", F.col("_place").bitwiseAND(F.lit((1 << 33) - 1)))
         .checkpoint()
     )
-    # One row per partition of the sort, however many rows the listing has.
+    # One row per partition of the sort, however many rows the listing has, so
+    # the window and the broadcast below are bounded by the partition count.
     sizes = numbered.groupBy("_part").agg(F.count(F.lit(1)).alias("_size"))
     before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
     starts = sizes.select("_part", F.coalesce(F.sum("_size").over(before), F.lit(0)).alias("_start"))
     position = F.col("_start") + F.col("_row")
-    picked = numbered.join(starts, "_part").where((position >= offset) & (position < offset + size))
+    picked = numbered.join(F.broadcast(starts), "_part").where((position >= offset) & (position < offset + size))
     return picked.orderBy(position).select(*columns)
 
 

@@ -240,17 +240,19 @@ def what_if_grid(records: DataFrame, step: int = 1) -> DataFrame:
 
 
 def _swept(records: DataFrame, regressor: Model, step: int) -> DataFrame:
-    features = features_for("profit", what_if_grid(distinct_inputs(records), step))
-    return predicted(regressor, features)
+    return predicted(regressor, features_for("profit", what_if_grid(records, step)))
 
 
 def what_if_curve(records: DataFrame, regressor: Model, step: int = 1) -> DataFrame:
-    """Projected profit over all transactions at each discount."""
-    total = F.sum(F.col("prediction") * F.col("occurrences"))
+    """Projected profit over all transactions at each discount.
+
+    The sweep is summed where it is made: what is shuffled is one row per
+    discount and task, not the multiplied transactions.
+    """
     rows = _swept(records, regressor, step).groupBy("discount_pct")
     return rows.agg(
-        F.sum("occurrences").alias("transactions"),
-        rounded(total / F.sum("occurrences"), 2).alias("avg_estimated_profit"),
+        F.count(F.lit(1)).alias("transactions"),
+        rounded(F.avg("prediction"), 2).alias("avg_estimated_profit"),
     ).orderBy("discount_pct")
 
 
@@ -262,7 +264,7 @@ def what_if_best(records: DataFrame, regressor: Model, step: int = 1) -> DataFra
     lower discount.
     """
     keys = [c if c != "discount" else "given_discount" for c in _INPUTS]
-    swept = features_kept(_swept(records, regressor, step))
+    swept = _swept(distinct_inputs(records), regressor, step)
     best = swept.groupBy(*keys, "occurrences").agg(
         F.max(F.struct(F.col("prediction"), (-F.col("discount_pct")).alias("rank"))).alias("best")
     )
@@ -273,7 +275,3 @@ def what_if_best(records: DataFrame, regressor: Model, step: int = 1) -> DataFra
         rounded("best.prediction", 2).alias("estimated_profit"),
     )
 
-
-def features_kept(swept: DataFrame) -> DataFrame:
-    keys = [c if c != "discount" else "given_discount" for c in _INPUTS]
-    return swept.select(*keys, "occurrences", "discount_pct", "prediction")

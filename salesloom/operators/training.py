@@ -12,7 +12,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from salesloom.operators.features import (
+    NUMERIC,
     Encoder,
+    categories_of,
     class_weights,
     features_priority,
     features_profit,
@@ -22,7 +24,7 @@ from salesloom.operators.features import (
     label_urgent,
 )
 from salesloom.plans.filters import NO_FILTER, Filter
-from salesloom.session import shared_folder
+from salesloom.session import stored
 from salesloom.sources.star import Star
 from salesloom.sources.transactions import star_transactions
 
@@ -106,13 +108,16 @@ def train(task: str, features: DataFrame, trees: int | None = None) -> Model:
     """Fit one of ``TASKS`` on a labelled feature frame."""
     if task not in TASKS:
         raise ValueError(f"unknown task {task!r}")
-    # Boosting cuts its lineage every few trees in the shared folder.
-    shared_folder(features.sparkSession)
+    # Vocabulary, scaler, weights and the fit each read the features: the joins
+    # behind them run once, and a lost executor costs a read, not a re-join.
+    # Boosting cuts its own lineage every few trees in the same folder.
+    features = stored(features.select(*NUMERIC, *categories_of(kind_of(task)), "label"), f"train-{task}")
     encoder = fit_encoder(features, kind_of(task))
     ready = with_vector(features, encoder).select("features", "label")
     if task == "priority":
-        # One row per class, so this side of the join is bounded by the labels.
-        ready = ready.join(class_weights(ready, "label").select("label", "weight"), "label")
+        # One row per class: the four labels bound what is broadcast.
+        weights = class_weights(ready, "label").select("label", "weight")
+        ready = ready.join(F.broadcast(weights), "label")
     fitted = Pipeline(stages=[_estimator(task, trees)]).fit(ready)
     return Model(task, encoder, fitted)
 

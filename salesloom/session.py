@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 # Runtime re-planning does the skew work: a hot product or customer splits
 # into several join tasks, and broadcasts happen only below the size threshold.
@@ -43,3 +44,16 @@ def shared_folder(spark: SparkSession) -> str:
         context.setCheckpointDir(configured or tempfile.mkdtemp(prefix="salesloom-"))
         current = context.getCheckpointDir()
     return configured or current
+
+
+def scratch_path(spark: SparkSession, name: str) -> str:
+    """A path of its own in the shared folder."""
+    return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def stored(frame: DataFrame, name: str) -> DataFrame:
+    """The frame written once to the shared folder and read from there."""
+    spark = frame.sparkSession
+    path = scratch_path(spark, name)
+    frame.write.parquet(path)
+    return spark.read.schema(frame.schema).parquet(path)

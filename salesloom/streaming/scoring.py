@@ -44,8 +44,12 @@ def score_stream(
     fmt: str = "json",
     checkpoint: str | None = None,
     files_per_batch: int | None = None,
+    every: str | None = None,
 ) -> StreamingQuery:
-    """Score the files arriving in ``source`` to ``out/scored`` and ``out/rejected``."""
+    """Score the files arriving in ``source`` to ``out/scored`` and ``out/rejected``.
+
+    Stops after the files at hand unless ``every`` names a trigger interval.
+    """
     kind, _ = scorer(models)
     records = stream_transactions(spark, source, kind, fmt, files_per_batch)
 
@@ -58,6 +62,6 @@ def score_stream(
     return (
         records.writeStream.foreachBatch(write)
         .option("checkpointLocation", place)
-        .trigger(availableNow=True)
+        .trigger(**({"processingTime": every} if every else {"availableNow": True}))
         .start()
     )
