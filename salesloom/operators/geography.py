@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from salesloom.functions.numeric import ratio_or_zero
 from salesloom.functions.text import day_text
-from salesloom.plans.fact import headers, lines, merged, order_totals
+from salesloom.plans.fact import headers, lines, order_totals, totalled
 from salesloom.plans.filters import NO_FILTER, Filter, in_window, on_day, step_day_column
 from salesloom.sources.star import Star
 
@@ -83,7 +83,7 @@ def _country_orders(star: Star, country: str, window=None, day=None, columns=())
 def country_stats(star: Star, country: str, window=None, day=None) -> DataFrame:
     """One row of panel metrics; all zero when nothing matches."""
     orders = _country_orders(star, country, window, day)
-    total = orders.agg(*merged(_LISTED), F.count_distinct("order_id_raw").alias("orders"))
+    total = orders.agg(*totalled(_LISTED), F.count_distinct("order_id_raw").alias("orders"))
     sums = total.select(
         *[
             F.coalesce(F.col(f"{c}_listed").cast("double"), F.lit(0.0)).alias(c)
@@ -114,27 +114,25 @@ def country_shipmode(star: Star, country: str, window=None, day=None) -> DataFra
     newest = F.max(F.struct("order_date", "ship_mode"))["ship_mode"]
     by_raw_id = orders.groupBy("order_id_raw").agg(newest.alias("ship_mode"))
 
-    def per_mode(frame: DataFrame, **measures) -> DataFrame:
+    def per_mode(frame: DataFrame, *measures) -> DataFrame:
         mode = F.when(F.col("ship_mode").isin(*SHIP_MODES), F.col("ship_mode")).alias("ship_mode")
-        return frame.groupBy(mode).agg(*[m.alias(n) for n, m in measures.items()])
+        return frame.groupBy(mode).agg(*measures)
 
+    amounts = ("sales_listed", "shipping_cost_listed")
     # Five rows at most: the listed modes, and all others together.
     listed = orders.sparkSession.range(1).select(F.explode(F.array(*[F.lit(m) for m in SHIP_MODES])).alias("ship_mode"))
     rows = (
-        listed.unionByName(per_mode(by_raw_id, orders=F.count(F.lit(1))), allowMissingColumns=True)
-        .unionByName(
-            per_mode(orders, sales=F.sum("sales_listed"), shipping=F.sum("shipping_cost_listed")),
-            allowMissingColumns=True,
-        )
+        listed.unionByName(per_mode(by_raw_id, F.count(F.lit(1)).alias("orders")), allowMissingColumns=True)
+        .unionByName(per_mode(orders, *totalled(amounts)), allowMissingColumns=True)
         .groupBy("ship_mode")
-        .agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("orders", "sales", "shipping")])
+        .agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("orders", *amounts)])
         .withColumn("all_orders", F.sum("orders").over(Window.partitionBy()))
     )
     return rows.where("ship_mode IS NOT NULL").select(
         "ship_mode",
         "orders",
-        F.col("sales").cast("double").alias("sales"),
-        F.col("shipping").cast("double").alias("shipping"),
+        F.col("sales_listed").cast("double").alias("sales"),
+        F.col("shipping_cost_listed").cast("double").alias("shipping"),
         ratio_or_zero("orders", "all_orders", 100.0).alias("order_share_pct"),
     )
 

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from salesloom.functions.numeric import money, percent, ratio, rounded
 from salesloom.functions.text import day_text, search
-from salesloom.plans.fact import headers, line_totals, lines, merged, order_totals, partials
+from salesloom.plans.fact import headers, line_partials, line_totals, lines, order_totals, totalled
 from salesloom.plans.filters import NO_FILTER, Filter
 from salesloom.session import shared_folder
 from salesloom.sources.star import LOCATION_COLUMNS, Star
@@ -139,28 +139,36 @@ def _listing_lines(star: Star, text: str | None, flt: Filter, extra=()) -> DataF
     return search(frame, text, SEARCHED["orders"])
 
 
-def orders_listing(star: Star, text: str | None = None, flt: Filter = NO_FILTER) -> DataFrame:
-    """Order lines as listed: 19 columns, money to cents, discount in percent."""
-    needed = [
-        "order_id_raw", "customer_name", "segment", "category", "sub_category", "product_name",
-        "sales", "profit", "discount", "quantity", "shipping_cost", "ship_mode", "order_priority",
-        "order_date", "ship_date", "city", "country", "market", "region",
-    ]
+# Listed columns in order, amounts as the whole numbers they are stored as.
+_LISTED = (
+    "order_id_raw", "customer_name", "segment", "category", "sub_category", "product_name",
+    "sales_units", "profit_units", "discount_units", "quantity", "shipping_cost_units", "ship_mode",
+    "order_priority", "order_date", "ship_date", "city", "country", "market", "region",
+)
+
+
+def _shown_lines(frame: DataFrame) -> DataFrame:
+    """Money to cents, discount in percent, dates as ISO days."""
+
+    def amount(name: str) -> Column:
+        return F.col(f"{name}_units").cast("decimal(18,0)") * F.lit("0.0001").cast("decimal(4,4)")
+
     shaped = {
-        "sales": money("sales"),
-        "profit": money("profit"),
-        "discount": F.round(F.col("discount") * 100, 1).cast("double").alias("discount_pct"),
-        "shipping_cost": money("shipping_cost"),
-        "order_date": day_text("order_date"),
-        "ship_date": day_text("ship_date"),
+        **{f"{name}_units": money(amount(name)).alias(name) for name in ("sales", "profit", "shipping_cost")},
+        "discount_units": F.round(amount("discount") * 100, 1).cast("double").alias("discount_pct"),
+        **{name: day_text(name).alias(name) for name in ("order_date", "ship_date")},
     }
-    names = {"discount": "discount_pct"}
-    frame = _listing_lines(star, text, flt, needed)
-    return frame.select(*[shaped.get(c, F.col(c)).alias(names.get(c, c)) for c in needed])
+    return frame.select(*[shaped.get(c, F.col(c)) for c in _LISTED])
+
+
+def orders_listing(star: Star, text: str | None = None, flt: Filter = NO_FILTER) -> DataFrame:
+    """Order lines as listed: 19 columns."""
+    return _shown_lines(_listing_lines(star, text, flt, _LISTED))
 
 
 def orders_page(star: Star, text=None, page=None, limit=None, flt: Filter = NO_FILTER) -> DataFrame:
-    return page_of(orders_listing(star, text, flt), "order_date", page, limit)
+    """Newest lines first; only the rows of the page are formatted."""
+    return _shown_lines(page_of(_listing_lines(star, text, flt, _LISTED), "order_date", page, limit))
 
 
 # --- Products, customers, locations ---------------------------------------
@@ -190,16 +198,9 @@ def _names(star: Star, table: str) -> list[str]:
 
 def _orders_with_sums(star: Star, key: str, measures) -> DataFrame:
     """Per header key: orders, with or without lines, and the sums of lines."""
-    needed = ["order_key", *dict.fromkeys(c for m in measures for c in _inputs(m))]
-    per_order = lines(star, needed, through=()).groupBy("order_key").agg(*partials(measures))
+    per_order = line_partials(star, ["order_key"], measures, through=())
     kept = headers(star, [key]).join(per_order, "order_key", "left")
-    return kept.groupBy(key).agg(F.count("order_key").alias("total_orders"), *merged(measures))
-
-
-def _inputs(measure: str) -> tuple[str, ...]:
-    from salesloom.plans.fact import PARTIALS
-
-    return PARTIALS[measure][0]
+    return kept.groupBy(key).agg(F.count("order_key").alias("total_orders"), *totalled(measures))
 
 
 def customers_rollup(star: Star, text: str | None = None) -> DataFrame:

@@ -27,7 +27,19 @@ from salesloom.functions.text import (
     percent_text,
     profit_level,
 )
-from salesloom.plans.fact import BASIC, PRICED, line_totals, lines, merged, order_totals, ranked, shown
+from salesloom.plans.fact import (
+    BASIC,
+    PRICED,
+    carried,
+    headers,
+    line_partials,
+    line_totals,
+    lines,
+    order_totals,
+    ranked,
+    shown,
+    totalled,
+)
 from salesloom.plans.filters import NO_FILTER, Filter
 from salesloom.sources.star import Star
 
@@ -47,7 +59,7 @@ def kpi(star: Star, flt: Filter = NO_FILTER) -> DataFrame:
     """Eleven KPIs over two grains: order counts and line sums."""
     per_order = order_totals(star, KPI_PARTIALS, ["order_id_raw", "customer_id"], flt)
     total = per_order.agg(
-        *merged(KPI_PARTIALS),
+        *totalled(KPI_PARTIALS),
         F.count(F.lit(1)).alias("order_keys"),
         F.count_distinct("order_id_raw").alias("total_orders"),
         F.count_distinct("customer_id").alias("total_customers"),
@@ -138,7 +150,7 @@ def monthly_sales_trend(star: Star, flt: Filter = NO_FILTER) -> DataFrame:
     """Sales and profit per calendar month of the order date."""
     measures = ("sales", "profit", "line_count")
     per_order = order_totals(star, measures, ["order_date"], flt)
-    by_month = per_order.groupBy(F.date_format("order_date", "yyyy-MM").alias("month")).agg(*merged(measures))
+    by_month = per_order.groupBy(F.date_format("order_date", "yyyy-MM").alias("month")).agg(*totalled(measures))
     return by_month.select("month", *shown("sales", "profit"), "line_count").orderBy("month")
 
 
@@ -172,7 +184,7 @@ def profit_vs_discount(star: Star) -> DataFrame:
 
 def profit_by_market(star: Star, flt: Filter = NO_FILTER) -> DataFrame:
     per_order = order_totals(star, BASIC, ["market"], flt)
-    return market_rows(per_order.groupBy("market").agg(*merged(BASIC)))
+    return market_rows(per_order.groupBy("market").agg(*totalled(BASIC)))
 
 
 def market_rows(totals: DataFrame) -> DataFrame:
@@ -181,7 +193,7 @@ def market_rows(totals: DataFrame) -> DataFrame:
 
 def region_stats(star: Star, flt: Filter = NO_FILTER) -> DataFrame:
     per_order = order_totals(star, PRICED, ["region"], flt)
-    return region_rows(per_order.groupBy("region").agg(*merged(PRICED), F.count(F.lit(1)).alias("orders")))
+    return region_rows(per_order.groupBy("region").agg(*totalled(PRICED), F.count(F.lit(1)).alias("orders")))
 
 
 def region_rows(totals: DataFrame) -> DataFrame:
@@ -195,12 +207,12 @@ def segment_stats(star: Star, flt: Filter = NO_FILTER) -> DataFrame:
     very many orders is one row there, and customers need no distinct count.
     """
     per_order = order_totals(star, BASIC, ["customer_id"], flt)
-    per_customer = per_order.groupBy("customer_id").agg(*merged(BASIC), F.count(F.lit(1)).alias("orders"))
+    per_customer = per_order.groupBy("customer_id").agg(*carried(BASIC), F.count(F.lit(1)).alias("orders"))
     people = star.take("dim_customers", ("customer_id", "segment"))
     totals = (
         per_customer.join(people, "customer_id")
         .groupBy("segment")
-        .agg(F.count(F.lit(1)).alias("customers"), F.sum("orders").alias("orders"), *merged(BASIC))
+        .agg(F.count(F.lit(1)).alias("customers"), F.sum("orders").alias("orders"), *totalled(BASIC))
     )
     return ranked(totals.select("segment", "customers", "orders", *shown(*BASIC)), "sales")
 
@@ -214,7 +226,7 @@ def _lead_time(star: Star, key: str) -> DataFrame:
         .groupBy(key)
         .agg(
             F.count(F.lit(1)).alias("order_count"),
-            F.sum("sales").alias("sales"),
+            *totalled(["sales"]),
             F.sum(F.col("days") * F.col("line_count")).alias("line_days"),
             F.sum(F.when(F.col("days").isNotNull(), F.col("line_count"))).alias("dated_lines"),
         )
@@ -254,13 +266,13 @@ def required_region(region: str | None) -> Filter:
 
 def drill_subcategories(star: Star, region: str, limit: int = DRILL_ROWS) -> DataFrame:
     """Top sub-categories of a region, each with one (its first) category."""
-    totals = _by_product(star, ["sub_category", "category"], required_region(region))
-    return drill_subcategory_rows(totals, limit)
+    flt = required_region(region)
+    return drill_subcategory_rows(line_partials(star, ["sub_category", "category"], PRICED, flt), limit)
 
 
-def drill_subcategory_rows(totals: DataFrame, limit: int = DRILL_ROWS) -> DataFrame:
-    merged_rows = totals.groupBy("sub_category").agg(F.min("category").alias("category"), *merged(PRICED))
-    return ranked(merged_rows.select("sub_category", "category", *shown(*BASIC, "avg_unit_price")), "sales", limit)
+def drill_subcategory_rows(partial_sums: DataFrame, limit: int = DRILL_ROWS) -> DataFrame:
+    totals = partial_sums.groupBy("sub_category").agg(F.min("category").alias("category"), *totalled(PRICED))
+    return ranked(totals.select("sub_category", "category", *shown(*BASIC, "avg_unit_price")), "sales", limit)
 
 
 def drill_segments(star: Star, region: str) -> DataFrame:
@@ -279,7 +291,7 @@ def drill_trend_rows(totals: DataFrame) -> DataFrame:
 
 def drill_countries(star: Star, region: str, limit: int = DRILL_ROWS) -> DataFrame:
     per_order = order_totals(star, BASIC, ["country"], required_region(region))
-    return drill_country_rows(per_order.groupBy("country").agg(*merged(BASIC)), limit)
+    return drill_country_rows(per_order.groupBy("country").agg(*totalled(BASIC)), limit)
 
 
 def drill_country_rows(totals: DataFrame, limit: int = DRILL_ROWS) -> DataFrame:
@@ -352,8 +364,6 @@ def badge_level_counts(star: Star) -> DataFrame:
 
 
 def headers_with_badges(star: Star) -> DataFrame:
-    from salesloom.plans.fact import headers
-
     keys = ["segment", "order_priority", "ship_mode"]
     return headers(star, keys).groupBy(*keys).agg(F.count(F.lit(1)).alias("orders"))
 

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from salesloom.operators import rollups
-from salesloom.plans.fact import BASIC, PRICED, line_totals, merged, order_totals
+from salesloom.plans.fact import BASIC, PRICED, carried, line_partials, order_totals, totalled
 from salesloom.plans.filters import NO_FILTER, Filter
 from salesloom.sources.star import Star
 
@@ -37,26 +37,26 @@ class Bundle(dict):
 
 def dashboard_summary(star: Star, flt: Filter = NO_FILTER) -> Bundle:
     """Nine result sets under one filter; ship modes are never filtered."""
-    goods = line_totals(star, ["year", "category", "sub_category", "_stocked"], PRICED, flt, optional=("products",))
+    goods = line_partials(star, ["year", "category", "sub_category", "_stocked"], PRICED, flt, optional=("products",))
     goods = goods.persist()
     places = (
         order_totals(star, PRICED, ["region", "market"], flt)
         .groupBy("region", "market")
-        .agg(*merged(PRICED), F.count(F.lit(1)).alias("orders"))
+        .agg(*carried(PRICED), F.count(F.lit(1)).alias("orders"))
         .persist()
     )
 
     def by_goods(key: str) -> DataFrame:
-        return goods.where("_stocked").groupBy(key).agg(*merged(PRICED))
+        return goods.where("_stocked").groupBy(key).agg(*totalled(PRICED))
 
     def by_place(key: str) -> DataFrame:
-        return places.groupBy(key).agg(*merged(PRICED), F.sum("orders").alias("orders"))
+        return places.groupBy(key).agg(*totalled(PRICED), F.sum("orders").alias("orders"))
 
     subcategories = by_goods("sub_category")
     return Bundle(
         {
             "kpi": rollups.kpi(star, flt),
-            "revenue_by_year": rollups.year_rows(goods.groupBy("year").agg(*merged(BASIC))),
+            "revenue_by_year": rollups.year_rows(goods.groupBy("year").agg(*totalled(BASIC))),
             "sales_by_category": rollups.category_rows(by_goods("category")),
             "profit_by_market": rollups.market_rows(by_place("market")),
             "top_subcategory": rollups.subcategory_rows(subcategories),
@@ -72,16 +72,16 @@ def dashboard_summary(star: Star, flt: Filter = NO_FILTER) -> Bundle:
 def region_drilldown(star: Star, region: str, limit: int = rollups.DRILL_ROWS) -> Bundle:
     """Four result sets of one required region, plus the segment shares."""
     flt = rollups.required_region(region)
-    goods = line_totals(star, ["year", "category", "sub_category", "_stocked"], PRICED, flt, optional=("products",))
+    goods = line_partials(star, ["year", "category", "sub_category", "_stocked"], PRICED, flt, optional=("products",))
     goods = goods.persist()
-    stocked = goods.where("_stocked").groupBy("sub_category", "category").agg(*merged(PRICED))
+    stocked = goods.where("_stocked")
     segments = rollups.drill_segments(star, region)
     return Bundle(
         {
             "top_subcategories": rollups.drill_subcategory_rows(stocked, limit),
             "segments": segments,
             "segment_share": rollups.segment_share(segments),
-            "trend": rollups.drill_trend_rows(goods.groupBy("year").agg(*merged(BASIC))),
+            "trend": rollups.drill_trend_rows(goods.groupBy("year").agg(*totalled(BASIC))),
             "top_countries": rollups.drill_countries(star, region, limit),
         },
         [goods],

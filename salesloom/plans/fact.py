@@ -15,7 +15,14 @@ from pyspark.sql import functions as F
 
 from salesloom.functions.numeric import money, ratio, rounded, unit_price
 from salesloom.plans.filters import NO_FILTER, Filter
-from salesloom.sources.star import CUSTOMER_COLUMNS, LOCATION_COLUMNS, ORDER_COLUMNS, PRODUCT_COLUMNS, Star
+from salesloom.sources.star import (
+    CUSTOMER_COLUMNS,
+    LOCATION_COLUMNS,
+    ORDER_COLUMNS,
+    PRODUCT_COLUMNS,
+    UNITS_PER_ONE,
+    Star,
+)
 
 # Asked for as a column, it tells lines whose product exists from the others.
 STOCKED = "_stocked"
@@ -89,71 +96,110 @@ def lines(
         if STOCKED in asked:
             goods = goods.withColumn(STOCKED, F.lit(True))
         frame = _join(frame, goods, "product_id", "products" in optional)
-    for name in ("profit", "year", "week_num"):
-        if name in needed and name in star.derived:
-            frame = frame.withColumn(name, star.derived[name].value)
+    present = set(frame.columns)
+    for name, column in star.derived.items():
+        if name in needed and name not in present and name not in _ORDER_LEVEL:
+            frame = frame.withColumn(name, column.value)
     return frame.select(*asked)
 
 
 # --- Measures -------------------------------------------------------------
-# Each partial is a sum or a count, so partials of any grain merge by summing.
+# Every partial is a sum or a count of whole numbers (or of unit prices), so
+# partials of any grain merge by summing. Money does not fit one 64-bit sum at
+# any size of data, and decimal sums are several times slower per line: money
+# is summed exactly in two 64-bit parts, the value's low 20 bits and the rest,
+# which are put together only in the few rows of a result.
 
-def _sum(name: str) -> Callable[[], Column]:
-    return lambda: F.sum(name)
+_LOW_BITS = 20
+_MONEY_MEASURES = ("sales", "profit", "shipping_cost", "sales_listed", "profit_listed", "shipping_cost_listed")
+_ONE_UNIT = "0.0001"
 
 
-def _count(name: str) -> Callable[[], Column]:
-    return lambda: F.count(name)
+def _units(measure: str) -> str:
+    return measure.removesuffix("_listed") + "_units"
 
 
-def _sum_listed(name: str) -> Callable[[], Column]:
-    """Sum of amounts rounded per line first, as the listing shows them."""
-    return lambda: F.sum(F.round(name, 2))
+def _cents_only(units: Column) -> Column:
+    """Units rounded half-up to whole cents, as the listing shows amounts."""
+    size = F.abs(units) + 50
+    cents = size - size % 100
+    return F.when(units < 0, -cents).otherwise(cents)
 
 
-# Measure -> (line columns it reads, its partial aggregate).
-PARTIALS: dict[str, tuple[tuple[str, ...], Callable[[], Column]]] = {
-    "sales": (("sales",), _sum("sales")),
-    "profit": (("profit",), _sum("profit")),
-    "shipping_cost": (("shipping_cost",), _sum("shipping_cost")),
-    "discount": (("discount",), _sum("discount")),
-    "quantity": (("quantity",), _sum("quantity")),
-    "sales_n": (("sales",), _count("sales")),
-    "discount_n": (("discount",), _count("discount")),
-    "quantity_n": (("quantity",), _count("quantity")),
-    "sales_listed": (("sales",), _sum_listed("sales")),
-    "profit_listed": (("profit",), _sum_listed("profit")),
-    "shipping_cost_listed": (("shipping_cost",), _sum_listed("shipping_cost")),
-    "price": (("sales", "quantity"), lambda: F.sum(unit_price())),
-    "price_n": (("sales", "quantity"), lambda: F.count(unit_price())),
-    "items": (("row_id",), _count("row_id")),
+def _price() -> Column:
+    return unit_price(F.col("sales_units").cast("double") / F.lit(float(UNITS_PER_ONE)))
+
+
+# Measures other than money: (line columns read, partial aggregate).
+_PLAIN: dict[str, tuple[tuple[str, ...], Callable[[], Column]]] = {
+    "discount": (("discount_units",), lambda: F.sum("discount_units")),
+    "quantity": (("quantity",), lambda: F.sum("quantity")),
+    "sales_n": (("sales_units",), lambda: F.count("sales_units")),
+    "discount_n": (("discount_units",), lambda: F.count("discount_units")),
+    "quantity_n": (("quantity",), lambda: F.count("quantity")),
+    "price": (("sales_units", "quantity"), lambda: F.sum(_price())),
+    "price_n": (("sales_units", "quantity"), lambda: F.count(_price())),
+    "items": (("row_id",), lambda: F.count("row_id")),
     "line_count": ((), lambda: F.count(F.lit(1))),
 }
 
 
 def measure_inputs(measures) -> list[str]:
-    return list(dict.fromkeys(c for m in measures for c in PARTIALS[m][0]))
+    read = [c for m in measures for c in ((_units(m),) if m in _MONEY_MEASURES else _PLAIN[m][0])]
+    return list(dict.fromkeys(read))
 
 
 def partials(measures) -> list[Column]:
-    return [PARTIALS[m][1]().alias(m) for m in measures]
-
-
-def merged(measures) -> list[Column]:
-    return [F.sum(m).alias(m) for m in measures]
-
-
-def line_totals(star: Star, keys, measures, flt: Filter = NO_FILTER, through=("orders",), optional=()) -> DataFrame:
-    """Measures per line-level or product-level key, summed straight from lines."""
+    """Aggregates of lines: one column per measure, two for money."""
+    out = []
+    for m in measures:
+        if m not in _MONEY_MEASURES:
+            out.append(_PLAIN[m][1]().alias(m))
+            continue
+        units = F.col(_units(m))
+        units = _cents_only(units) if m.endswith("_listed") else units
+        out.append(F.sum(F.shiftright(units, _LOW_BITS)).alias(f"{m}__high"))
+        out.append(F.sum(units.bitwiseAND(F.lit((1 << _LOW_BITS) - 1))).alias(f"{m}__low"))
+    return out
+
+
+def carried(measures) -> list[Column]:
+    """Partials summed to coarser partials."""
+    names = [n for m in measures for n in ((f"{m}__high", f"{m}__low") if m in _MONEY_MEASURES else (m,))]
+    return [F.sum(n).alias(n) for n in names]
+
+
+def _amount(measure: str, part: Callable[[str], Column]) -> Column:
+    whole = "decimal(20,0)"
+    if measure == "discount":
+        return part(measure).cast(whole) * F.lit(_ONE_UNIT).cast("decimal(4,4)")
+    if measure not in _MONEY_MEASURES:
+        return part(measure)
+    high, low = part(f"{measure}__high").cast(whole), part(f"{measure}__low").cast(whole)
+    return (high * F.lit(1 << _LOW_BITS).cast("decimal(7,0)") + low) * F.lit(_ONE_UNIT).cast("decimal(4,4)")
+
+
+def totalled(measures) -> list[Column]:
+    """Partials summed to amounts: exact decimals for money and discount."""
+    return [_amount(m, F.sum).alias(m) for m in measures]
+
+
+def line_partials(star: Star, keys, measures, flt: Filter = NO_FILTER, through=("orders",), optional=()) -> DataFrame:
+    """Partials per line-level or product-level key, straight from lines."""
     frame = lines(star, [*keys, *measure_inputs(measures)], flt, through, optional)
     return frame.groupBy(*keys).agg(*partials(measures))
 
 
+def line_totals(star: Star, keys, measures, flt: Filter = NO_FILTER, through=("orders",)) -> DataFrame:
+    """Amounts per line-level or product-level key."""
+    frame = line_partials(star, keys, measures, flt, through)
+    return frame.select(*keys, *[_amount(m, F.col).alias(m) for m in measures])
+
+
 def order_totals(star: Star, measures, columns=(), flt: Filter = NO_FILTER, through=()) -> DataFrame:
-    """One row per order that has lines: measures plus header columns."""
+    """One row per order that has lines: partials plus header columns."""
     product_join = tuple(t for t in through if t == "products")
-    wanted = ["order_key", *measure_inputs(measures)]
-    per_order = lines(star, wanted, through=product_join).groupBy("order_key").agg(*partials(measures))
+    per_order = line_partials(star, ["order_key"], measures, through=product_join)
     return per_order.join(headers(star, columns, flt, through), "order_key")
 
 

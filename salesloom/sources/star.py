@@ -61,6 +61,12 @@ PRODUCT_COLUMNS = tuple(SCHEMA["dim_products"])
 LOCATION_COLUMNS = tuple(SCHEMA["dim_locations"])
 
 
+# Amounts with a whole-number twin ``<name>_units`` in ten-thousandths, which
+# is what sums are made of.
+AMOUNTS = ("sales", "profit", "shipping_cost", "discount")
+UNITS_PER_ONE = 10_000
+
+
 @dataclass(frozen=True)
 class Derived:
     """A column computed from others, possibly of a joined table."""
@@ -69,12 +75,17 @@ class Derived:
     value: Column
 
 
+def in_units(amount: str) -> Derived:
+    return Derived((amount,), (F.col(amount) * F.lit(UNITS_PER_ONE)).cast("bigint"))
+
+
 @dataclass
 class Star:
     """Tables plus the columns that are computed instead of stored.
 
     ``derived`` lets a source state "profit needs the product's list price" once,
     so the join that brings the price is the same join that brings the category.
+    A derived column may use those stated before it.
     ``header_lookups`` maps an order column to a frame keyed by ``order_key``
     that is joined only when the column is asked for.
     """
@@ -84,6 +95,10 @@ class Star:
     header_lookups: dict[str, DataFrame] = field(default_factory=dict)
     origin: str = ""
 
+    def __post_init__(self):
+        for amount in AMOUNTS:
+            self.derived.setdefault(f"{amount}_units", in_units(amount))
+
     def closure(self, columns) -> set[str]:
         """The columns with the inputs of every derived one added."""
         wanted = set(columns)

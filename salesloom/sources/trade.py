@@ -6,11 +6,11 @@ and location need happen only when a query asks for those columns.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from salesloom.functions.numeric import FRACTION, MONEY
-from salesloom.sources.star import Derived, Star
+from salesloom.sources.star import AMOUNTS, Derived, Star
 
 # How trade codes map to the retail vocabulary.
 SHIP_MODES = {"F": "Standard Class", "O": "Second Class", "P": "First Class"}
@@ -25,6 +25,19 @@ MARKETS = {
 }
 CITIES_PER_NATION = 4
 
+# Declared, so that opening the tables starts no job to look at file footers.
+TABLES = {
+    "region": "r_regionkey int, r_name string",
+    "nation": "n_nationkey int, n_name string, n_regionkey int",
+    "customer": "c_custkey bigint, c_name string, c_nationkey int, c_mktsegment string",
+    "part": "p_partkey bigint, p_name string, p_brand string, p_retailprice double",
+    "orders": "o_orderkey bigint, o_custkey bigint, o_orderstatus string, o_orderdate timestamp_ntz, o_orderpriority string",
+    "lineitem": (
+        "l_orderkey bigint, l_partkey bigint, l_linenumber int, l_quantity double, l_extendedprice double, "
+        "l_discount double, l_tax double, l_shipdate timestamp_ntz"
+    ),
+}
+
 
 def _mapped(source, mapping: dict, default=None):
     items = list(mapping.items())
@@ -34,16 +47,36 @@ def _mapped(source, mapping: dict, default=None):
     return chain if default is None else chain.otherwise(default)
 
 
+def hundredths(column) -> Column:
+    """A two-decimal double as a whole number of hundredths, exactly."""
+    value = F.col(column) if isinstance(column, str) else column
+    return F.rint(value * F.lit(100.0)).cast("bigint")
+
+
+def _from_units(name: str) -> Derived:
+    """The decimal amount of a whole-number column in ten-thousandths."""
+    units = f"{name}_units"
+    kind = FRACTION if name == "discount" else MONEY
+    return Derived((units,), (F.col(units).cast("decimal(13,0)") * F.lit("0.0001").cast("decimal(4,4)")).cast(kind))
+
+
 def _items(line: DataFrame) -> DataFrame:
-    price = F.col("l_extendedprice").cast("decimal(12,2)")
+    """Lines with amounts in ten-thousandths.
+
+    Whole numbers keep per-line arithmetic in generated code; casting doubles
+    to decimal by way of their digits costs several times as much.
+    """
+    price = hundredths("l_extendedprice")
     return line.select(
         (F.col("l_orderkey") * 8 + F.col("l_linenumber")).alias("row_id"),
         F.col("l_orderkey").alias("order_key"),
         F.col("l_partkey").alias("product_id"),
-        price.cast(MONEY).alias("sales"),
-        (price * F.col("l_tax").cast("decimal(4,2)")).cast(MONEY).alias("shipping_cost"),
-        F.col("l_discount").cast(FRACTION).alias("discount"),
         F.col("l_quantity").cast("int").alias("quantity"),
+        price.alias("price_cents"),
+        hundredths("l_discount").alias("discount_percent"),
+        (price * 100).alias("sales_units"),
+        (price * hundredths("l_tax")).alias("shipping_cost_units"),
+        (hundredths("l_discount") * 100).alias("discount_units"),
     )
 
 
@@ -78,7 +111,7 @@ def _products(part: DataFrame) -> DataFrame:
         F.col("p_name").alias("product_name"),
         _mapped(brand_number % 3, CATEGORIES).alias("category"),
         F.col("p_brand").alias("sub_category"),
-        F.col("p_retailprice").cast("decimal(10,2)").alias("list_price"),
+        hundredths("p_retailprice").alias("list_cents"),
     )
 
 
@@ -100,7 +133,7 @@ def trade_star(spark: SparkSession, path: str) -> Star:
     """The star over ``path/{lineitem,orders,customer,part,nation,region}.parquet``."""
 
     def read(name: str) -> DataFrame:
-        return spark.read.parquet(f"{path}/{name}.parquet")
+        return spark.read.schema(TABLES[name]).parquet(f"{path}/{name}.parquet")
 
     line = read("lineitem")
     tables = {
@@ -110,14 +143,15 @@ def trade_star(spark: SparkSession, path: str) -> Star:
         "dim_products": _products(read("part")),
         "dim_locations": _locations(read("nation"), read("region")),
     }
-    # Tight decimal types keep the per-line arithmetic in 64-bit integers.
-    gross = F.col("sales").cast("decimal(12,2)") * (F.lit(1).cast("decimal(1,0)") - F.col("discount").cast("decimal(4,2)"))
-    cost = F.col("quantity").cast("decimal(4,0)") * F.col("list_price")
+    # sales * (1 - discount) - quantity * list price, in ten-thousandths.
+    gross = F.col("price_cents") * (F.lit(100) - F.col("discount_percent"))
+    cost = F.col("quantity") * F.col("list_cents") * 100
     home = F.col("nation_key") * CITIES_PER_NATION + F.col("customer_id") % CITIES_PER_NATION
     return Star(
         tables,
         derived={
-            "profit": Derived(("sales", "discount", "quantity", "list_price"), (gross - cost).cast(MONEY)),
+            "profit_units": Derived(("price_cents", "discount_percent", "quantity", "list_cents"), gross - cost),
+            **{name: _from_units(name) for name in AMOUNTS},
             "year": Derived(("order_date",), F.year("order_date")),
             "week_num": Derived(("order_date",), F.weekofyear("order_date")),
             "location_id": Derived(("customer_id", "nation_key"), home.cast("bigint")),

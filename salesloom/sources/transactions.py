@@ -8,7 +8,7 @@ from pyspark.sql import types as T
 
 from salesloom.plans.fact import lines
 from salesloom.plans.filters import NO_FILTER, Filter
-from salesloom.sources.star import Star
+from salesloom.sources.star import UNITS_PER_ONE, Star
 
 NUMBERS = ("sales", "discount", "quantity", "shipping_cost")
 PROFIT_FEATURES = ("ship_mode", "order_priority", "segment", "market", "region", "category", "sub_category")
@@ -50,12 +50,11 @@ def stream_transactions(
 
 def star_transactions(star: Star, flt: Filter = NO_FILTER, extra=()) -> DataFrame:
     """Every order line as a transaction; discount in percent, as records have it."""
-    columns = [*NUMBERS, *PROFIT_FEATURES, *extra]
+    amounts = {"sales": UNITS_PER_ONE, "discount": UNITS_PER_ONE // 100, "shipping_cost": UNITS_PER_ONE}
+    columns = [f"{c}_units" if c in amounts else c for c in NUMBERS] + [*PROFIT_FEATURES, *extra]
     frame = lines(star, columns, flt, through=("orders", "customers", "products", "locations"))
-    return frame.withColumns(
-        {
-            "sales": F.col("sales").cast("double"),
-            "discount": (F.col("discount") * 100).cast("double"),
-            "shipping_cost": F.col("shipping_cost").cast("double"),
-        }
-    )
+    numbers = [
+        (F.col(f"{c}_units").cast("double") / F.lit(float(amounts[c]))).alias(c) if c in amounts else F.col(c)
+        for c in NUMBERS
+    ]
+    return frame.select(*numbers, *PROFIT_FEATURES, *extra)
