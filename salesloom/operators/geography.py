@@ -32,7 +32,7 @@ def country_catalog(star: Star) -> DataFrame:
 
 def market_countries(star: Star) -> DataFrame:
     """Sorted countries of each market; one without a market is ``Other``."""
-    market = F.coalesce("market", F.lit("Other")).alias("market")
+    market = F.coalesce(F.nullif(F.col("market"), F.lit("")), F.lit("Other")).alias("market")
     places = star.tables["dim_locations"].groupBy("country").agg(F.min("market").alias("market"))
     return places.groupBy(market).agg(F.sort_array(F.collect_list("country")).alias("countries"))
 
@@ -75,6 +75,9 @@ def _country_orders(star: Star, country: str, window=None, day=None, columns=())
     header_columns = ["country", "order_date", "order_id_raw", *columns]
     frame = order_totals(star, _LISTED, header_columns, through=_EVERY_TABLE)
     frame = frame.where(F.col("country") == F.lit(country))
+    # A header without a business id counts as an order of its own.
+    raw = F.coalesce(F.nullif(F.col("order_id_raw"), F.lit("")), F.col("order_key").cast("string"))
+    frame = frame.withColumn("order_id_raw", raw)
     if day is not None:
         return on_day(frame, day)
     return frame if window is None else in_window(frame, *window)

@@ -53,7 +53,9 @@ def page_of(frame: DataFrame, lead: str, page=None, limit=None) -> DataFrame:
     before it, so there the listing is range-sorted and numbered instead.
     """
     number, size = page_request(page, limit)
-    offset = max(number - 1, 0) * size
+    offset = max((number - 1) * size, 0)
+    if size < 0:  # a negative limit means all rows
+        return frame.orderBy(*_order(frame, lead))
     if offset + size <= HEAP_ROWS:
         return frame.orderBy(*_order(frame, lead)).offset(offset).limit(size)
     return far_page(frame, _order(frame, lead), offset, size)
@@ -117,7 +119,7 @@ def page_info(totals: DataFrame, page=None, limit=None) -> DataFrame:
         "total",
         F.lit(number).alias("page"),
         F.lit(size).alias("page_size"),
-        F.ceil(F.col("total").cast("double") / F.lit(float(size))).cast("bigint").alias("page_count"),
+        F.ceil(F.try_divide(F.col("total").cast("double"), F.lit(float(size)))).cast("bigint").alias("page_count"),
         F.lit((number - 1) * size).cast("bigint").alias("row_offset"),
         F.lit((number - 1) * size + 1).cast("bigint").alias("first_row"),
         F.least(F.lit(number * size).cast("bigint"), F.col("total")).alias("last_row"),
