@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -92,7 +91,3 @@ def report_on_star(star: Star, task: str, fit, part: str = "holdout") -> DataFra
     judged = model.transform(held if part == "holdout" else kept)
     counts = confusion(judged.select(F.col("label").cast("int").alias("label"), F.col("prediction").cast("int").alias("guess")), "label", "guess")
     return classification_report(counts)
-
-
-def probabilities_of(frame: DataFrame) -> DataFrame:
-    return frame.withColumn("probabilities", vector_to_array("probability"))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from salesloom.functions.numeric import money, percent, ratio, rounded
@@ -12,7 +12,7 @@ from salesloom.functions.text import day_text, search
 from salesloom.plans.fact import headers, line_partials, line_totals, lines, order_totals, totalled
 from salesloom.plans.filters import NO_FILTER, Filter
 from salesloom.session import shared_folder
-from salesloom.sources.star import LOCATION_COLUMNS, Star
+from salesloom.sources.star import CUSTOMER_COLUMNS, LOCATION_COLUMNS, PRODUCT_COLUMNS, Star
 
 DEFAULT_PAGE, DEFAULT_LIMIT = 1, 20
 
@@ -179,7 +179,7 @@ def orders_page(star: Star, text=None, page=None, limit=None, flt: Filter = NO_F
 def products_rollup(star: Star, text: str | None = None) -> DataFrame:
     """Every product, sold or not; lines are summed before they meet it."""
     sold = line_totals(star, ["product_id"], ("sales", "sales_n", "profit", "items"), through=())
-    goods = search(star.take("dim_products", _names(star, "dim_products")), text, SEARCHED["products"])
+    goods = search(star.take("dim_products", PRODUCT_COLUMNS), text, SEARCHED["products"])
     joined = goods.join(sold, "product_id", "left")
     return joined.select(
         "product_id",
@@ -192,12 +192,6 @@ def products_rollup(star: Star, text: str | None = None) -> DataFrame:
     )
 
 
-def _names(star: Star, table: str) -> list[str]:
-    from salesloom.sources.star import SCHEMA
-
-    return list(SCHEMA[table])
-
-
 def _orders_with_sums(star: Star, key: str, measures) -> DataFrame:
     """Per header key: orders, with or without lines, and the sums of lines."""
     per_order = line_partials(star, ["order_key"], measures, through=())
@@ -208,7 +202,7 @@ def _orders_with_sums(star: Star, key: str, measures) -> DataFrame:
 def customers_rollup(star: Star, text: str | None = None) -> DataFrame:
     """Every customer, with or without orders."""
     totals = _orders_with_sums(star, "customer_id", ("sales", "profit", "discount", "discount_n"))
-    people = search(star.take("dim_customers", _names(star, "dim_customers")), text, SEARCHED["customers"])
+    people = search(star.take("dim_customers", CUSTOMER_COLUMNS), text, SEARCHED["customers"])
     joined = people.join(totals, "customer_id", "left")
     return joined.select(
         "customer_id",
@@ -274,8 +268,3 @@ def _order_line_count(star: Star, text: str | None) -> DataFrame:
         return _listing_lines(star, text, NO_FILTER).select(F.lit(1).cast("bigint").alias("n"))
     per_order = order_totals(star, ("line_count",), (), through=_EVERY_TABLE)
     return per_order.select(F.col("line_count").alias("n"))
-
-
-def totals_frame(spark: SparkSession, totals: dict[str, int]) -> DataFrame:
-    """Known totals as the frame ``page_info`` takes."""
-    return spark.createDataFrame(list(totals.items()), "listing string, total bigint")

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from salesloom.functions.numeric import as_column, discount_money, margin_percent, net_status, rounded
 from salesloom.operators.features import PRIORITY_LABELS, URGENT_LABELS, features_for
 from salesloom.operators.training import Model
-from salesloom.sources.transactions import NUMBERS, PRIORITY_FEATURES, PROFIT_FEATURES
+from salesloom.sources.transactions import NUMBERS, PROFIT_FEATURES, PROFIT_SCHEMA
 
 # Texts shown with a decision.
 URGENT_MESSAGE = "Pesanan ini berisiko tinggi / butuh penanganan segera!"
@@ -228,8 +228,18 @@ _INPUTS = (*NUMBERS, *PROFIT_FEATURES)
 
 
 def distinct_inputs(records: DataFrame) -> DataFrame:
-    """Each different transaction once, with how often it occurs."""
-    return records.groupBy(*_INPUTS).agg(F.count(F.lit(1)).alias("occurrences"))
+    """Each different transaction once, with how often it occurs.
+
+    The text key stands for all inputs. Unlike the floating-point inputs it
+    passes later steps unchanged, so the partitioning by it is kept.
+    """
+    keyed = records.select(F.to_json(F.struct(*_INPUTS)).alias("input_key")).groupBy("input_key")
+    return _with_inputs(keyed.agg(F.count(F.lit(1)).alias("occurrences")))
+
+
+def _with_inputs(keyed: DataFrame) -> DataFrame:
+    parsed = F.from_json("input_key", PROFIT_SCHEMA)
+    return keyed.withColumn("_inputs", parsed).select("*", "_inputs.*").drop("_inputs")
 
 
 def what_if_grid(records: DataFrame, step: int = 1) -> DataFrame:
@@ -259,19 +269,18 @@ def what_if_curve(records: DataFrame, regressor: Model, step: int = 1) -> DataFr
 def what_if_best(records: DataFrame, regressor: Model, step: int = 1) -> DataFrame:
     """Per different transaction, the discount with the highest estimate.
 
-    Distinct transactions are already partitioned by their inputs, so picking
-    the best of the sweep needs no second shuffle; equal estimates take the
-    lower discount.
+    The sweep of a transaction stays where its key was grouped, so picking the
+    best needs no second shuffle, and both steps are hash aggregations: equal
+    estimates are first reduced to their lowest discount, then the highest
+    estimate wins.
     """
-    keys = [c if c != "discount" else "given_discount" for c in _INPUTS]
     swept = _swept(distinct_inputs(records), regressor, step)
-    best = swept.groupBy(*keys, "occurrences").agg(
-        F.max(F.struct(F.col("prediction"), (-F.col("discount_pct")).alias("rank"))).alias("best")
+    lowest = swept.groupBy("input_key", "prediction").agg(
+        F.min("discount_pct").alias("discount_pct"), F.max("occurrences").alias("occurrences")
     )
-    return best.select(
-        *[F.col(c) for c in keys],
-        "occurrences",
-        (-F.col("best.rank")).alias("best_discount_pct"),
-        rounded("best.prediction", 2).alias("estimated_profit"),
+    best = lowest.groupBy("input_key").agg(
+        F.max_by("discount_pct", "prediction").alias("best_discount_pct"),
+        rounded(F.max("prediction"), 2).alias("estimated_profit"),
+        F.max("occurrences").alias("occurrences"),
     )
-
+    return _with_inputs(best).withColumnRenamed("discount", "given_discount").drop("input_key")

@@ -6,6 +6,8 @@ per line and aggregate with plain ``COUNT(DISTINCT ...)``.
 
 from __future__ import annotations
 
+from salesloom.operators.scoring import NORMAL_MESSAGE, PRIORITY_MESSAGES, URGENT_MESSAGE
+
 STAR = """
 s_products AS (
   SELECT p_partkey AS product_id, p_name AS product_name,
@@ -372,8 +374,7 @@ _RULE = f"""SELECT {_STATUS} AS prediction, profit > 0 AS is_profit, {dbl('100')
     CASE WHEN profit > 0 THEN {dbl('0')} ELSE {dbl('100')} END AS loss_probability FROM fact"""
 _DECODE2 = f"""SELECT CAST(hit AS INTEGER) AS prediction, hit AS is_urgent,
     CASE WHEN hit THEN 'Urgent' ELSE 'Normal' END AS priority_label, CASE WHEN hit THEN 'urgent' ELSE 'normal' END AS urgency,
-    CASE WHEN hit THEN 'Pesanan ini berisiko tinggi / butuh penanganan segera!'
-         ELSE 'Pesanan reguler — penanganan standar operasional.' END AS message,
+    CASE WHEN hit THEN '{URGENT_MESSAGE}' ELSE '{NORMAL_MESSAGE}' END AS message,
     {pct('greatest(p0, p1)')} AS confidence, {pct('p1')} AS urgent_probability, {pct('p0')} AS normal_probability,
     {pct('p1')} AS priority_score, {pct('p1')} AS prob_urgent, {pct('p0')} AS prob_normal,
     {half_up(f"{pct('p1')} * CAST(0.4 AS DOUBLE)", 1)} AS prob_critical, {half_up(f"{pct('p1')} * CAST(0.6 AS DOUBLE)", 1)} AS prob_high,
@@ -383,10 +384,8 @@ _NORMAL4 = half_up(f"100 - {_URGENT4}", 1)
 _DECODE4 = f"""SELECT CAST(guess4 AS INTEGER) AS prediction, guess4 IN (0, 1) AS is_urgent,
     CASE guess4 WHEN 0 THEN 'Critical' WHEN 1 THEN 'High' WHEN 2 THEN 'Low' WHEN 3 THEN 'Medium' ELSE 'Class ' || guess4 END AS priority_label,
     CASE guess4 WHEN 0 THEN 'critical' WHEN 1 THEN 'high' WHEN 2 THEN 'low' ELSE 'medium' END AS urgency,
-    CASE guess4 WHEN 0 THEN 'Pesanan ini KRITIS — butuh penanganan segera / VIP!'
-      WHEN 1 THEN 'Prioritas TINGGI — proses lebih cepat dari standar.'
-      WHEN 2 THEN 'Prioritas RENDAH — tidak mendesak, bisa dijadwalkan.'
-      WHEN 3 THEN 'Prioritas SEDANG — tangani sesuai alur operasional biasa.' ELSE '' END AS message,
+    CASE guess4 WHEN 0 THEN '{PRIORITY_MESSAGES['Critical']}' WHEN 1 THEN '{PRIORITY_MESSAGES['High']}'
+      WHEN 2 THEN '{PRIORITY_MESSAGES['Low']}' WHEN 3 THEN '{PRIORITY_MESSAGES['Medium']}' ELSE '' END AS message,
     {pct('greatest(q0, q1, q2, q3)')} AS confidence, {_URGENT4} AS urgent_probability, {_NORMAL4} AS normal_probability,
     {_URGENT4} AS priority_score, {_URGENT4} AS prob_urgent, {_NORMAL4} AS prob_normal, {pct('q0')} AS prob_critical,
     {pct('q1')} AS prob_high, {pct('q3')} AS prob_medium, {pct('q2')} AS prob_low FROM probs"""

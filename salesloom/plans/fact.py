@@ -20,8 +20,10 @@ from salesloom.sources.star import (
     LOCATION_COLUMNS,
     ORDER_COLUMNS,
     PRODUCT_COLUMNS,
+    SCHEMA,
     UNITS_PER_ONE,
     Star,
+    conform,
 )
 
 # Asked for as a column, it tells lines whose product exists from the others.
@@ -249,8 +251,6 @@ def line_fact(star: Star, columns=None) -> DataFrame:
 
 def stored_tables(star: Star) -> dict[str, DataFrame]:
     """The five tables in full, derived columns included, ready to be written."""
-    from salesloom.sources.star import SCHEMA, conform
-
     whole = {
         "order_items": lines(star, SCHEMA["order_items"]),
         "orders": headers(star, ORDER_COLUMNS),

@@ -24,7 +24,7 @@ PRICE = "ROUND(AVG(unit_price), 2) avg_unit_price"
 LISTED = "known_customer IS NOT NULL AND known_product IS NOT NULL AND known_place IS NOT NULL"
 
 
-def same(frame, db, sql, ordered=True, order_by_first=None):
+def same(frame, db, sql, ordered=True):
     theirs = [dict(r) for r in db.execute(sql)]
     ours = [r.asDict() for r in frame.collect()]
 
@@ -263,3 +263,32 @@ def test_highlight(edge):
     assert {r["state"] for r in neutral} == {"neutral"}
     marked = {r["country"]: r["state"] for r in geography.country_highlight(edge, Filter(region="North", market="EU")).collect()}
     assert marked == {"Norway": "matched", "Australia": "dimmed"}
+
+
+def test_money_sums_are_exact_beyond_64_bits(spark):
+    from decimal import Decimal
+
+    from edge_star import CUSTOMERS, LOCATIONS, NAMES, ORDERS, PRODUCTS
+
+    from salesloom.plans.fact import line_totals
+    from salesloom.sources.star import star_of
+
+    big = Decimal("99999999999999.9999")
+    amounts = [big] * 40 + [-big] * 9 + [Decimal("0.0001")] * 3 + [Decimal("-0.0003")]
+    rows = [(i, 1, "p1", a, -a, a, Decimal("0.1"), 1, 2014, 1) for i, a in enumerate(amounts)]
+    kinds = "bigint bigint string decimal(18,4) decimal(18,4) decimal(18,4) decimal(6,4) int int int".split()
+    frames = {"order_items": spark.createDataFrame(rows, ", ".join(f"{c} {k}" for c, k in zip(NAMES["order_items"][0].split(), kinds)))}
+    for table, data in (("orders", ORDERS), ("dim_customers", CUSTOMERS), ("dim_products", PRODUCTS), ("dim_locations", LOCATIONS)):
+        columns, _, types = NAMES[table]
+        frames[table] = spark.createDataFrame(data, ", ".join(f"{c} {k}" for c, k in zip(columns.split(), types.split())))
+    large = star_of(**frames)
+    got = line_totals(large, ["year"], ("sales", "profit")).first()
+    assert got["sales"] == sum(amounts) and got["profit"] == -sum(amounts)
+    assert rollups.profit_by_market(large).first()["sales"] == float(round(sum(amounts), 2))
+
+
+def test_registered_views(spark, edge):
+    from salesloom.sources.star import register_views
+
+    register_views(edge.tables)
+    assert spark.sql("SELECT COUNT(*) FROM order_items JOIN orders USING (order_key)").first()[0] == 10

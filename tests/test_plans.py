@@ -141,3 +141,29 @@ def test_hot_order_is_one_row_at_the_header_join(spark, skewed):
 def _orders_without_lines() -> int:
     used = {0 if i % 3 == 0 else i % 5000 + 1 for i in range(60_000)}
     return 5001 - len(used)
+
+
+def test_filtered_rollups_drop_lines_at_the_scan(spark, star):
+    """With large tables the filter's order keys reach the line scan."""
+    large = {
+        "spark__sql__autoBroadcastJoinThreshold": "-1",
+        "spark__sql__optimizer__runtime__bloomFilter__applicationSideScanSizeThreshold": "0",
+    }
+    with settings(spark, **large):
+        frame = rollups.region_stats(star, Filter("1996-01-01", "1996-12-31", market="EU"))
+        text = frame._jdf.queryExecution().optimizedPlan().toString()
+        rows = frame.collect()
+    line_filter = next(line for line in text.splitlines() if "might_contain" in line and "l_orderkey" in line)
+    assert "Filter" in line_filter
+    assert rows == rollups.region_stats(star, Filter("1996-01-01", "1996-12-31", market="EU")).collect()
+
+
+def test_best_discount_shuffles_once(spark, star, monkeypatch):
+    from salesloom.operators import scoring
+    from salesloom.sources.transactions import star_transactions
+
+    monkeypatch.setattr(scoring, "predicted", lambda model, f: f.withColumn("prediction", F.col("total_cost_spent")))
+    text = scoring.what_if_best(star_transactions(star), None)._jdf.queryExecution().executedPlan().toString()
+    above_sweep = text[: text.index("Generate explode(")]
+    assert "Exchange" not in above_sweep
+    assert "Sort" not in above_sweep
