@@ -41,7 +41,7 @@ def page_request(page=None, limit=None) -> tuple[int, int]:
         return DEFAULT_PAGE, DEFAULT_LIMIT
 
 
-def _order(frame: DataFrame, lead: str) -> list[Column]:
+def listing_order(frame: DataFrame, lead: str) -> list[Column]:
     """Largest first, nulls last, ties broken by every other column."""
     return [F.desc_nulls_last(lead), *[F.asc_nulls_first(c) for c in frame.columns if c != lead]]
 
@@ -55,10 +55,10 @@ def page_of(frame: DataFrame, lead: str, page=None, limit=None) -> DataFrame:
     number, size = page_request(page, limit)
     offset = max((number - 1) * size, 0)
     if size < 0:  # a negative limit means all rows
-        return frame.orderBy(*_order(frame, lead))
+        return frame.orderBy(*listing_order(frame, lead))
     if offset + size <= HEAP_ROWS:
-        return frame.orderBy(*_order(frame, lead)).offset(offset).limit(size)
-    return far_page(frame, _order(frame, lead), offset, size)
+        return frame.orderBy(*listing_order(frame, lead)).offset(offset).limit(size)
+    return far_page(frame, listing_order(frame, lead), offset, size)
 
 
 def far_page(frame: DataFrame, order: list[Column], offset: int, size: int) -> DataFrame:
@@ -92,7 +92,7 @@ def page_after(frame: DataFrame, lead: str, last: dict | None, limit: int = DEFA
 
     ``last`` holds the full last row shown, null values included.
     """
-    order = _order(frame, lead)
+    order = listing_order(frame, lead)
     if last is None:
         return frame.orderBy(*order).limit(limit)
     ranking = [lead, *[c for c in frame.columns if c != lead]]

@@ -59,9 +59,6 @@ def headers(
         needed.add("customer_id")
 
     frame = flt.on_dates(star.take("orders", needed))
-    for name, lookup in star.header_lookups.items():
-        if name in needed and not star.has("orders", name):
-            frame = frame.join(lookup, "order_key", "left")
     if customers:
         people = star.take("dim_customers", needed)
         frame = _join(frame, people, "customer_id", "customers" in optional)
@@ -70,6 +67,10 @@ def headers(
     if places:
         sites = flt.on_locations(star.take("dim_locations", needed | {"location_id"}))
         frame = _join(frame, sites, "location_id", "locations" in optional)
+    # Last, so that what is partitioned by order key stays so for the line join.
+    for name, lookup in star.header_lookups.items():
+        if name in needed and not star.has("orders", name):
+            frame = frame.join(lookup, "order_key", "left")
     return frame.select(*asked)
 
 

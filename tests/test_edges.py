@@ -180,7 +180,7 @@ def test_counts_without_search(edge, edge_db):
 def test_pages_join_up_to_the_listing(star):
     for name, lead in (("products_rollup", "total_profit"), ("customers_rollup", "total_sales")):
         frame = getattr(listings, name)(star)
-        whole = frame.orderBy(*listings._order(frame, lead)).collect()
+        whole = frame.orderBy(*listings.listing_order(frame, lead)).collect()
         size, pages = 37, []
         for number in range(1, listings.page_count(len(whole), size) + 1):
             pages += listings.page_of(frame, lead, number, size).collect()
@@ -197,7 +197,7 @@ def test_pages_join_up_to_the_listing(star):
 
 def test_far_page_equals_top_k(star):
     frame = listings.orders_listing(star)
-    order = listings._order(frame, "order_date")
+    order = listings.listing_order(frame, "order_date")
     whole = frame.orderBy(*order).collect()
     for offset in (0, 1234, 5990, 7000):
         assert listings.far_page(frame, order, offset, 25).collect() == whole[offset : offset + 25]
