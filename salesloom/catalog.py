@@ -32,9 +32,20 @@ Query = Callable[[SparkSession, str], DataFrame]
 _registry: dict[str, Query] = {}
 
 
+_opened: dict[tuple, Star] = {}
+
+
+def opened(spark: SparkSession, path: str) -> Star:
+    """The star of a folder, opened once per session."""
+    key = (id(spark), spark.sparkContext.applicationId, path)
+    if key not in _opened:
+        _opened[key] = trade_star(spark, path)
+    return _opened[key]
+
+
 def query(name: str):
     def add(function: Callable[[Star], DataFrame]):
-        _registry[name] = lambda spark, path: function(trade_star(spark, path))
+        _registry[name] = lambda spark, path: function(opened(spark, path))
         return function
 
     return add

@@ -49,6 +49,9 @@ DRILL_ROWS = 8
 DEAREST = 8
 WEEKS_SHOWN = 200
 
+# Fixed value: the error of a drill-down without a region.
+REGION_REQUIRED = "region param required"
+
 
 # --- Global KPIs ----------------------------------------------------------
 
@@ -260,7 +263,7 @@ def orders_by_priority(star: Star) -> DataFrame:
 def required_region(region: str | None) -> Filter:
     flt = Filter(region=region)
     if flt.region is None:
-        raise ValueError("region param required")
+        raise ValueError(REGION_REQUIRED)
     return flt
 
 

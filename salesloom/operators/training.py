@@ -104,6 +104,15 @@ def _estimator(task: str, trees: int | None):
     )
 
 
+def _spread(features: DataFrame) -> DataFrame:
+    """Fitting passes over its rows many times: give every core some.
+
+    Only a frame with fewer splits than cores is moved, so a large one is not.
+    """
+    cores = features.sparkSession.sparkContext.defaultParallelism
+    return features.repartition(cores) if features.rdd.getNumPartitions() < cores else features
+
+
 def train(task: str, features: DataFrame, trees: int | None = None) -> Model:
     """Fit one of ``TASKS`` on a labelled feature frame."""
     if task not in TASKS:
@@ -113,7 +122,7 @@ def train(task: str, features: DataFrame, trees: int | None = None) -> Model:
     # Boosting cuts its own lineage every few trees in the same folder.
     features = stored(features.select(*NUMERIC, *categories_of(kind_of(task)), "label"), f"train-{task}")
     encoder = fit_encoder(features, kind_of(task))
-    ready = with_vector(features, encoder).select("features", "label")
+    ready = with_vector(_spread(features), encoder).select("features", "label")
     if task == "priority":
         # One row per class: the four labels bound what is broadcast.
         weights = class_weights(ready, "label").select("label", "weight")

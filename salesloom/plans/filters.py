@@ -13,6 +13,11 @@ from pyspark.sql import functions as F
 from salesloom.functions.numeric import as_column
 
 
+# Texts of the two window errors.
+MISSING_DATES = "Please provide both valid start and end dates."
+DATES_REVERSED = "Invalid date range: Start date ({start}) is after End date ({end})."
+
+
 def _clean(value) -> str:
     return "" if value is None else str(value).strip()
 
@@ -86,10 +91,10 @@ def in_window(frame: DataFrame, start, end, column: str = "order_date") -> DataF
 
 def validate_window(start, end) -> tuple[date, date]:
     if not _clean(start) or not _clean(end):
-        raise ValueError("Please provide both valid start and end dates.")
+        raise ValueError(MISSING_DATES)
     first, last = _day(start), _day(end)
     if first > last:
-        raise ValueError(f"Invalid date range: Start date ({first}) is after End date ({last}).")
+        raise ValueError(DATES_REVERSED.format(start=first, end=last))
     return first, last
 
 

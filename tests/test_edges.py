@@ -292,3 +292,21 @@ def test_registered_views(spark, edge):
 
     register_views(edge.tables)
     assert spark.sql("SELECT COUNT(*) FROM order_items JOIN orders USING (order_key)").first()[0] == 10
+
+
+def test_parts_add_up_to_the_whole(star):
+    region = "ASIA-0"
+    row = next(r for r in rollups.region_stats(star).collect() if r["region"] == region)
+    for part in (rollups.drill_segments(star, region), rollups.drill_trend(star, region), rollups.drill_countries(star, region, 100)):
+        assert sum(r["sales"] for r in part.collect()) == pytest.approx(row["sales"])
+    assert sum(r["orders"] for r in rollups.drill_segments(star, region).collect()) == row["orders"]
+
+    whole = rollups.kpi(star).first()
+    markets = rollups.profit_by_market(star).collect()
+    split = [rollups.kpi(star, Filter(market=r["market"])).first() for r in markets]
+    for name in ("total_orders", "total_items", "total_quantity", "total_customers"):
+        assert sum(r[name] for r in split) == whole[name]
+    early, late = Filter(date_end="1997-12-31"), Filter(date_start="1998-01-01")
+    assert sum(rollups.kpi(star, f).first()["total_items"] for f in (early, late)) == whole["total_items"]
+    share = rollups.segment_share(rollups.drill_segments(star, region)).collect()
+    assert sum(r["share_pct"] for r in share) == pytest.approx(100, abs=0.3)
