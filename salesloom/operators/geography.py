@@ -31,7 +31,11 @@ def country_catalog(star: Star) -> DataFrame:
 
 
 def market_countries(star: Star) -> DataFrame:
-    """Sorted countries of each market; one without a market is ``Other``."""
+    """Sorted countries of each market; one without a market is ``Other``.
+
+    The lists hold entries of a taxonomy, taken from the dimension table after
+    duplicates are gone: they do not grow with the orders.
+    """
     market = F.coalesce(F.nullif(F.col("market"), F.lit("")), F.lit("Other")).alias("market")
     places = star.tables["dim_locations"].groupBy("country").agg(F.min("market").alias("market"))
     return places.groupBy(market).agg(F.sort_array(F.collect_list("country")).alias("countries"))
