@@ -49,25 +49,11 @@ RULES = (
     UrlRule("block", "net", "/fr/"),
 )
 
-# The labelled URL table, written by hand. Host and path words of
-# unwanted sites against those of ordinary ones, in equal number.
-BLOCKED = (
-    "http://cheap-pills.test/buy/now", "http://spam-farm.test/en/1", "https://casino-bonus.test/win",
-    "http://free-prizes.test/claim?id=1", "https://adult-videos.test/hot", "http://buy-followers.test/cheap",
-    "https://payday-loans.test/fast-cash", "http://pills-online.test/discount", "http://lottery-winner.test/claim",
-    "https://hot-singles.test/chat", "http://replica-watches.test/sale", "https://crypto-doubler.test/win",
-    "http://spam.links-farm.test/seo/12", "http://www.cheap-loans.test/apply", "https://poker-casino.test/bet",
-    "http://weight-loss-pills.test/trial", "https://free-download-crack.test/keygen", "http://xxx-cams.test/live",
-)
-ALLOWED = (
-    "http://news.daily.test/world/2020/article.html", "https://en.library.test/books/history",
-    "https://www.university.test/physics/course", "http://blog.garden.test/en/825", "https://docs.project.test/guide/start",
-    "https://museum.test/exhibits/painting", "http://m.weather.test/de/berlin", "https://recipes.test/soup/onion?page=2",
-    "https://www.council.test/services/schools", "http://forum.bicycle.test/thread/77", "https://journal.test/volume/3/issue/2",
-    "http://travel.test/fr/paris", "https://health.clinic.test/advice/sleep", "https://radio.test/programme/music",
-    "http://theatre.test/es/calendar", "https://blog.river.test/en/676", "https://thther.test/en/685.html",
-    "https://science.test/biology/cells",
-)
+# Words of unwanted sites and of ordinary ones, for the labelled table.
+BLOCKED_WORDS = """cheap pills spam farm casino bonus free prizes adult videos followers payday loans lottery winner
+singles replica watches crypto doubler poker betting crack keygen cams""".split()
+ALLOWED_WORDS = """news library university physics blog garden docs museum weather recipes council forum journal travel
+health radio theatre science history music school river theory reading article""".split()
 
 
 def url_parts(url: Column) -> tuple[Column, Column]:
@@ -79,8 +65,13 @@ def url_parts(url: Column) -> tuple[Column, Column]:
 
 
 def labelled_urls(spark: SparkSession) -> DataFrame:
-    """The built-in labelled table (url, label): 1 is blocked."""
-    rows = [F.struct(F.lit(u).alias("url"), F.lit(float(b)).alias("label")) for b, us in ((1, BLOCKED), (0, ALLOWED)) for u in us]
+    """The built-in labelled table (url, label), 1 is blocked: four URLs from each word and its neighbours."""
+    rows = []
+    for label, words in ((1.0, BLOCKED_WORDS), (0.0, ALLOWED_WORDS)):
+        for k, w in enumerate(words):
+            u, v = words[(k + 1) % len(words)], words[(k + 7) % len(words)]
+            made = (f"http://{w}-{u}.test/en/{k}", f"https://www.{w}{v}.test/{u}/{k}.html", f"http://m.{v}.test/{w}", f"https://{w}.test/fr/{k}#top")
+            rows += [F.struct(F.lit(x).alias("url"), F.lit(label).alias("label")) for x in made]
     return spark.range(1).select(F.inline(F.array(*rows)))
 
 
