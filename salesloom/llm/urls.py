@@ -51,9 +51,11 @@ RULES = (
 
 # Words of unwanted sites and of ordinary ones, for the labelled table.
 BLOCKED_WORDS = """cheap pills spam farm casino bonus free prizes adult videos followers payday loans lottery winner
-singles replica watches crypto doubler poker betting crack keygen cams""".split()
+singles replica watches crypto doubler poker betting crack keygen cams
+ads track tracker click popunder malware phishing scam xxx""".split()
 ALLOWED_WORDS = """news library university physics blog garden docs museum weather recipes council forum journal travel
-health radio theatre science history music school river theory reading article""".split()
+health radio theatre science history music school river theory reading article
+nation station nature thing thinking other mother northern lesson""".split()
 
 
 def url_parts(url: Column) -> tuple[Column, Column]:
