@@ -25,6 +25,7 @@ from salesloom.llm.columns import ascii_lower, packed, unpacked
 
 GRAMS = (3, 4)
 BUCKETS = 1 << 14
+BLOCK_FROM = 0.6  # probability from which the model blocks; below it a URL has the benefit of the doubt
 
 
 @dataclass(frozen=True)
@@ -112,6 +113,7 @@ def url_filter(
     pages: DataFrame,
     model: PipelineModel,
     rules: tuple[UrlRule, ...] = RULES,
+    block_from: float = BLOCK_FROM,
     url: str = "url",
     out: str = "url_filter",
 ) -> DataFrame:
@@ -122,12 +124,13 @@ def url_filter(
     named = (F.col("host") != "") | (F.col("path") != "")
     rows = rows.withColumn("grams", F.when(named, _grams(F.col("host"), F.col("path"))).otherwise(F.array().cast("array<string>")))
     scored = model.transform(rows).withColumn("found", _fitting_rule(rules, F.col("host"), F.col("path")))
-    by_model = F.when(F.col("prediction") == 1.0, "block").otherwise("allow")
+    probability = F.get(vector_to_array("probability"), F.lit(1))
+    by_model = F.when(probability >= block_from, "block").otherwise("allow")
     judged = F.struct(
         "host",
         "path",
         F.col("found.rule").alias("rule"),
         F.coalesce(F.col("found.verdict"), by_model).alias("verdict"),
-        F.get(vector_to_array("probability"), F.lit(1)).alias("block_probability"),
+        probability.alias("block_probability"),
     )
     return unpacked(scored.select("row", judged.alias("judged")), pages.columns, **{out: "judged"})
