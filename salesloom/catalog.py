@@ -18,7 +18,7 @@ from salesloom.session import scratch_path
 from salesloom.sources.export import export_csv, write_star
 from salesloom.sources.star import Star, load_star
 from salesloom.sources.trade import trade_star
-from salesloom.sources.transactions import read_transactions, star_transactions
+from salesloom.sources.transactions import as_fractions, read_transactions, star_transactions
 from salesloom.streaming.scoring import score_stream
 
 # Sample parameters of the registered queries.
@@ -26,7 +26,6 @@ FILTERED = Filter("1996-01-01", "1998-12-31", "", "APAC")
 REGION, COUNTRY, TEXT = "ASIA-0", "NATION_2", "brand#1"
 LOW, HIGH, DAY = "1995-01-01", "2001-08-01", "1997-05-28"
 QUARTER = "q4_1997"
-TREES = 5
 
 Query = Callable[[SparkSession, str], DataFrame]
 _registry: dict[str, Query] = {}
@@ -225,7 +224,7 @@ def _read_transactions(star):
 
 
 def _fractions(star: Star) -> DataFrame:
-    return star_transactions(star).withColumn("discount", F.col("discount") / F.lit(100.0))
+    return as_fractions(star_transactions(star))
 
 
 def _profit_features(star: Star) -> DataFrame:
@@ -246,6 +245,13 @@ def _mixed_scales(star: Star) -> DataFrame:
 _add("onehot_vocab", lambda star: features.onehot_vocab(star_transactions(star), features.categories_of("profit")))
 
 
+@query("triage_training_features")
+def _triage_features(star):
+    """What the triage models are fitted on, with the label of the four classes."""
+    frame = training.training_features(star, "priority")
+    return frame.select(*features.NUMERIC, F.col("label").cast("int").alias("label"))
+
+
 @query("onehot_features")
 def _onehot(star):
     records = star_transactions(star)
@@ -310,7 +316,7 @@ def _validation_split(star):
 _fitted: dict[tuple, training.Model] = {}
 
 
-def fitted(star: Star, task: str, trees: int = TREES) -> training.Model:
+def fitted(star: Star, task: str, trees: int | None = None) -> training.Model:
     """A model per session and source, fitted on first use."""
     session = star.tables["orders"].sparkSession
     key = (session.sparkContext.applicationId, star.origin, task, trees)
@@ -319,6 +325,14 @@ def fitted(star: Star, task: str, trees: int = TREES) -> training.Model:
     return _fitted[key]
 
 
+def _fitted_part(star: Star, task: str, part: DataFrame) -> training.Model:
+    """The model of the training part, fitted once for both reports."""
+    key = (part.sparkSession.sparkContext.applicationId, star.origin, task, "training part")
+    if key not in _fitted:
+        _fitted[key] = training.train(task, part)
+    return _fitted[key]
+
+
 def _training_summary(star: Star, task: str) -> DataFrame:
     """How the fitted model does on the lines it was fitted on."""
     judged = fitted(star, task).transform(training.training_features(star, task))
@@ -361,8 +375,8 @@ _add(
         star_transactions(star), fitted(star, "profit_class"), fitted(star, "profit_amount")
     ),
 )
-_add("score_priority_binary", lambda star: scoring.score_priority(star_transactions(star), fitted(star, "urgency")))
-_add("score_priority_4class", lambda star: scoring.score_priority(star_transactions(star), fitted(star, "priority")))
+_add("score_priority_binary", lambda star: scoring.score_priority(_fractions(star), fitted(star, "urgency")))
+_add("score_priority_4class", lambda star: scoring.score_priority(_fractions(star), fitted(star, "priority")))
 _add("what_if_curve", lambda star: scoring.what_if_curve(star_transactions(star), fitted(star, "profit_amount")))
 _add("what_if_best", lambda star: scoring.what_if_best(star_transactions(star), fitted(star, "profit_amount")))
 
@@ -403,7 +417,7 @@ _add("decode_priority4", lambda star: _decoded(star, scoring.decode_priority4("g
 
 @query("features_used")
 def _features_used(star):
-    frame = features.features_priority(star_transactions(star)).select(scoring.features_used().alias("f"))
+    frame = features.features_priority(_fractions(star)).select(scoring.features_used().alias("f"))
     return frame.select("f.*")
 
 
@@ -448,7 +462,7 @@ _add("score_sample", lambda star: evaluation.score_sample(star, fitted(star, "pr
 for _part in ("holdout", "training"):
     _add(
         f"report_{_part}",
-        lambda star, part=_part: evaluation.report_on_star(star, "priority", lambda t, f: training.train(t, f, TREES), part),
+        lambda star, part=_part: evaluation.report_on_star(star, "priority", partial(_fitted_part, star), part),
     )
 
 

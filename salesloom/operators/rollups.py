@@ -160,13 +160,13 @@ def monthly_sales_trend(star: Star, flt: Filter = NO_FILTER) -> DataFrame:
 def profit_histogram(star: Star, width: float = 5000.0) -> DataFrame:
     """Lines per profit bucket of equal width."""
     bucket = F.floor(F.col("profit").cast("double") / F.lit(width)) * F.lit(width)
-    counted = lines(star, ["profit"]).groupBy(bucket.cast("double").alias("bucket_start"))
+    counted = lines(star, ["profit"], through=()).groupBy(bucket.cast("double").alias("bucket_start"))
     return counted.agg(F.count(F.lit(1)).alias("line_count")).orderBy("bucket_start")
 
 
 def profit_vs_discount(star: Star) -> DataFrame:
     """Per discount level: lines, average profit and share of losing lines."""
-    level = lines(star, ["discount", "profit"]).groupBy("discount")
+    level = lines(star, ["discount", "profit"], through=()).groupBy("discount")
     losing = F.sum(F.when(F.col("profit") < 0, 1).otherwise(0))
     totals = level.agg(
         F.count(F.lit(1)).alias("line_count"),
@@ -335,12 +335,12 @@ def quantity_bubble(stats: DataFrame) -> DataFrame:
 
 def profit_badge_counts(star: Star) -> DataFrame:
     """Lines per profit badge level."""
-    counted = lines(star, ["profit"]).groupBy(profit_level(F.round("profit", 2)).alias("level"))
+    counted = lines(star, ["profit"], through=()).groupBy(profit_level(F.round("profit", 2)).alias("level"))
     return counted.agg(F.count(F.lit(1)).alias("line_count"), money(F.sum("profit")).alias("profit"))
 
 
 def net_status_counts(star: Star) -> DataFrame:
-    counted = lines(star, ["profit"]).groupBy(net_status("profit").alias("net_status"))
+    counted = lines(star, ["profit"], through=()).groupBy(net_status("profit").alias("net_status"))
     return counted.agg(F.count(F.lit(1)).alias("line_count"))
 
 
@@ -373,7 +373,7 @@ def headers_with_badges(star: Star) -> DataFrame:
 
 def margin_metrics(star: Star) -> DataFrame:
     """Margin, bar width and discount cost per line, summed up per sub-category."""
-    per_line = lines(star, ["sub_category", "sales", "profit", "discount"])
+    per_line = lines(star, ["sub_category", "sales", "profit", "discount"], through=())
     margin = margin_percent("profit", "sales")
     impact = discount_money("sales", F.col("discount").cast("double") * F.lit(100.0))
     return (

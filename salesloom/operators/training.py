@@ -16,8 +16,8 @@ from salesloom.operators.features import (
     Encoder,
     categories_of,
     class_weights,
-    features_priority,
     features_profit,
+    features_training,
     fit_encoder,
     label_priority4,
     label_profit,
@@ -26,7 +26,7 @@ from salesloom.operators.features import (
 from salesloom.plans.filters import NO_FILTER, Filter
 from salesloom.session import stored
 from salesloom.sources.star import Star
-from salesloom.sources.transactions import star_transactions
+from salesloom.sources.transactions import as_fractions, star_transactions
 
 # The tuned hyper-parameters of the two priority models. Spark
 # samples features per node where the tuned library samples them per tree.
@@ -72,12 +72,15 @@ def training_features(star: Star, task: str, flt: Filter = NO_FILTER) -> DataFra
         "profit_amount": F.col("profit"),
     }[task]
     labelled = frame.withColumn("label", label.cast("double")).where("label IS NOT NULL")
-    return (features_priority if kind_of(task) == "priority" else features_profit)(labelled)
+    if kind_of(task) == "profit":
+        return features_profit(labelled)
+    # The star's records carry percent; triage is fitted on fractions, so that 1 % is not taken for 100 %.
+    return features_training(as_fractions(labelled))
 
 
 def holdout(frame: DataFrame, tenths: int = 2) -> tuple[DataFrame, DataFrame]:
-    """Training part and held-out part, split by a hash of the line's keys."""
-    slot = F.pmod(F.xxhash64("order_key", "row_id"), F.lit(10))
+    """Training part and held-out part; all lines of an order, which share its priority, are in one of them."""
+    slot = F.pmod(F.xxhash64("order_key"), F.lit(10))
     return frame.where(slot >= tenths), frame.where(slot < tenths)
 
 

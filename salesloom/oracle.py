@@ -303,12 +303,16 @@ NUMERIC = (
 )
 
 
-def _features(discount: str, total: str, ratio: str = "CASE WHEN s > 0 THEN f / s ELSE 0.0 END") -> str:
-    inner = f"""SELECT {dbl('sales')} AS s, {discount} AS d, {dbl('quantity')} AS q, {dbl('shipping_cost')} AS f FROM fact"""
+def _features(discount: str, total: str, ratio: str = "CASE WHEN s > 0 THEN f / s ELSE 0.0 END", more: str = "") -> str:
+    inner = f"""SELECT *, {dbl('sales')} AS s, {discount} AS d, {dbl('quantity')} AS q, {dbl('shipping_cost')} AS f FROM fact"""
     return f"""SELECT s AS sales, d AS discount, q AS quantity, f AS shipping_cost, {ratio} AS shipping_cost_ratio,
-        s * d AS discount_impact, {total} AS total_cost_spent FROM ({inner})"""
+        s * d AS discount_impact, {total} AS total_cost_spent{more}
+        FROM (SELECT order_priority, s, d, q, f FROM ({inner}))"""
 
 
+PRIORITY_LABEL = (
+    ", CASE order_priority WHEN 'Critical' THEN 0 WHEN 'High' THEN 1 WHEN 'Low' THEN 2 WHEN 'Medium' THEN 3 END AS label"
+)
 # Discount as it comes in a record: percent, as a double.
 PCT = dbl("discount * 100")
 PROFIT_FEATURES = _features(f"{PCT} / CAST(100 AS DOUBLE)", "f + s * d")
@@ -316,7 +320,7 @@ FRACTION = f"{PCT} / CAST(100 AS DOUBLE)"
 TRAINING_FEATURES = _features(FRACTION, "s + f", "COALESCE(f / NULLIF(s, 0), 0.0)")
 _MIXED = f"CASE WHEN quantity % 2 = 1 THEN {PCT} ELSE {FRACTION} END"
 PRIORITY_FEATURES = _features(f"CASE WHEN {_MIXED} > 1.0 THEN {_MIXED} / CAST(100 AS DOUBLE) ELSE {_MIXED} END", "s + f")
-TRIAGE_FEATURES = _features(f"CASE WHEN {PCT} > 1.0 THEN {PCT} / CAST(100 AS DOUBLE) ELSE {PCT} END", "s + f")
+TRIAGE_FEATURES = _features(f"CASE WHEN {FRACTION} > 1.0 THEN {FRACTION} / CAST(100 AS DOUBLE) ELSE {FRACTION} END", "s + f")
 
 _VOCABULARY = " UNION ALL ".join(
     f"SELECT '{c}' AS feature, {c} AS level FROM fact GROUP BY {c} HAVING {c} > (SELECT min({c}) FROM fact)" for c in LEVELS
@@ -582,6 +586,7 @@ def oracle_sql() -> dict[str, str]:
     out["features_profit"] = _sql(PROFIT_FEATURES)
     out["features_priority"] = _sql(PRIORITY_FEATURES)
     out["features_training"] = _sql(TRAINING_FEATURES)
+    out["triage_training_features"] = _sql(_features(FRACTION, "s + f", "COALESCE(f / NULLIF(s, 0), 0.0)", PRIORITY_LABEL))
     out["onehot_vocab"] = _sql(_VOCABULARY)
     out["onehot_features"] = _sql(f"SELECT {_ONEHOT} FROM fact")
     out["scaler_stats"] = _sql(_SCALER, f"tf AS ({TRAINING_FEATURES})")

@@ -3,7 +3,8 @@
 The members of a bundle are not nine scans of the fact. Each distributive
 measure is first summed to a small frame keyed by the attributes the members
 group by (years, regions, sub-categories: their number does not grow with the
-data), that frame is cached, and the members are read from it.
+data), that frame is written once to the shared folder, and the members are read
+from it. Nothing stays cached.
 """
 
 from __future__ import annotations
@@ -14,37 +15,20 @@ from pyspark.sql import functions as F
 from salesloom.operators import rollups
 from salesloom.plans.fact import BASIC, PRICED, carried, line_partials, order_totals, totalled
 from salesloom.plans.filters import NO_FILTER, Filter
+from salesloom.session import stored
 from salesloom.sources.star import Star
 
 
-class Bundle(dict):
-    """Named result sets; leaving the ``with`` block drops the shared frames."""
-
-    def __init__(self, members: dict[str, DataFrame], shared: list[DataFrame]):
-        super().__init__(members)
-        self._shared = shared
-
-    def release(self) -> None:
-        for frame in self._shared:
-            frame.unpersist()
-
-    def __enter__(self) -> Bundle:
-        return self
-
-    def __exit__(self, *_) -> None:
-        self.release()
-
-
-def dashboard_summary(star: Star, flt: Filter = NO_FILTER) -> Bundle:
+def dashboard_summary(star: Star, flt: Filter = NO_FILTER) -> dict[str, DataFrame]:
     """Nine result sets under one filter; ship modes are never filtered."""
     goods = line_partials(star, ["year", "category", "sub_category", "_stocked"], PRICED, flt, optional=("products",))
-    goods = goods.persist()
+    goods = stored(goods, "goods")
     places = (
         order_totals(star, PRICED, ["region", "market"], flt)
         .groupBy("region", "market")
         .agg(*carried(PRICED), F.count(F.lit(1)).alias("orders"))
-        .persist()
     )
+    places = stored(places, "places")
 
     def by_goods(key: str) -> DataFrame:
         return goods.where("_stocked").groupBy(key).agg(*totalled(PRICED))
@@ -53,39 +37,33 @@ def dashboard_summary(star: Star, flt: Filter = NO_FILTER) -> Bundle:
         return places.groupBy(key).agg(*totalled(PRICED), F.sum("orders").alias("orders"))
 
     subcategories = by_goods("sub_category")
-    return Bundle(
-        {
-            "kpi": rollups.kpi(star, flt),
-            "revenue_by_year": rollups.year_rows(goods.groupBy("year").agg(*totalled(BASIC))),
-            "sales_by_category": rollups.category_rows(by_goods("category")),
-            "profit_by_market": rollups.market_rows(by_place("market")),
-            "top_subcategory": rollups.subcategory_rows(subcategories),
-            "orders_by_shipmode": rollups.orders_by_shipmode(star),
-            "segment_stats": rollups.segment_stats(star, flt),
-            "region_stats": rollups.region_rows(by_place("region")),
-            "quantity_stats": rollups.quantity_rows(subcategories),
-        },
-        [goods, places],
-    )
-
-
-def region_drilldown(star: Star, region: str, limit: int = rollups.DRILL_ROWS) -> Bundle:
+    return {
+        "kpi": rollups.kpi(star, flt),
+        "revenue_by_year": rollups.year_rows(goods.groupBy("year").agg(*totalled(BASIC))),
+        "sales_by_category": rollups.category_rows(by_goods("category")),
+        "profit_by_market": rollups.market_rows(by_place("market")),
+        "top_subcategory": rollups.subcategory_rows(subcategories),
+        "orders_by_shipmode": rollups.orders_by_shipmode(star),
+        "segment_stats": rollups.segment_stats(star, flt),
+        "region_stats": rollups.region_rows(by_place("region")),
+        "quantity_stats": rollups.quantity_rows(subcategories),
+    }
+
+
+def region_drilldown(star: Star, region: str, limit: int = rollups.DRILL_ROWS) -> dict[str, DataFrame]:
     """Four result sets of one required region, plus the segment shares."""
     flt = rollups.required_region(region)
     goods = line_partials(star, ["year", "category", "sub_category", "_stocked"], PRICED, flt, optional=("products",))
-    goods = goods.persist()
+    goods = stored(goods, "goods")
     stocked = goods.where("_stocked")
     segments = rollups.drill_segments(star, region)
-    return Bundle(
-        {
-            "top_subcategories": rollups.drill_subcategory_rows(stocked, limit),
-            "segments": segments,
-            "segment_share": rollups.segment_share(segments),
-            "trend": rollups.drill_trend_rows(goods.groupBy("year").agg(*totalled(BASIC))),
-            "top_countries": rollups.drill_countries(star, region, limit),
-        },
-        [goods],
-    )
+    return {
+        "top_subcategories": rollups.drill_subcategory_rows(stocked, limit),
+        "segments": segments,
+        "segment_share": rollups.segment_share(segments),
+        "trend": rollups.drill_trend_rows(goods.groupBy("year").agg(*totalled(BASIC))),
+        "top_countries": rollups.drill_countries(star, region, limit),
+    }
 
 
 def tidy(bundle: dict[str, DataFrame]) -> DataFrame:
@@ -99,7 +77,7 @@ def tidy(bundle: dict[str, DataFrame]) -> DataFrame:
             F.array(*[F.struct(F.lit(n).alias("measure"), F.col(n).cast("double").alias("value")) for n in numbers])
         ).alias("cell")
         part = frame.select(F.lit(section).alias("section"), label.alias("label"), cells).select(
-            "section", "label", "cell.measure", "cell.value"
+        "section", "label", "cell.measure", "cell.value"
         )
         whole = part if whole is None else whole.unionByName(part)
     return whole

@@ -202,8 +202,12 @@ def line_totals(star: Star, keys, measures, flt: Filter = NO_FILTER, through=("o
 def order_totals(star: Star, measures, columns=(), flt: Filter = NO_FILTER, through=()) -> DataFrame:
     """One row per order that has lines: partials plus header columns."""
     product_join = tuple(t for t in through if t == "products")
-    per_order = line_partials(star, ["order_key"], measures, through=product_join)
-    return per_order.join(headers(star, columns, flt, through), "order_key")
+    wanted = headers(star, columns, flt, through)
+    frame = lines(star, ["order_key", *measure_inputs(measures)], through=product_join)
+    if flt != NO_FILTER:
+        # Lines of other orders go before they are summed; the sum reuses the join's partitioning.
+        frame = frame.join(wanted.select("order_key"), "order_key", "left_semi")
+    return frame.groupBy("order_key").agg(*partials(measures)).join(wanted, "order_key")
 
 
 # --- Output measures ------------------------------------------------------

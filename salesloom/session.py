@@ -9,14 +9,10 @@ from pyspark.sql import DataFrame, SparkSession
 
 # Runtime re-planning does the skew work: a hot product or customer splits
 # into several join tasks, and broadcasts happen only below the size threshold.
-# Filtered headers are large before their filter, so the runtime filter on the
-# lines' order keys must not be given up because of the table's size: with it a
-# filtered rollup drops other orders' lines at the scan, before they are summed.
 RECOMMENDED = {
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
-    "spark.sql.optimizer.runtime.bloomFilter.creationSideThreshold": "100TB",
     "spark.sql.session.timeZone": "UTC",
 }
 

@@ -58,3 +58,8 @@ def star_transactions(star: Star, flt: Filter = NO_FILTER, extra=()) -> DataFram
         for c in NUMBERS
     ]
     return frame.select(*numbers, *PROFIT_FEATURES, *extra)
+
+
+def as_fractions(records: DataFrame) -> DataFrame:
+    """Records with discounts in percent as records with fractions."""
+    return records.withColumn("discount", F.col("discount") / F.lit(100.0))

@@ -54,9 +54,11 @@ def score_stream(
     records = stream_transactions(spark, source, kind, fmt, files_per_batch)
 
     def write(batch: DataFrame, number: int) -> None:
+        batch = batch.persist()  # both writes read it: the files are parsed once
         scored, rejected = score_records(batch, models)
         scored.write.mode("overwrite").parquet(f"{out}/scored/batch={number}")
         rejected.write.mode("overwrite").parquet(f"{out}/rejected/batch={number}")
+        batch.unpersist()
 
     place = checkpoint or f"{out}/_progress"
     return (

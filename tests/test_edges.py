@@ -82,20 +82,20 @@ def test_filtered_rollups(edge, edge_db, flt, where):
 
 @pytest.mark.parametrize("flt", [FILTERS[0][0], FILTERS[3][0]])
 def test_bundle_members_equal_single_queries(edge, flt):
-    with dashboard_summary(edge, flt) as bundle:
-        assert len(bundle) == 9
-        for name, frame in bundle.items():
-            single = getattr(rollups, name)
-            alone = single(edge) if name == "orders_by_shipmode" else single(edge, flt)
-            assert frame.columns == alone.columns
-            assert frame.collect() == alone.collect(), name
+    bundle = dashboard_summary(edge, flt)
+    assert len(bundle) == 9
+    for name, frame in bundle.items():
+        single = getattr(rollups, name)
+        alone = single(edge) if name == "orders_by_shipmode" else single(edge, flt)
+        assert frame.columns == alone.columns
+        assert frame.collect() == alone.collect(), name
 
 
 def test_drilldown_members_equal_single_queries(edge):
-    with region_drilldown(edge, "North") as bundle:
-        assert bundle["top_subcategories"].collect() == rollups.drill_subcategories(edge, "North").collect()
-        assert bundle["trend"].collect() == rollups.drill_trend(edge, "North").collect()
-        assert bundle["top_countries"].collect() == rollups.drill_countries(edge, "North").collect()
+    bundle = region_drilldown(edge, "North")
+    assert bundle["top_subcategories"].collect() == rollups.drill_subcategories(edge, "North").collect()
+    assert bundle["trend"].collect() == rollups.drill_trend(edge, "North").collect()
+    assert bundle["top_countries"].collect() == rollups.drill_countries(edge, "North").collect()
     with pytest.raises(ValueError):
         region_drilldown(edge, " ")
 

@@ -143,19 +143,37 @@ def _orders_without_lines() -> int:
     return 5001 - len(used)
 
 
-def test_filtered_rollups_drop_lines_at_the_scan(spark, star):
-    """With large tables the filter's order keys reach the line scan."""
-    large = {
-        "spark__sql__autoBroadcastJoinThreshold": "-1",
-        "spark__sql__optimizer__runtime__bloomFilter__applicationSideScanSizeThreshold": "0",
-    }
-    with settings(spark, **large):
-        frame = rollups.region_stats(star, Filter("1996-01-01", "1996-12-31", market="EU"))
-        text = frame._jdf.queryExecution().optimizedPlan().toString()
-        rows = frame.collect()
-    line_filter = next(line for line in text.splitlines() if "might_contain" in line and "l_orderkey" in line)
-    assert "Filter" in line_filter
-    assert rows == rollups.region_stats(star, Filter("1996-01-01", "1996-12-31", market="EU")).collect()
+def test_filtered_rollups_drop_lines_before_the_sum(spark, star):
+    """The filter's order keys meet the lines below the first sum, in a plain session."""
+    flt = Filter("1996-01-01", "1996-12-31", market="EU")
+    with settings(spark, spark__sql__autoBroadcastJoinThreshold="-1"):
+        text = rollups.region_stats(star, flt)._jdf.queryExecution().optimizedPlan().toString()
+    rows = text.splitlines()
+    semi = next(n for n, line in enumerate(rows) if "Join LeftSemi" in line)
+    sums = [n for n, line in enumerate(rows) if "Aggregate" in line and "order_key" in line.replace("l_orderkey", "order_key")]
+    assert sums and max(n for n in sums if n < semi) < semi
+    assert not [n for n in sums if n > semi]
+
+
+def test_line_rollups_do_not_read_orders(spark, star):
+    for frame in (rollups.profit_histogram(star), rollups.profit_vs_discount(star), rollups.net_status_counts(star)):
+        assert "o_orderkey" not in frame._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_nothing_stays_cached(spark, star):
+    from salesloom.plans.bundles import dashboard_summary, tidy
+
+    before = spark.sparkContext._jsc.getPersistentRDDs().size()
+    tidy(dashboard_summary(star)).collect()
+    assert spark.sparkContext._jsc.getPersistentRDDs().size() == before
+
+
+def test_triage_trains_on_the_tables_discounts(spark, star):
+    from salesloom.operators.training import training_features
+    from salesloom.sources.transactions import star_transactions
+
+    most = star_transactions(star).agg(F.max("discount") / 100).first()[0]
+    assert training_features(star, "priority").agg(F.max("discount")).first()[0] == most < 1
 
 
 def test_best_discount_shuffles_once(spark, star, monkeypatch):
