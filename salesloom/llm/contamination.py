@@ -78,17 +78,19 @@ def _key(doc_id: str, text: str) -> Column:
 def window_hits(docs: DataFrame, prefix: DataFrame, key: str, text: str = "text") -> DataFrame:
     """Every occurrence of a window in a document: key, start (0 based), length, items."""
     rows = docs.select(_key(key, text), benchmark_words(F.col(text)).alias("words"))
-    size = F.size("found")
-    begin = F.col("place") - F.col("offset")
+    # The window as text: unlike a lambda over its words this stays in generated code,
+    # where the document's words are referred to and not copied for each of them.
+    prefix = prefix.select("token", "offset", "items", F.size("found").alias("size"), F.array_join("found", " ").alias("phrase"))
+    size, begin = F.col("size"), F.col("place") - F.col("offset")
     within = (begin >= 0) & (begin + size <= F.size("words"))
-    there = F.transform(F.slice("words", begin + 1, size), lambda w: ascii_lower(w))
+    there = ascii_lower(F.array_join(F.slice("words", begin + 1, size), " "))
     if prefix.count() <= BROADCAST_ROWS:
         said = rows.select("key", "words", F.posexplode_outer("words").alias("place", "word"))
         met = said.join(F.broadcast(prefix), F.lower("word") == F.col("token"))
     else:
         said = rows.select("key", F.posexplode_outer("words").alias("place", "word"))
         met = said.join(prefix, F.lower("word") == F.col("token")).drop("word").join(rows, "key")
-    met = met.where(within & F.when(within, there == F.col("found")).otherwise(False))
+    met = met.where(within & F.when(within, there == F.col("phrase")).otherwise(False))
     return met.select("key", begin.alias("start"), size.alias("length"), "items")
 
 
