@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 
 
-from salesloom.llm import bpe, chat, contamination, lines, neardup, oracle, quality, queries, tokens, urls, warc, wrappers
+from salesloom.llm import bpe, chat, contamination, lines, neardup, oracle, quality, queries, sieve, tokens, urls, warc, wrappers
 from salesloom.llm.groups import connected
 
 SMALL = "/root/testdata/sf0.001"
@@ -305,6 +305,21 @@ def test_connected_chain(spark):
     assert got == {k: 0 for k in range(41)} | {100: 100, 101: 100}
 
 
+def test_sieve_keeps_every_wanted_key(spark, monkeypatch):
+    """Few bits let more rows through, and never lose one; a null key passes only if it is wanted."""
+    frame = spark.createDataFrame([(k, f"t{k}") for k in range(500)] + [(None, "none")], "id long, text string")
+    wanted = frame.where("id % 7 = 3").select("id")
+    want = {k for k in range(500) if k % 7 == 3}
+    for rows in (1 << 20, 1):
+        monkeypatch.setattr(sieve, "ROWS", rows)
+        kept = [r.id for r in sieve.sifted(frame, wanted, "id").collect()]
+        assert want <= set(kept) and len(kept) == len(set(kept))
+        if rows > 1:
+            assert len(kept) < 100 and None not in kept
+    assert sieve.sifted(frame, wanted.limit(0), "id").count() == 0
+    assert None in [r.id for r in sieve.sifted(frame, frame.where("id is null").select("id"), "id").collect()]
+
+
 # --- 7: HTML
 
 
