@@ -36,6 +36,7 @@ from pyspark.sql import functions as F
 
 from salesloom.llm.columns import packed, settled, unpacked
 from salesloom.llm.groups import connected
+from salesloom.llm.sieve import sifted
 from salesloom.session import stored
 
 LEAST_WORDS = 5
@@ -45,20 +46,22 @@ SIMILARITY = 0.8
 MARKS = r"[^\p{L}\p{N}]+"
 HAS_WORD = r"[^\x20\x09-\x0D]"
 LANES = 32
-BUCKETS = 1 << 20  # hash buckets that candidates are looked up by; a bound on what is broadcast
+NARROW = 8  # part of the allowed edits that a pair is first compared within
 
 
-def normal(line: Column) -> Column:
-    """A line without case and marks; of a line of marks only, its text."""
-    words = F.trim(F.regexp_replace(F.lower(line), MARKS, " "))
-    return F.when(words == "", F.trim(line)).otherwise(words)
+def _normalised(rows: DataFrame) -> DataFrame:
+    """Rows with `normal`: the line without case and marks; of a line of marks only, its text.
+
+    In two steps, so that the words are found once per line.
+    """
+    rows = rows.withColumn("words", F.trim(F.regexp_replace(F.lower("line"), MARKS, " ")))
+    return rows.withColumn("normal", F.when(F.col("words") == "", F.trim("line")).otherwise(F.col("words"))).drop("words")
 
 
 def _lines(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
-    """Lines with a word: id, body (hash of the text, to tell repeated ids apart), place, line."""
+    """Every line: id, body (hash of the text, to tell repeated ids apart), place, line."""
     rows = docs.select(F.col(doc_id).alias("id"), F.xxhash64(text).alias("body"), F.split(text, "\n").alias("lines"))
-    rows = rows.select("id", "body", F.posexplode_outer("lines").alias("place", "line"))
-    return rows.where(F.col("line").rlike(HAS_WORD)).withColumn("normal", normal(F.col("line")))
+    return rows.select("id", "body", F.posexplode_outer("lines").alias("place", "line"))
 
 
 def _keys() -> list[Column]:
@@ -68,7 +71,7 @@ def _keys() -> list[Column]:
 
 def _occurrences(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
     """Every line with its hashes and SimHash (null for few words): id, body, place, h1, h2, simhash."""
-    lines = _lines(docs, doc_id, text).withColumn("row", F.monotonically_increasing_id())
+    lines = _normalised(_lines(docs, doc_id, text).where(F.col("line").rlike(HAS_WORD))).withColumn("row", F.monotonically_increasing_id())
     votes = lines.select("row", "id", "body", "place", *_keys(), F.explode_outer(F.array_distinct(F.split("normal", " "))).alias("word"))
     votes = votes.withColumn("hash", F.xxhash64("word"))
     lanes = [f"sum((shiftrightunsigned(hash, {k}) & 1) + shiftleft(shiftrightunsigned(hash, {k + LANES}) & 1, {LANES})) as lane{k}" for k in range(LANES)]
@@ -97,7 +100,8 @@ def _candidates(lines: DataFrame) -> tuple[DataFrame, DataFrame]:
         F.count("*").alias("n"), F.min("line").alias("a"), F.max("line").alias("b"), F.bit_xor("simhash").alias("apart")
     )
     sizes = stored(sizes.where(f"n > 2 or (n = 2 and bit_count(apart) <= {FAR})"), "line-buckets")
-    crowds = stored(keyed.join(sizes.where("n > 2").select("key"), "key", "left_semi"), "line-crowds")
+    crowded = sizes.where("n > 2").select("key")
+    crowds = stored(sifted(keyed, crowded, "key").join(crowded, "key", "left_semi"), "line-crowds")
     ordered = Window.partitionBy("key").orderBy("simhash", "line")
     beside = lambda f: crowds.select(f.alias("other"), "line", "simhash")
     near = beside(F.lag(F.struct("line", "simhash")).over(ordered)).unionByName(beside(F.first(F.struct("line", "simhash")).over(ordered)))
@@ -117,32 +121,38 @@ def _linked(pairs: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
     longest = F.greatest(F.length("text_a"), F.length("text_b"))
     most = F.floor((1 - similarity) * longest + 1e-9).cast("int")
     met = met.where(F.abs(F.length("text_a") - F.length("text_b")) <= most).withColumn("most", most)
-    return met.where(F.expr("levenshtein(text_a, text_b, most)") >= 0).select("a", "b")
+    # Near copies are told by a narrow band of the table; only the others need the whole band.
+    narrow = F.expr(f"levenshtein(text_a, text_b, most div {NARROW})") >= 0
+    return met.where(narrow | (F.expr("levenshtein(text_a, text_b, most)") >= 0)).select("a", "b")
 
 
 def _texts(docs: DataFrame, wanted: DataFrame, doc_id: str, text: str) -> DataFrame:
-    """The normalised text of wanted lines (line, h1, h2): line, normal.
+    """The normalised text of wanted lines (line, h1, h2, spot): line, normal.
 
-    The wanted hashes are first looked up by bucket, a table of at most BUCKETS
-    rows, so that of the corpus little more than the wanted lines is shuffled.
+    Of the corpus only lines at the wanted spots are normalised and shuffled, and
+    the few others whose hash sets the same bit, which the join by hashes drops.
     """
-    bucket = F.pmod("h1", F.lit(BUCKETS))
-    buckets = wanted.select(bucket.alias("bucket")).distinct()
-    rows = _lines(docs, doc_id, text).select("normal", *_keys()).withColumn("bucket", bucket)
-    near = rows.join(F.broadcast(buckets), "bucket", "left_semi").select("h1", "h2", "normal")
+    rows = _lines(docs, doc_id, text).withColumn("spot", _spot())
+    near = _normalised(sifted(rows, wanted, "spot")).select("normal", *_keys())
     once = near.groupBy("h1", "h2").agg(F.first("normal").alias("normal"))
     return once.join(wanted, ["h1", "h2"]).select("line", "normal")
 
 
+def _spot() -> Column:
+    """A hash that stands for a line's document and place."""
+    return F.xxhash64("id", "body", "place")
+
+
 def line_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", similarity: float = SIMILARITY) -> DataFrame:
     """Every line with a word: id, body, place, h1, h2, group, kept."""
     found = stored(_occurrences(docs, doc_id, text), "line-occurrences")
-    lines = found.groupBy("h1", "h2").agg(F.max("simhash").alias("simhash"), F.count("*").alias("n"))
+    lines = found.groupBy("h1", "h2").agg(F.max("simhash").alias("simhash"), F.count("*").alias("n"), F.min(_spot()).alias("spot"))
     lines = stored(lines.withColumn("line", F.monotonically_increasing_id()), "lines")
     pairs, crowds = _candidates(lines)
     pairs = stored(pairs, "line-pairs")
     ends = pairs.select(F.col("a").alias("line")).unionByName(pairs.select(F.col("b").alias("line")))
-    wanted = ends.unionByName(crowds.select("line")).distinct().join(lines, "line").select("line", "h1", "h2")
+    wanted = ends.unionByName(crowds.select("line")).distinct().join(lines, "line").select("line", "h1", "h2", "spot")
+    wanted = stored(wanted, "line-wanted")
     texts = stored(_texts(docs, wanted, doc_id, text), "line-texts")
     links = stored(_linked(pairs, texts, similarity), "line-links")
     groups = connected(links, "line-groups")

@@ -6,8 +6,8 @@ A row whose bit is not set has no wanted key; a row whose bit is set may have on
 An exact join must follow. With many more keys than bits the filter lets nearly
 all rows through, which costs shuffling and changes no result.
 
-Defined results: a null key passes only where a null key is wanted; with no
-wanted key nothing passes; columns of the frame are kept as they are.
+Defined results: a null key has a hash like any other; with no wanted key nothing
+passes; columns of the frame are kept as they are.
 """
 
 from __future__ import annotations
