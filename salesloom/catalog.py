@@ -152,7 +152,7 @@ def _keyset_page(star):
     """Second page of products, reached from the last row of the first."""
     frame = listings.products_rollup(star)
     first = listings.page_after(frame, "total_profit", None, 20).collect()
-    return listings.page_after(frame, "total_profit", first[-1].asDict(), 20)
+    return listings.page_after(frame, "total_profit", first[-1].asDict() if first else None, 20)
 
 
 @query("customer_texts")

@@ -8,7 +8,6 @@ from pyspark.sql import functions as F
 from salesloom.functions.numeric import (
     bar_width,
     bubble_radius,
-    discount_money,
     fractional_days,
     margin_percent,
     money,
@@ -31,6 +30,7 @@ from salesloom.plans.fact import (
     BASIC,
     PRICED,
     carried,
+    exact_sum,
     headers,
     line_partials,
     line_totals,
@@ -372,10 +372,13 @@ def headers_with_badges(star: Star) -> DataFrame:
 
 
 def margin_metrics(star: Star) -> DataFrame:
-    """Margin, bar width and discount cost per line, summed up per sub-category."""
-    per_line = lines(star, ["sub_category", "sales", "profit", "discount"], through=())
+    """Margin, bar width and discount cost per line, summed up per sub-category.
+
+    Sales times discount is a whole number of 10^-8 and is summed exactly.
+    """
+    per_line = lines(star, ["sub_category", "sales", "profit", "sales_units", "discount_units"], through=())
     margin = margin_percent("profit", "sales")
-    impact = discount_money("sales", F.col("discount").cast("double") * F.lit(100.0))
+    impact = F.col("sales_units") * F.col("discount_units")
     return (
         per_line.select("sub_category", margin.alias("margin"), impact.alias("impact"))
         .groupBy("sub_category")
@@ -384,6 +387,6 @@ def margin_metrics(star: Star) -> DataFrame:
             F.round(F.min("margin"), 4).alias("min_margin_pct"),
             F.round(F.max("margin"), 4).alias("max_margin_pct"),
             rounded(F.avg(bar_width("margin")), 4).alias("avg_bar_width"),
-            rounded(F.sum("impact"), 4).alias("discount_impact"),
+            rounded(exact_sum("impact", "0.00000001"), 4).alias("discount_impact"),
         )
     )

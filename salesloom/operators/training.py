@@ -108,12 +108,8 @@ def _estimator(task: str, trees: int | None):
 
 
 def _spread(features: DataFrame) -> DataFrame:
-    """Fitting passes over its rows many times: give every core some.
-
-    Only a frame with fewer splits than cores is moved, so a large one is not.
-    """
-    cores = features.sparkSession.sparkContext.defaultParallelism
-    return features.repartition(cores) if features.rdd.getNumPartitions() < cores else features
+    """Fitting passes over its rows many times: they are dealt evenly, once, when written."""
+    return features.repartition(int(features.sparkSession.conf.get("spark.sql.shuffle.partitions")))
 
 
 def train(task: str, features: DataFrame, trees: int | None = None) -> Model:
@@ -123,9 +119,9 @@ def train(task: str, features: DataFrame, trees: int | None = None) -> Model:
     # Vocabulary, scaler, weights and the fit each read the features: the joins
     # behind them run once, and a lost executor costs a read, not a re-join.
     # Boosting cuts its own lineage every few trees in the same folder.
-    features = stored(features.select(*NUMERIC, *categories_of(kind_of(task)), "label"), f"train-{task}")
+    features = stored(_spread(features.select(*NUMERIC, *categories_of(kind_of(task)), "label")), f"train-{task}")
     encoder = fit_encoder(features, kind_of(task))
-    ready = with_vector(_spread(features), encoder).select("features", "label")
+    ready = with_vector(features, encoder).select("features", "label")
     if task == "priority":
         # One row per class: the four labels bound what is broadcast.
         weights = class_weights(ready, "label").select("label", "weight")

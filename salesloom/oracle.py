@@ -6,7 +6,15 @@ per line and aggregate with plain ``COUNT(DISTINCT ...)``.
 
 from __future__ import annotations
 
-from salesloom.operators.scoring import NORMAL_MESSAGE, PRIORITY_MESSAGES, URGENT_MESSAGE
+# Texts shown with a decision, stated here once more so that nothing is shared.
+URGENT_MESSAGE = "Pesanan ini berisiko tinggi / butuh penanganan segera!"
+NORMAL_MESSAGE = "Pesanan reguler — penanganan standar operasional."
+PRIORITY_MESSAGES = {
+    "Critical": "Pesanan ini KRITIS — butuh penanganan segera / VIP!",
+    "High": "Prioritas TINGGI — proses lebih cepat dari standar.",
+    "Medium": "Prioritas SEDANG — tangani sesuai alur operasional biasa.",
+    "Low": "Prioritas RENDAH — tidak mendesak, bisa dijadwalkan.",
+}
 
 STAR = """
 s_products AS (

@@ -166,6 +166,13 @@ def partials(measures) -> list[Column]:
     return out
 
 
+def exact_sum(whole: str, unit: str) -> Column:
+    """Sum of a whole-number column times a decimal unit, in two parts like money."""
+    high, low = F.sum(F.shiftright(whole, _LOW_BITS)), F.sum(F.col(whole).bitwiseAND(F.lit((1 << _LOW_BITS) - 1)))
+    total = high.cast("decimal(20,0)") * F.lit(1 << _LOW_BITS).cast("decimal(7,0)") + low.cast("decimal(20,0)")
+    return total * F.lit(unit).cast("decimal(8,8)")
+
+
 def carried(measures) -> list[Column]:
     """Partials summed to coarser partials."""
     names = [n for m in measures for n in ((f"{m}__high", f"{m}__low") if m in _MONEY_MEASURES else (m,))]

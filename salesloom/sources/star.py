@@ -126,14 +126,23 @@ def conform(frame: DataFrame, table: str) -> DataFrame:
     )
 
 
-def load_star(spark: SparkSession, path: str, kind: str = "parquet", **options) -> Star:
-    """Read the five tables from ``path/<table>``; ``jdbc`` takes them by name."""
+def table_options(kind: str, table: str, options: dict, by_table: dict[str, dict] | None = None) -> dict:
+    """Reader options of one table: the common ones, then its own."""
+    given = {"csv": {"header": True}, "jdbc": {"dbtable": table}}.get(kind, {})
+    return {**options, **given, **(by_table or {}).get(table, {})}
+
+
+def load_star(spark: SparkSession, path: str, kind: str = "parquet", by_table: dict[str, dict] | None = None, **options) -> Star:
+    """Read the five tables from ``path/<table>``; ``jdbc`` takes them by name.
+
+    ``by_table`` holds options of single tables. A database reads a table in
+    parallel when it is given a split: ``{"order_items": {"partitionColumn":
+    "row_id", "lowerBound": 1, "upperBound": 10**9, "numPartitions": 200}}``.
+    """
     tables = {}
     for table in SCHEMA:
-        reader = spark.read.format(kind).options(**options)
-        if kind == "csv":
-            reader = reader.option("header", True)
-        loaded = reader.option("dbtable", table).load() if kind == "jdbc" else reader.load(f"{path}/{table}")
+        reader = spark.read.format(kind).options(**table_options(kind, table, options, by_table))
+        loaded = reader.load() if kind == "jdbc" else reader.load(f"{path}/{table}")
         tables[table] = conform(loaded, table)
     return Star(tables, origin=path)
 

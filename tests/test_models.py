@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from salesloom.operators import evaluation, features, scoring, training
 from salesloom.sources.export import export_csv, write_star
-from salesloom.sources.star import load_star
+from salesloom.sources.star import load_star, table_options
 from salesloom.sources.transactions import NUMBERS, PROFIT_FEATURES, PROFIT_SCHEMA, read_transactions, star_transactions
 from salesloom.operators import rollups
 from salesloom.streaming.scoring import score_records, score_stream
@@ -240,6 +240,15 @@ def test_csv_export_quotes(spark, tmp_path):
     assert lines == ["x,y,z", '"a,""b""",,1.5', "plain,,2.0"]
 
 
+def test_options_of_single_tables():
+    split = {"partitionColumn": "row_id", "lowerBound": 1, "upperBound": 90, "numPartitions": 3}
+    common = {"url": "jdbc:some:db"}
+    assert table_options("jdbc", "orders", common, {"order_items": split}) == {**common, "dbtable": "orders"}
+    assert table_options("jdbc", "order_items", common, {"order_items": split}) == {**common, "dbtable": "order_items", **split}
+    assert table_options("csv", "orders", {}) == {"header": True}
+    assert table_options("parquet", "orders", common) == common
+
+
 @pytest.mark.parametrize("kind", ["parquet", "csv"])
 def test_stored_star(spark, star, tmp_path, kind):
     path = f"{tmp_path}/star"
