@@ -4,19 +4,21 @@ Steps, all DataFrame and SQL functions:
 
 1. Lines with a word are normalised (case, marks and white space go) and get a
    SimHash: the 64-bit hash of each distinct word votes on 64 bits. The votes are
-   counted in 32 whole numbers of two 32-bit lanes, by a plain sum per line.
+   counted in 32 whole numbers of two 32-bit lanes, by a plain sum per line. Lines
+   of fewer than twice `LEAST_WORDS` distinct words, also those in scripts without
+   spaces, get a SimHash of their `GRAM` neighbouring characters; below
+   `LEAST_WORDS` it is their only one.
 2. Equal normalised lines are one line from here on, by two 64-bit hashes.
-3. The SimHash is cut into 5 blocks. Two signatures that differ in at most 2 bits
+3. The SimHash is cut into 8 blocks. Two signatures that differ in at most 5 bits
    agree in three blocks (pigeonhole), so lines are candidates that agree in any
-   of the 10 triples of blocks, 38 bits or more, and differ in at most `FAR` bits.
-   They are linked where the edit similarity of their normalised lines is at
-   least `SIMILARITY`. Lines of fewer than `LEAST_WORDS` distinct words have too
-   few votes for this and are repeated only by equal lines.
-4. In a bucket of more than two lines, each line is first compared with the
-   bucket's first line by SimHash and its neighbour; after the links have been
-   grouped, lines of one bucket that are still in different groups are compared.
-   So no pair that could join two groups is left out, and the pairs of a group of
-   near copies are not listed.
+   of the 56 triples of blocks, 24 bits, and differ in at most `FAR` bits; of
+   signatures that differ in 6 to `FAR` bits a part meets. They are linked where
+   the edit similarity of their normalised lines is at least `SIMILARITY`.
+4. In a bucket of up to `FEW` lines all are compared by SimHash. In a larger one,
+   each line is first compared with the bucket's first line by SimHash and its
+   neighbour; after the links have been grouped, lines of one bucket that are
+   still in different groups are compared. So no pair that could join two groups
+   is left out, and the pairs of a large group of near copies are not listed.
 5. Of each group the first occurrence (by document id and line) stays.
 
 Defined results: a null or empty text has no lines with a word and is unchanged
@@ -41,7 +43,9 @@ from salesloom.session import stored
 
 LEAST_WORDS = 5
 FAR = 12  # bits; chance brings two other lines of a bucket closer in one case of some hundred
-BLOCKS = ((0, 13), (13, 13), (26, 13), (39, 13), (52, 12))  # first bit and bits of each block
+BLOCKS = tuple((k, 8) for k in range(0, 64, 8))  # first bit and bits of each block
+FEW = 16  # lines of a bucket of which all pairs are listed
+GRAM = 3  # characters
 SIMILARITY = 0.8
 MARKS = r"[^\p{L}\p{N}]+"
 HAS_WORD = r"[^\x20\x09-\x0D]"
@@ -69,44 +73,71 @@ def _keys() -> list[Column]:
     return [F.xxhash64("normal").alias("h1"), F.xxhash64(F.lit(1), "normal").alias("h2")]
 
 
+def _lanes() -> list[Column]:
+    """The votes of `hash` on 64 bits, two bits a sum."""
+    return [F.expr(f"sum((shiftrightunsigned(hash, {k}) & 1) + shiftleft(shiftrightunsigned(hash, {k + LANES}) & 1, {LANES})) as lane{k}") for k in range(LANES)]
+
+
+def _majority(votes: str) -> Column:
+    """The SimHash: the bits that more than half of the votes set."""
+    low = [f"shiftleft(if(2 * (lane{k} & {(1 << LANES) - 1}L) > {votes}, 1L, 0L), {k})" for k in range(LANES)]
+    high = [f"shiftleft(if(2 * shiftrightunsigned(lane{k}, {LANES}) > {votes}, 1L, 0L), {k + LANES})" for k in range(LANES)]
+    return F.expr(" | ".join(low + high))
+
+
 def _occurrences(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
     """Every line with its hashes and SimHash (null for few words): id, body, place, h1, h2, simhash."""
     lines = _normalised(_lines(docs, doc_id, text).where(F.col("line").rlike(HAS_WORD))).withColumn("row", F.monotonically_increasing_id())
     votes = lines.select("row", "id", "body", "place", *_keys(), F.explode_outer(F.array_distinct(F.split("normal", " "))).alias("word"))
     votes = votes.withColumn("hash", F.xxhash64("word"))
-    lanes = [f"sum((shiftrightunsigned(hash, {k}) & 1) + shiftleft(shiftrightunsigned(hash, {k + LANES}) & 1, {LANES})) as lane{k}" for k in range(LANES)]
     once = [F.max(c).alias(c) for c in ("id", "body", "place", "h1", "h2")]
-    summed = votes.groupBy("row").agg(*once, F.count("*").alias("words"), *map(F.expr, lanes))
-    low = [f"shiftleft(if(2 * (lane{k} & {(1 << LANES) - 1}L) > words, 1L, 0L), {k})" for k in range(LANES)]
-    high = [f"shiftleft(if(2 * shiftrightunsigned(lane{k}, {LANES}) > words, 1L, 0L), {k + LANES})" for k in range(LANES)]
-    signature = F.when(F.col("words") >= LEAST_WORDS, F.expr(" | ".join(low + high)))
+    summed = votes.groupBy("row").agg(*once, F.count("*").alias("words"), *_lanes())
+    signature = F.when(F.col("words") >= LEAST_WORDS, _majority("words"))
     return summed.select("id", "body", "place", "h1", "h2", signature.alias("simhash"))
 
 
+def _briefs(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
+    """The SimHash of distinct character runs, of each normalised line of few words: h1, h2, gramhash."""
+    lines = _normalised(_lines(docs, doc_id, text).where(F.col("line").rlike(HAS_WORD))).select("normal")
+    brief = lines.where(F.size(F.array_distinct(F.split("normal", " "))) < 2 * LEAST_WORDS).groupBy("normal").agg(F.count("*").alias("n"))
+    starts = F.sequence(F.lit(1), F.greatest(F.length("normal") - (GRAM - 1), F.lit(1)))
+    votes = brief.select(*_keys(), "normal", F.explode(starts).alias("start"))
+    votes = votes.select("h1", "h2", F.xxhash64(F.col("normal").substr(F.col("start"), F.lit(GRAM))).alias("hash")).distinct()
+    summed = votes.groupBy("h1", "h2").agg(F.count("*").alias("votes"), *_lanes())
+    return summed.select("h1", "h2", _majority("votes").alias("gramhash"))
+
+
 def _bucket_keys() -> Column:
-    """For each three blocks, their number and bits in one whole number."""
+    """For each three blocks, their number and bits in one whole number, apart for words and characters."""
     part = lambda b: F.shiftrightunsigned(F.col("simhash"), b[0]).bitwiseAND((1 << b[1]) - 1)
     keys = []
     for k, (x, y, z) in enumerate(combinations(BLOCKS, 3)):
-        bits = F.shiftleft(part(x), 26).bitwiseOR(F.shiftleft(part(y), 13)).bitwiseOR(part(z))
-        keys.append(bits.bitwiseOR(F.lit(k << 39)))
+        bits = F.shiftleft(part(x), 16).bitwiseOR(F.shiftleft(part(y), 8)).bitwiseOR(part(z))
+        keys.append(bits.bitwiseOR(F.when(F.col("grams"), F.lit((k + 64) << 24)).otherwise(F.lit(k << 24))))
     return F.array(*keys)
 
 
 def _candidates(lines: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Pairs (a, b) from the buckets, and the rows (key, line, simhash) of buckets with more than two lines."""
-    keyed = lines.where("simhash is not null").select(F.explode(_bucket_keys()).alias("key"), "line", "simhash")
+    """Pairs (a, b) from the buckets, and the rows (key, line, simhash) of buckets with more than `FEW` lines."""
+    signed = [F.struct(F.lit(grams).alias("grams"), F.col(c).alias("simhash")) for grams, c in ((False, "simhash"), (True, "gramhash"))]
+    keyed = lines.select("line", F.inline(F.array(*signed))).where("simhash is not null")
+    keyed = keyed.select(F.explode(_bucket_keys()).alias("key"), "line", "simhash")
     sizes = keyed.repartition("key").groupBy("key").agg(
         F.count("*").alias("n"), F.min("line").alias("a"), F.max("line").alias("b"), F.bit_xor("simhash").alias("apart")
     )
     sizes = stored(sizes.where(f"n > 2 or (n = 2 and bit_count(apart) <= {FAR})"), "line-buckets")
-    crowded = sizes.where("n > 2").select("key")
-    crowds = stored(sifted(keyed, crowded, "key").join(crowded, "key", "left_semi"), "line-crowds")
+    crowded = sizes.where("n > 2").select("key", "n")
+    crowds = stored(sifted(keyed, crowded, "key").join(crowded, "key"), "line-crowds")
+    fewer = crowds.where(f"n <= {FEW}").select("key", F.col("line").alias("a"), "simhash")
+    others = fewer.select("key", F.col("a").alias("b"), F.col("simhash").alias("simhash_b"))
+    met = fewer.join(others, "key").where(F.expr("a < b") & _close("simhash", "simhash_b")).select("a", "b")
+    crowds = crowds.where(f"n > {FEW}").select("key", "line", "simhash")
     ordered = Window.partitionBy("key").orderBy("simhash", "line")
     beside = lambda f: crowds.select(f.alias("other"), "line", "simhash")
     near = beside(F.lag(F.struct("line", "simhash")).over(ordered)).unionByName(beside(F.first(F.struct("line", "simhash")).over(ordered)))
     near = near.where(F.col("other").isNotNull() & (F.col("other.line") != F.col("line")) & _close("other.simhash", "simhash"))
-    pairs = sizes.where("n = 2").select("a", "b").unionByName(near.select(F.col("other.line").alias("a"), F.col("line").alias("b")))
+    near = near.select(F.col("other.line").alias("a"), F.col("line").alias("b"))
+    pairs = sizes.where("n = 2").select("a", "b").unionByName(near).unionByName(met)
     return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), crowds
 
 
@@ -147,6 +178,7 @@ def line_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", sim
     """Every line with a word: id, body, place, h1, h2, group, kept."""
     found = stored(_occurrences(docs, doc_id, text), "line-occurrences")
     lines = found.groupBy("h1", "h2").agg(F.max("simhash").alias("simhash"), F.count("*").alias("n"), F.min(_spot()).alias("spot"))
+    lines = lines.join(_briefs(docs, doc_id, text), ["h1", "h2"], "left")
     lines = stored(lines.withColumn("line", F.monotonically_increasing_id()), "lines")
     pairs, crowds = _candidates(lines)
     pairs = stored(pairs, "line-pairs")

@@ -168,6 +168,31 @@ def test_crowded_buckets_lose_no_link(spark):
     assert got == {k: root(k) == k for k in range(60)} and 1 < sum(got.values()) < 60
 
 
+def test_recall_of_fuzzy_lines(spark):
+    """Lines with one word or character changed, told by edit similarity alone; also short and unspaced lines."""
+    pick = np.random.default_rng(3)
+    word = lambda: "".join(pick.choice(list("abcdefghijklmnoprstuvw"), pick.integers(3, 9)))
+    sign = lambda: chr(0x4E00 + int(pick.integers(0, 3000)))
+    kinds = {"10": (10, word, " ", 0.4), "20": (20, word, " ", 0.7), "50": (50, word, " ", 0.9), "unspaced": (80, sign, "", 0.7), "few": (4, word, " ", 0.2)}
+    said, kind = [], {}
+    for name, (n, part, space, _) in kinds.items():
+        for _ in range(60):
+            line = [part() for _ in range(n)]
+            near = list(line)
+            k = pick.integers(0, n)
+            near[k] = near[k][:-1] + "z" if name == "few" else part()
+            a, b = space.join(line), space.join(near)
+            if a != b and distance(a, b) <= int(0.2 * max(len(a), len(b)) + 1e-9):
+                kind[len(said) + 1] = name
+                said += [a, b]
+    docs = spark.createDataFrame(list(enumerate(said)), "doc_id long, text string")
+    kept = {r.id: r.kept for r in lines.line_groups(docs).collect()}
+    assert all(kept[k] for k in kept if k not in kind)
+    for name, (*_, least) in kinds.items():
+        met = [not kept[k] for k in kind if kind[k] == name]
+        assert len(met) > 30 and sum(met) >= least * len(met), name
+
+
 def distance(a, b):
     before = list(range(len(b) + 1))
     for i, x in enumerate(a, 1):
