@@ -6,8 +6,9 @@ what follows itself becomes a repeated group, what only some pages have becomes
 an optional group, and differing text becomes a slot. The result is a
 union-free expression, the host's wrapper. Its slots are labelled once per host
 from the tags around them (menus, notices, forms, comments and the like are
-furniture) and from where the host's pages keep their text; a page's text is
-then what stands in slots labelled as article.
+furniture); a page's text is
+then what stands in the other slots, of a page with text in article or main
+elements in those.
 
 Streams are folded and made distinct before anything is grouped, so a host's
 group holds templates and not pages; a host's templates are dealt to `SALTS`
@@ -59,7 +60,7 @@ ENDS_ITSELF = {  # a start tag that ends an open element of the same kind
     "li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"),
     "option": ("option",),
 }
-MAIN = ("article", "main")  # elements that hold an article, the best first
+MAIN = ("article", "main")  # elements that hold an article
 TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)(?:>|\Z)",
     re.S,
@@ -273,37 +274,27 @@ def merged(wrappers: list[list]) -> list:
     return wrappers[0] if wrappers else []
 
 
-def article_place(path: str) -> str:
-    """The kind of place that a slot path stands in: furniture (!), an element of MAIN, or its outer element."""
+def article_place(path: str) -> int | None:
+    """The rank of the place that a slot path stands in: 0 in an element of MAIN, 1 elsewhere, None in furniture."""
     labels = path.split("/")
     if any(x.endswith("!") for x in labels):
-        return "!"
-    for kind in MAIN:
-        if kind in labels:
-            return kind
-    return "/".join(labels[:3])
+        return None
+    return 0 if any(kind in labels for kind in MAIN) else 1
 
 
-def main_places(characters: dict[str, int]) -> list[str]:
-    """Places that hold a host's articles, the best first: MAIN elements, then the place with most text."""
-    found = [k for k in MAIN if characters.get(k)]
-    others = sorted((k for k in characters if k != "!" and k not in MAIN), key=lambda k: (-characters[k], k))
-    return found + others[:1]
-
-
-def article_slots(wrapper: list, places: list[str]) -> dict[str, int]:
+def article_slots(wrapper: list) -> dict[str, int]:
     """The slots of a wrapper that hold articles, by path, with the rank of their place."""
     found: dict[str, int] = {}
     for item in wrapper:
         if isinstance(item, list):
-            found |= article_slots(item[1], places)
-        elif item.startswith("#") and article_place(item[1:]) in places:
-            found[item[1:]] = places.index(article_place(item[1:]))
+            found |= article_slots(item[1])
+        elif item.startswith("#") and article_place(item[1:]) is not None:
+            found[item[1:]] = article_place(item[1:])
     return found
 
 
 def article_text(slots: list[tuple[str, str]], article: dict[str, int]) -> str:
-    """The text of a page's article slots, of the best place the page has."""
+    """The text of a page's article slots: what is in MAIN elements, or all where the page has no text in them."""
     best = min((article[p] for p, _ in slots if p in article), default=None)
     return "\n\n".join(said for p, said in slots if article.get(p) == best and best is not None)
 
@@ -313,57 +304,36 @@ def _hosts(urls: list[str | None]) -> list[str]:
     return [re.split(r"[/?#]", r, maxsplit=1)[0].lower() for r in rests]
 
 
-TEMPLATES = "host string, kind string, value string, amount bigint"
-WRAPPER = "host string, wrapper string, places string"
+WRAPPER = "host string, wrapper string"
 
 
 def _templates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of each page its folded stream, and the characters it has by place."""
+    """Of each page its folded stream."""
     for batch in batches:
         out = []
         for host, page in zip(_hosts(batch.column("url").to_pylist()), batch.column("html").to_pylist()):
-            stream, slots = page_slots(page or "")
-            out.append((host, "stream", json.dumps(folded(stream)), 1))
-            sums: dict[str, int] = {}
-            for path, said in slots:
-                sums[article_place(path)] = sums.get(article_place(path), 0) + len(said)
-            out += [(host, "place", place, n) for place, n in sums.items()]
-        columns = list(zip(*out)) or [()] * 4
-        kinds = (pa.string(), pa.string(), pa.string(), pa.int64())
-        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], ["host", "kind", "value", "amount"])
-
-
-def _partial(group: pd.DataFrame) -> pd.DataFrame:
-    """One wrapper of a host's templates, and its places with their characters."""
-    streams = sorted(group.loc[group.kind == "stream", "value"], key=lambda s: (len(s), s))
-    places = group[group.kind == "place"]
-    wrapper = merged([json.loads(s) for s in streams])
-    sums = {p: int(n) for p, n in zip(places.value, places.amount)}
-    return pd.DataFrame({"host": [group.host.iloc[0]], "wrapper": [json.dumps(wrapper)], "places": [json.dumps(sums)]})
-
-
-def _whole(group: pd.DataFrame) -> pd.DataFrame:
-    """A host's wrapper from its partial ones."""
-    sums: dict[str, int] = {}
-    for part in group.places:
-        for place, n in json.loads(part).items():
-            sums[place] = sums.get(place, 0) + n
-    wrapper = merged([json.loads(w) for w in sorted(group.wrapper, key=lambda s: (len(s), s)) if w != "[]"])
-    return pd.DataFrame({"host": [group.host.iloc[0]], "wrapper": [json.dumps(wrapper)], "places": [json.dumps(main_places(sums))]})
+            out.append((host, json.dumps(folded(page_slots(page or "")[0]))))
+        columns = list(zip(*out)) or [()] * 2
+        yield pa.RecordBatch.from_arrays([pa.array(c, pa.string()) for c in columns], ["host", "wrapper"])
+
+
+def _aligned(group: pd.DataFrame) -> pd.DataFrame:
+    """One wrapper of a host's wrappers."""
+    wrapper = merged([json.loads(w) for w in sorted(group.wrapper, key=lambda s: (len(s), s))])
+    return pd.DataFrame({"host": [group.host.iloc[0]], "wrapper": [json.dumps(wrapper)]})
 
 
 def infer_wrappers(pages: DataFrame) -> DataFrame:
-    """One wrapper per host of (url, html): host, wrapper and places in JSON."""
-    templates = pages.select("url", "html").mapInArrow(_templates, TEMPLATES)
-    templates = templates.groupBy("host", "kind", "value").agg(F.sum("amount").alias("amount"))
-    salt = F.pmod(F.xxhash64("value"), F.lit(SALTS)).alias("salt")
-    partial = templates.groupBy("host", salt).applyInPandas(_partial, WRAPPER)
-    return partial.groupBy("host").applyInPandas(_whole, WRAPPER)
+    """One wrapper per host of (url, html): host, wrapper in JSON."""
+    templates = pages.select("url", "html").mapInArrow(_templates, WRAPPER).distinct()
+    salt = F.pmod(F.xxhash64("wrapper"), F.lit(SALTS)).alias("salt")
+    partial = templates.groupBy("host", salt).applyInPandas(_aligned, WRAPPER)
+    return partial.groupBy("host").applyInPandas(_aligned, WRAPPER)
 
 
 @lru_cache(maxsize=512)
-def _article(wrapper: str, places: str) -> dict[str, int]:
-    return article_slots(json.loads(wrapper), json.loads(places))
+def _article(wrapper: str) -> dict[str, int]:
+    return article_slots(json.loads(wrapper))
 
 
 def extract(pages: DataFrame, wrappers: DataFrame, key: str = "page_id") -> DataFrame:
@@ -383,12 +353,12 @@ def extract(pages: DataFrame, wrappers: DataFrame, key: str = "page_id") -> Data
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         unpack = zstandard.ZstdDecompressor().decompress
         for batch in batches:
-            packs, wrapper, places = (batch.column(k).to_pylist() for k in (2, 3, 4))
-            texts = [article_text(json.loads(unpack(s)), _article(w, p)) for s, w, p in zip(packs, wrapper, places)]
+            packs, wrapper = (batch.column(k).to_pylist() for k in (2, 3))
+            texts = [article_text(json.loads(unpack(s)), _article(w)) for s, w in zip(packs, wrapper)]
             sizes = pa.array(map(len, texts), pa.int64())
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string()), sizes], text_schema.names)
 
     salted = given.mapInArrow(read, slot_schema).withColumn("salt", F.pmod(F.xxhash64("slots"), F.lit(SALTS)).cast("int"))
-    spread = wrappers.select("host", "wrapper", "places", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
+    spread = wrappers.select("host", "wrapper", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
     met = salted.join(spread, ["host", "salt"])
-    return met.select("key", "url", "slots", "wrapper", "places").mapInArrow(apply, text_schema)
+    return met.select("key", "url", "slots", "wrapper").mapInArrow(apply, text_schema)

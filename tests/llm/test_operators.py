@@ -372,6 +372,20 @@ def test_wrappers_accept_all_pages(spark):
         assert wrappers.accepts(found[wrappers._hosts([r.url])[0]], wrappers.page_slots(r.html)[0])
 
 
+def extracted(spark, pages):
+    frame = spark.createDataFrame([(k, u, h) for k, (u, h) in enumerate(pages)], "page_id long, url string, html string")
+    return [r.text for r in wrappers.extract(frame, wrappers.infer_wrappers(frame)).orderBy("page_id").collect()]
+
+
+def test_articles_outside_one_place(spark):
+    """Articles directly in the body, fragments, text of main around an article, two templates on one host."""
+    body = "<html><body><nav>menu</nav><h1>head</h1><p>a long first text</p><ul><li>point</ul><blockquote>said</blockquote><table><tr><td>cell</table></body></html>"
+    whole = "head\n\na long first text\n\npoint\n\nsaid\n\ncell"
+    pages = [("http://a.test/1", body), ("http://b.test/1", "<div><h2>top</h2><p>more of it</p></div>"), ("http://c.test/1", "<main><h1>name</h1><article><p>inside</p></article></main>")]
+    pages += [("http://d.test/1", "<html><body><div><p>the longer text of a first template</p></div></body></html>"), ("http://d.test/2", "<html><body><section><h2>other</h2><p>text</p></section></body></html>")]
+    assert extracted(spark, pages) == [whole, "top\n\nmore of it", "name\n\ninside", "the longer text of a first template", "other\n\ntext"]
+
+
 def test_alignment():
     a, b = ["h", "p", "p", "p", "f"], ["h", "x", "p", "f"]
     both = wrappers.aligned(wrappers.folded(a), b)
