@@ -10,6 +10,10 @@ furniture); a page's text is
 then what stands in the other slots, of a page with text in article or main
 elements in those.
 
+A text that stands at the same path on every page of the host which has that path
+is template text and not part of an article, given `ALIKE` different pages with the
+path. This is counted by path, for the streams of the alignment hold paths only.
+
 Streams are folded and made distinct before anything is grouped, so a host's
 group holds templates and not pages; a host's templates are dealt to `SALTS`
 partial wrappers that are aligned with each other afterwards. Page texts meet
@@ -24,6 +28,7 @@ empty table gives an empty table; extra columns are not used.
 
 from __future__ import annotations
 
+import hashlib
 import html
 import json
 import re
@@ -37,7 +42,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from salesloom.session import stored
+
 SALTS = 16
+ALIKE = 3  # different pages; fewer may be copies of an article with small changes
 
 # Elements by their role in a page.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -305,16 +313,35 @@ def _hosts(urls: list[str | None]) -> list[str]:
 
 
 WRAPPER = "host string, wrapper string"
+TEMPLATE = "host string, wrapper string, page bigint, paths array<bigint>, said array<struct<path: bigint, text: bigint>>"
+
+
+def _number(*of: str) -> int:
+    """A 64-bit hash of texts."""
+    return int.from_bytes(hashlib.blake2b("\0".join(of).encode("utf-8", "surrogatepass"), digest_size=8).digest(), "big", signed=True)
 
 
 def _templates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of each page its folded stream."""
+    """Of each page its folded stream, a hash of all its slots, and hashes of its paths and of texts at a path, furniture left out."""
     for batch in batches:
         out = []
         for host, page in zip(_hosts(batch.column("url").to_pylist()), batch.column("html").to_pylist()):
-            out.append((host, json.dumps(folded(page_slots(page or "")[0]))))
-        columns = list(zip(*out)) or [()] * 2
-        yield pa.RecordBatch.from_arrays([pa.array(c, pa.string()) for c in columns], ["host", "wrapper"])
+            stream, slots = page_slots(page or "")
+            numbers = {path: _number(path) for path, _ in slots if article_place(path) is not None}
+            said = {(numbers[path], _number(path, text)) for path, text in slots if path in numbers}
+            whole = _number(*(x for slot in slots for x in slot))
+            out.append((host, json.dumps(folded(stream)), whole, [*numbers.values()], [{"path": p, "text": t} for p, t in said]))
+        columns = list(zip(*out)) or [()] * 5
+        kinds = (pa.string(), pa.string(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.struct([("path", pa.int64()), ("text", pa.int64())])))
+        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], ["host", "wrapper", "page", "paths", "said"])
+
+
+def _constant(templates: DataFrame) -> DataFrame:
+    """The template texts of each host: host, constant (hashes of path and text)."""
+    once = templates.dropDuplicates(["host", "page"])
+    paths = once.select("host", F.explode("paths").alias("path")).groupBy("host", "path").agg(F.count("*").alias("n")).where(f"n >= {ALIKE}")
+    texts = once.select("host", F.inline("said")).groupBy("host", "path", "text").agg(F.count("*").alias("n")).where(f"n >= {ALIKE}")
+    return texts.join(paths, ["host", "path", "n"]).groupBy("host").agg(F.collect_list("text").alias("constant"))
 
 
 def _aligned(group: pd.DataFrame) -> pd.DataFrame:
@@ -324,11 +351,13 @@ def _aligned(group: pd.DataFrame) -> pd.DataFrame:
 
 
 def infer_wrappers(pages: DataFrame) -> DataFrame:
-    """One wrapper per host of (url, html): host, wrapper in JSON."""
-    templates = pages.select("url", "html").mapInArrow(_templates, WRAPPER).distinct()
+    """One wrapper per host of (url, html): host, wrapper in JSON, constant (hashes of template texts)."""
+    templates = stored(pages.select("url", "html").mapInArrow(_templates, TEMPLATE), "page-templates")
+    streams = templates.select("host", "wrapper").distinct()
     salt = F.pmod(F.xxhash64("wrapper"), F.lit(SALTS)).alias("salt")
-    partial = templates.groupBy("host", salt).applyInPandas(_aligned, WRAPPER)
-    return partial.groupBy("host").applyInPandas(_aligned, WRAPPER)
+    partial = streams.groupBy("host", salt).applyInPandas(_aligned, WRAPPER)
+    whole = partial.groupBy("host").applyInPandas(_aligned, WRAPPER)
+    return whole.join(_constant(templates), "host", "left")
 
 
 @lru_cache(maxsize=512)
@@ -336,6 +365,12 @@ def _article(wrapper: str) -> dict[str, int]:
     return article_slots(json.loads(wrapper))
 
 
+def varying(slots: list[tuple[str, str]], constant: list[int] | None) -> list[tuple[str, str]]:
+    """The slots without template texts."""
+    gone = frozenset(constant or ())
+    return [(p, said) for p, said in slots if _number(p, said) not in gone] if gone else slots
+
+
 def extract(pages: DataFrame, wrappers: DataFrame, key: str = "page_id") -> DataFrame:
     """The article text of each page of (key, url, html) by its host's wrapper: key, url, text, n_chars."""
     kind = pages.schema[key].dataType
@@ -353,12 +388,12 @@ def extract(pages: DataFrame, wrappers: DataFrame, key: str = "page_id") -> Data
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         unpack = zstandard.ZstdDecompressor().decompress
         for batch in batches:
-            packs, wrapper = (batch.column(k).to_pylist() for k in (2, 3))
-            texts = [article_text(json.loads(unpack(s)), _article(w)) for s, w in zip(packs, wrapper)]
+            packs, wrapper, constant = (batch.column(k).to_pylist() for k in (2, 3, 4))
+            texts = [article_text(varying(json.loads(unpack(s)), c), _article(w)) for s, w, c in zip(packs, wrapper, constant)]
             sizes = pa.array(map(len, texts), pa.int64())
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string()), sizes], text_schema.names)
 
     salted = given.mapInArrow(read, slot_schema).withColumn("salt", F.pmod(F.xxhash64("slots"), F.lit(SALTS)).cast("int"))
-    spread = wrappers.select("host", "wrapper", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
+    spread = wrappers.select("host", "wrapper", "constant", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
     met = salted.join(spread, ["host", "salt"])
-    return met.select("key", "url", "slots", "wrapper").mapInArrow(apply, text_schema)
+    return met.select("key", "url", "slots", "wrapper", "constant").mapInArrow(apply, text_schema)

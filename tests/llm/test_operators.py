@@ -386,6 +386,13 @@ def test_articles_outside_one_place(spark):
     assert extracted(spark, pages) == [whole, "top\n\nmore of it", "name\n\ninside", "the longer text of a first template", "other\n\ntext"]
 
 
+def test_constant_text_goes(spark):
+    """A notice without any mark on all pages of a host is template text; copies of one page are no evidence."""
+    page = lambda k: f"<article><h1>title {k}</h1><p>We are moving house</p><p>text {k}</p></article>"
+    got = extracted(spark, [(f"http://a.test/{k}", page(k)) for k in range(4)] + [(f"http://b.test/{k}", page(0)) for k in range(4)])
+    assert got == [f"title {k}\n\ntext {k}" for k in range(4)] + ["title 0\n\nWe are moving house\n\ntext 0"] * 4
+
+
 def test_alignment():
     a, b = ["h", "p", "p", "p", "f"], ["h", "x", "p", "f"]
     both = wrappers.aligned(wrappers.folded(a), b)
