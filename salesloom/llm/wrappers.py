@@ -15,9 +15,9 @@ is template text and not part of an article, given `ALIKE` different pages with
 path. This is counted by path, for the streams of the alignment hold paths only.
 
 Streams are folded and made distinct before anything is grouped, so a host's
-group holds templates and not pages; a host's templates are dealt to `SALTS`
-partial wrappers that are aligned with each other afterwards. Page texts meet
-their wrapper in a join salted the same way, with the slots compressed.
+group holds templates and not pages. They are numbered per host and aligned in
+groups of at most `TOGETHER`, in rounds until a host has one wrapper. Page texts
+meet their wrapper in a join dealt by `SALTS`, with the slots compressed.
 
 Defined results: a null or empty html has an empty text; a page without any
 article slot has an empty text; unclosed tags, comments and scripts end where
@@ -45,6 +45,7 @@ from pyspark.sql import types as T
 from salesloom.session import stored
 
 SALTS = 16
+TOGETHER = 16  # wrappers that one task aligns as a group
 ALIKE = 3  # different pages; fewer may be copies of an article with small changes
 
 # Elements by their role in a page.
@@ -350,14 +351,29 @@ def _aligned(group: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame({"host": [group.host.iloc[0]], "wrapper": [json.dumps(wrapper)]})
 
 
+def _dealt(wrappers: DataFrame) -> DataFrame:
+    """Wrappers with `part`, which at most `TOGETHER` of a host share: they are numbered through in order of host and length."""
+    order = ["host", F.length("wrapper"), "wrapper"]
+    rows = wrappers.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("at", F.monotonically_increasing_id())
+    rows = stored(rows, "wrapper-order").withColumn("task", F.shiftright("at", 33))
+    before, offsets = 0, []
+    for task, n in sorted((r.task, r["count"]) for r in rows.groupBy("task").count().collect()):
+        offsets.append((task, before))
+        before += n
+    spark = wrappers.sparkSession
+    rows = rows.join(F.broadcast(spark.createDataFrame(offsets, "task bigint, before bigint")), "task")
+    rows = rows.select("host", "wrapper", F.expr(f"before + (at & {(1 << 33) - 1}L)").alias("number"))
+    first = rows.groupBy("host").agg(F.min("number").alias("first"))
+    return rows.join(first, "host").select("host", "wrapper", F.expr(f"(number - first) div {TOGETHER}").alias("part"))
+
+
 def infer_wrappers(pages: DataFrame) -> DataFrame:
     """One wrapper per host of (url, html): host, wrapper in JSON, constant (hashes of template texts)."""
     templates = stored(pages.select("url", "html").mapInArrow(_templates, TEMPLATE), "page-templates")
-    streams = templates.select("host", "wrapper").distinct()
-    salt = F.pmod(F.xxhash64("wrapper"), F.lit(SALTS)).alias("salt")
-    partial = streams.groupBy("host", salt).applyInPandas(_aligned, WRAPPER)
-    whole = partial.groupBy("host").applyInPandas(_aligned, WRAPPER)
-    return whole.join(_constant(templates), "host", "left")
+    found = stored(templates.select("host", "wrapper").distinct(), "page-streams")
+    while not found.groupBy("host").count().where("count > 1").isEmpty():
+        found = stored(_dealt(found).groupBy("host", "part").applyInPandas(_aligned, WRAPPER).distinct(), "page-wrappers")
+    return found.join(_constant(templates), "host", "left")
 
 
 @lru_cache(maxsize=512)

@@ -2,6 +2,7 @@
 
 import hashlib
 import itertools
+import json
 import re
 
 import numpy as np
@@ -393,6 +394,19 @@ def test_constant_text_goes(spark):
     assert got == [f"title {k}\n\ntext {k}" for k in range(4)] + ["title 0\n\nWe are moving house\n\ntext 0"] * 4
 
 
+def test_wrappers_in_bounded_groups(spark, monkeypatch):
+    """Many templates of one host: no group above the bound, and one wrapper that accepts all."""
+    monkeypatch.setattr(wrappers, "TOGETHER", 4)
+    streams = [[x for n, e in enumerate(("p", "h2", "ul", "pre", "table")) if k >> n & 1 for x in (e, f"#{e}")] + ["hr"] for k in range(32)]
+    frame = spark.createDataFrame([("h", json.dumps(x)) for x in streams] + [("one", "[]")], "host string, wrapper string")
+    sizes = wrappers._dealt(frame).groupBy("host", "part").count().collect()
+    assert sorted(r["count"] for r in sizes) == [1] + [4] * 8
+    html = ["<div>" + "".join(f"<{e}>t{k}{e}</{e}>" for n, e in enumerate(("h1", "h2", "h3", "pre", "dl")) if k >> n & 1) + "<hr></div>" for k in range(32)]
+    pages = spark.createDataFrame([(k, "http://h/", x) for k, x in enumerate(html)], "page_id long, url string, html string")
+    (found,) = wrappers.infer_wrappers(pages).collect()
+    assert all(wrappers.accepts(json.loads(found.wrapper), wrappers.page_slots(x)[0]) for x in html)
+
+
 def test_alignment():
     a, b = ["h", "p", "p", "p", "f"], ["h", "x", "p", "f"]
     both = wrappers.aligned(wrappers.folded(a), b)
