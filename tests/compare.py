@@ -6,7 +6,8 @@ import math
 
 import duckdb
 
-TABLES = "region nation customer supplier part orders lineitem".split()
+SMALL = "/root/testdata/sf0.001"
+TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 
 
 def connect(path: str) -> duckdb.DuckDBPyConnection:

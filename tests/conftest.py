@@ -6,8 +6,6 @@ import pytest
 sys.path.insert(0, str(Path(__file__).resolve().parent.parent))
 sys.path.insert(0, str(Path(__file__).resolve().parent))
 
-SMALL = "/root/testdata/sf0.001"
-
 
 @pytest.fixture(scope="session")
 def spark():
@@ -20,6 +18,7 @@ def spark():
 
 @pytest.fixture(scope="session")
 def star(spark):
+    from compare import SMALL
     from salesloom.sources.trade import trade_star
 
     return trade_star(spark, SMALL)

@@ -1,8 +1,7 @@
 """Every registered query against its SQL in an independent engine."""
 
 import pytest
-from compare import connect, difference
-from conftest import SMALL
+from compare import SMALL, connect, difference
 
 import __spark_entry__ as entry_point
 

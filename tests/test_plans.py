@@ -4,7 +4,7 @@ import contextlib
 import io
 
 import pytest
-from conftest import SMALL
+from compare import SMALL
 from pyspark.sql import functions as F
 
 import __spark_entry__ as entry_point
