@@ -64,6 +64,34 @@ SELECT page_id, n::BIGINT AS payload_bytes, sha256(html) AS payload_digest,
 FROM typed
 """
 
+PHRASES = rf"""
+WITH p AS (SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array({_LOWER}, '[.,;:!?\x0A-\x0D]')) AS p FROM documents),
+pieces AS (SELECT lang, regexp_extract_all(p, '[^\x20\x09]+') AS ws FROM p),
+grams AS (
+    SELECT lang, 1 AS words, unnest(ws) AS phrase FROM pieces
+    UNION ALL SELECT lang, 2, unnest(list_transform(range(1, len(ws)), lambda i: array_to_string(ws[i:i + 1], ' '))) FROM pieces
+    UNION ALL SELECT lang, 3, unnest(list_transform(range(1, len(ws) - 1), lambda i: array_to_string(ws[i:i + 2], ' '))) FROM pieces
+    UNION ALL SELECT lang, 4, unnest(list_transform(range(1, len(ws) - 2), lambda i: array_to_string(ws[i:i + 3], ' '))) FROM pieces),
+totals AS (SELECT lang, sum(len(ws))::BIGINT AS n FROM pieces GROUP BY lang),
+f AS (SELECT lang, words, phrase, count(*) AS a FROM grams GROUP BY ALL HAVING count(*) >= 30),
+cuts AS (
+    SELECT c.lang, c.phrase, c.a, k, x.a AS l, y.a AS r, 2000000::HUGEINT * c.a // (x.a + y.a) AS score
+    FROM f c, unnest(range(1, c.words)) AS s(k), f x, f y
+    WHERE c.words > 1 AND x.lang = c.lang AND y.lang = c.lang
+      AND x.phrase = array_to_string(string_split(c.phrase, ' ')[:k], ' ')
+      AND y.phrase = array_to_string(string_split(c.phrase, ' ')[k + 1:], ' ')),
+weakest AS (SELECT * FROM cuts QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1),
+longer AS (
+    SELECT lang, array_to_string(string_split(phrase, ' ')[i:i + k - 1], ' ') AS phrase, max(a) AS longer
+    FROM f, unnest(range(2, words)) AS s(k), unnest(range(1, words - k + 2)) AS t(i) WHERE words > 2 GROUP BY ALL),
+kept AS (
+    SELECT w.* FROM weakest w LEFT JOIN longer o USING (lang, phrase)
+    WHERE longer IS NULL OR 100::HUGEINT * longer < 80::HUGEINT * w.a)
+SELECT lang, row_number() OVER best AS rank, phrase, a, l, r, n, score::BIGINT AS score
+FROM kept JOIN totals USING (lang)
+WINDOW best AS (PARTITION BY lang ORDER BY score DESC, a DESC, encode(phrase)) QUALIFY rank <= 2000
+"""
+
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_quality_rules": QUALITY, "op4_decontamination": CONTAMINATION, "op8_warc": WARC}
+    return {"op1_quality_rules": QUALITY, "op4_decontamination": CONTAMINATION, "op8_warc": WARC, "op13_collocations": PHRASES}

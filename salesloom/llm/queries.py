@@ -10,7 +10,7 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from salesloom.llm import bpe, chat, contamination, lines, neardup, quality, tokens, urls, warc, wrappers
+from salesloom.llm import bpe, chat, contamination, lines, neardup, phrases, quality, tokens, urls, warc, wrappers
 from salesloom.session import stored
 
 
@@ -81,6 +81,11 @@ def op10_token_counts(spark: SparkSession, path: str) -> DataFrame:
     return tokens.token_counts(_table(spark, path, "documents"), bpe.public_vocabulary())
 
 
+def op13_collocations(spark: SparkSession, path: str) -> DataFrame:
+    found = phrases.collocations(_table(spark, path, "documents"))
+    return found.select("lang", "rank", "phrase", "a", "l", "r", "n", "score")
+
+
 def _importable(query: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
     """Lets Python workers started later import this package from where the driver has it."""
 
@@ -97,5 +102,5 @@ def _importable(query: Callable[[SparkSession, str], DataFrame]) -> Callable[[Sp
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         f.__name__: _importable(f)
-        for f in (op1_quality_rules, op2_bpe, op3_line_dedup, op4_decontamination, op5_chat, op6_near_duplicates, op7_html_extraction, op8_warc, op9_url_filter, op10_token_counts)
+        for f in (op1_quality_rules, op2_bpe, op3_line_dedup, op4_decontamination, op5_chat, op6_near_duplicates, op7_html_extraction, op8_warc, op9_url_filter, op10_token_counts, op13_collocations)
     }
