@@ -10,7 +10,7 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from salesloom.llm import bpe, chat, contamination, lines, neardup, phrases, quality, tokens, urls, warc, wrappers
+from salesloom.llm import bpe, chat, contamination, lines, neardup, phrases, quality, tokens, urls, warc, whitening, wrappers
 from salesloom.session import stored
 
 
@@ -81,6 +81,21 @@ def op10_token_counts(spark: SparkSession, path: str) -> DataFrame:
     return tokens.token_counts(_table(spark, path, "documents"), bpe.public_vocabulary())
 
 
+def op12_whitening(spark: SparkSession, path: str) -> DataFrame:
+    rows = whitening.whiten(_table(spark, path, "embeddings").select("vec_id", "embedding"))
+    found = F.col("whitening")
+    each = rows.select("vec_id", found, F.posexplode(found["whitened"]).alias("place", "whitened"))
+    return each.select(
+        "vec_id",
+        (F.col("place") + 1).alias("component"),
+        found["n"].alias("n"),
+        found["deviation"].cast("long").alias("deviation"),
+        "whitened",
+        found["explained"][F.col("place")].alias("explained"),
+        found["identity_error"].alias("identity_error"),
+    )
+
+
 def op13_collocations(spark: SparkSession, path: str) -> DataFrame:
     found = phrases.collocations(_table(spark, path, "documents"))
     return found.select("lang", "rank", "phrase", "a", "l", "r", "n", "score")
@@ -102,5 +117,5 @@ def _importable(query: Callable[[SparkSession, str], DataFrame]) -> Callable[[Sp
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         f.__name__: _importable(f)
-        for f in (op1_quality_rules, op2_bpe, op3_line_dedup, op4_decontamination, op5_chat, op6_near_duplicates, op7_html_extraction, op8_warc, op9_url_filter, op10_token_counts, op13_collocations)
+        for f in (op1_quality_rules, op2_bpe, op3_line_dedup, op4_decontamination, op5_chat, op6_near_duplicates, op7_html_extraction, op8_warc, op9_url_filter, op10_token_counts, op12_whitening, op13_collocations)
     }
