@@ -6,17 +6,23 @@ time, gives the fingerprint of any sequence of words by a subtraction and a
 product. Fingerprints are counted level by level: a sequence of k words can occur
 often only if both of its parts of k - 1 words do, so the words are counted
 first and each next level fingerprints only what may still be frequent. A task
-adds up what it sees before the shuffle, so a very common phrase is one row a task.
+adds up what it sees before the shuffle, so a very common phrase is one entry a task.
 
-The last pass resolves fingerprints to text. Each task keeps a pointer to the first
-occurrence of a fingerprint, compares all other occurrences with the bytes there
-(what differs, a collision, is counted by its own bytes), and hands on the
-phrase, its count and the pointer; the shuffle adds these up by fingerprint and text.
-Only phrases that may be frequent are ever made into text, and counts are exact.
+The shuffle carries fingerprint, count and a pointer to an occurrence: the bucket of
+documents (by checksum of the text) that holds one, the lowest of all. The entries of a
+task lie sorted in blobs, one per range of fingerprints, as differences and
+byte by byte, which compresses to some seven bytes each. There are RANGES times as
+many ranges as splits of the input, so what one range gathers does not grow.
 
-What is frequent is handed to the tasks as a filter of 2^BITS bits, one bit per
-frequent fingerprint: a fixed size. With many more frequent fingerprints than bits
-it lets rare ones through, which costs shuffling and changes no result.
+Pointers then resolve the frequent fingerprints: only documents of the pointed bucket
+turn a fingerprint into text. Last, every occurrence of a frequent fingerprint is
+verified against that text by a second polynomial over its bytes; what differs, a
+collision, is counted by its own text and taken from the count of the other.
+
+What is frequent, pointed to or verified is handed to the tasks as a filter of 2^BITS
+bits, a fixed size. With many more fingerprints than bits it lets others through,
+which costs shuffling in the first two uses; what is let through is told apart by
+exact joins afterwards. Only in the last could it hide a collision of 64 bits.
 
 Defined results: a null text is empty and has no words; a null language is `und`
 and one with a language of that name; texts of any length are read whole, a
@@ -28,26 +34,32 @@ piece, so never a text.
 
 from __future__ import annotations
 
+import zlib
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
 from salesloom.session import stored
 
 LONGEST = 4  # words of a phrase
 LEAST = 30  # occurrences of a phrase
 COVERED = 80  # percent: a longer phrase this frequent stands for those inside it
-BITS = 26  # of the filter of frequent fingerprints: 8 MB
+BITS = 26  # of a filter of fingerprints: 8 MB
 CHUNK = 2_000_000  # bytes of text fingerprinted in one go
-HELD = 2_000_000  # fingerprints a task adds up before it hands them on
+HELD = 4_000_000  # fingerprints a task adds up before it hands them on
+RANGES = 16  # of fingerprints, per split of the input
+BUCKETS = 1 << 12  # of documents, for pointers
 SHARDS = 64  # parts of a language ranked on their own first
 
-_BASE = 0x9E3779B97F4A7C15  # odd, so that it has an inverse modulo 2^64
+_BASE, _SECOND = 0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F  # odd, so that they have inverses modulo 2^64
 _UPPER = bytes(range(ord("A"), ord("Z") + 1))
 _CUTS = b".,;:!?\n\x0b\x0c\r"
 _FOLD = bytes.maketrans(_UPPER + b"\t" + _CUTS, _UPPER.lower() + b" " + b"\n" * len(_CUTS))
@@ -64,18 +76,29 @@ class Sequences:
     piece: np.ndarray  # number of the piece that holds the word
     text: np.ndarray  # number of the text that holds the word
     place: np.ndarray  # byte of the text where the word begins
-    prefix: np.ndarray  # polynomial over packed, before each byte
-    inverse: np.ndarray  # powers of the inverse base
+    bucket: np.ndarray  # of documents, by text
     salt: np.ndarray  # of the language, by word
+    prefix: np.ndarray  # polynomial over packed, before each byte
+    width: int = 64  # bits of a fingerprint
+    second: np.ndarray | None = None
 
     def fingerprints(self, words: int) -> np.ndarray:
         """Of the sequences of so many words, by their first word; those that cross a piece have one, too."""
         n = len(self.start) - words + 1
         if n <= 0:
             return np.empty(0, np.uint64)
+        inverse = _powers(_BASE, len(self.packed) + 1)[1]
         first = self.start[:n]
-        value = (self.prefix[self.end[words - 1 :]] - self.prefix[first]) * self.inverse[first]
-        return _mixed(value ^ self.salt[:n])
+        value = (self.prefix[self.end[words - 1 :]] - self.prefix[first]) * inverse[first]
+        return _mixed(value ^ self.salt[:n]) >> np.uint64(64 - self.width) << np.uint64(64 - self.width)
+
+    def checks(self, words: int, at: np.ndarray) -> np.ndarray:
+        """By a second polynomial over bytes and the language, of the sequences that begin at some words."""
+        if self.second is None:
+            self.second = _prefix(self.packed, _SECOND)
+        inverse = _powers(_SECOND, len(self.packed) + 1)[1]
+        first = self.start[at]
+        return _mixed((self.second[self.end[at + words - 1]] - self.second[first]) * inverse[first] ^ self.salt[at])
 
     def whole(self, words: int) -> np.ndarray:
         """Whether the sequence of so many words from each word lies in one piece."""
@@ -83,7 +106,7 @@ class Sequences:
         return self.piece[:n] == self.piece[words - 1 :][:n]
 
 
-def sequences(texts: list[bytes], salts: np.ndarray) -> Sequences:
+def sequences(texts: list[bytes], salts: np.ndarray, width: int = 64) -> Sequences:
     """Pieces and words of texts in UTF-8; `salts` holds one number per text, of its language."""
     joined = b"\n".join(texts) + b"\n"
     data = np.frombuffer(joined.translate(_FOLD), np.uint8)
@@ -100,25 +123,30 @@ def sequences(texts: list[bytes], salts: np.ndarray) -> Sequences:
     packed[end] = _BLANK
     bounds = np.cumsum([len(t) + 1 for t in texts])
     text = np.searchsorted(bounds, begin, side="right")
-    base, inverse = _powers(len(packed) + 1)
-    prefix = np.empty(len(packed) + 1, np.uint64)
-    prefix[0] = 0
-    np.cumsum((packed.astype(np.uint64) + np.uint64(1)) * base[:-1], out=prefix[1:])
     opened = np.concatenate([[0], bounds[:-1]])
-    return Sequences(packed, start, end, np.cumsum(cut)[begin], text, begin - opened[text], prefix, inverse, salts[text])
+    bucket = np.array([zlib.crc32(t) % BUCKETS for t in texts], np.int64)
+    return Sequences(packed, start, end, np.cumsum(cut)[begin], text, begin - opened[text], bucket, salts[text], _prefix(packed, _BASE), width)
+
 
+def _prefix(data: np.ndarray, base: int) -> np.ndarray:
+    out = np.empty(len(data) + 1, np.uint64)
+    out[0] = 0
+    np.cumsum((data.astype(np.uint64) + np.uint64(1)) * _powers(base, len(data))[0], out=out[1:])
+    return out
 
-def _powers(size: int) -> tuple[np.ndarray, np.ndarray]:
-    """Powers of the base and of its inverse modulo 2^64, made once per process and grown when needed."""
-    if len(_known[0]) < size:
-        for k, base in enumerate((_BASE, pow(_BASE, -1, 1 << 64))):
-            factors = np.full(2 * size, base, np.uint64)
-            factors[0] = 1
-            _known[k] = np.cumprod(factors)
-    return _known[0][:size], _known[1][:size]
 
+def _powers(base: int, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """Powers of a base and of its inverse modulo 2^64, made once per process and grown when needed."""
+    known = _known.get(base)
+    if known is None or len(known[0]) < size:
+        factors = [np.full(2 * size + 1, b, np.uint64) for b in (base, pow(base, -1, 1 << 64))]
+        for f in factors:
+            f[0] = 1
+        known = _known[base] = (np.cumprod(factors[0]), np.cumprod(factors[1]))
+    return known[0][:size], known[1][:size]
 
-_known: list[np.ndarray] = [np.empty(0, np.uint64), np.empty(0, np.uint64)]
+
+_known: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
 
 def _mixed(x: np.ndarray) -> np.ndarray:
@@ -143,9 +171,6 @@ class Filter:
         self.table = np.zeros(1 << (bits - 6), np.uint64)
         self.table[rows["row"].to_numpy()] = rows["bits"].to_numpy().view(np.uint64)
 
-    def __contains__(self, key: int) -> bool:
-        return bool(self.has(np.array([key], np.uint64))[0])
-
     def has(self, keys: np.ndarray) -> np.ndarray:
         word = self.table[(keys >> np.uint64(6)) & np.uint64(len(self.table) - 1)]
         return (word >> (keys & np.uint64(63))) & np.uint64(1) == 1
@@ -158,23 +183,21 @@ def filter_rows(keys: DataFrame, bits: int) -> DataFrame:
     return keys.select(row.alias("row"), bit.alias("bit")).groupBy("row").agg(F.bit_or("bit").alias("bits"))
 
 
-def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list[bytes], list[str], pa.Array]]:
-    """Texts, languages and ids of some documents, about CHUNK bytes together."""
+def _read(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[tuple[Sequences, list[str], list]]:
+    """Sequences, languages and ids of some documents, about CHUNK bytes together, those of low buckets first."""
     for batch in batches:
-        texts, langs, ids = batch.column(0), batch.column(1), batch.column(2)
-        begin, size, held = 0, 0, []
+        texts, langs, ids = batch.column(0), batch.column(1).to_pylist(), batch.column(2)
+        size, held = 0, []
         for k, text in enumerate(texts):
-            held.append(text.as_buffer().to_pybytes() if text.is_valid else b"")
-            size += len(held[-1])
+            held.append((text.as_buffer().to_pybytes() if text.is_valid else b"", k))
+            size += len(held[-1][0])
             if size >= CHUNK or k + 1 == len(texts):
-                yield held, langs[begin : k + 1].to_pylist(), ids.slice(begin, len(held))
-                begin, size, held = k + 1, 0, []
-
-
-def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[Sequences, list[str], pa.Array]]:
-    for texts, langs, ids in _chunks(batches):
-        salts = {lang: _salt(lang) for lang in set(langs)}
-        yield sequences(texts, np.array([salts[lang] for lang in langs], np.uint64)), langs, ids
+                held.sort(key=lambda t: zlib.crc32(t[0]) % BUCKETS)
+                names = [langs[k] for _, k in held]
+                salts = {lang: _salt(lang) for lang in set(names)}
+                found = sequences([t for t, _ in held], np.array([salts[n] for n in names], np.uint64), width)
+                yield found, names, ids.take(pa.array([k for _, k in held])).to_pylist()
+                size, held = 0, []
 
 
 def _maybe(found: Sequences, words: int, filters: list[Filter]) -> tuple[np.ndarray, np.ndarray]:
@@ -187,120 +210,132 @@ def _maybe(found: Sequences, words: int, filters: list[Filter]) -> tuple[np.ndar
     return at, found.fingerprints(words)[at]
 
 
-def _added(keys: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-    unique, place = np.unique(np.concatenate(keys), return_inverse=True)
-    return unique, np.bincount(place, np.concatenate(counts), len(unique)).astype(np.int64)
+def _added(parts: list[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Fingerprints once each, in order, with the sum of their counts and the least of their buckets."""
+    keys, counts, buckets = (np.concatenate(c) for c in zip(*parts))
+    order = np.argsort(keys, kind="stable")
+    keys = keys[order]
+    first = np.flatnonzero(np.append(True, keys[1:] != keys[:-1]))[: len(keys)]
+    if not len(first):
+        return keys, counts, buckets
+    return keys[first], np.add.reduceat(counts[order], first), np.minimum.reduceat(buckets[order], first)
+
 
+def _blobs(entries: tuple[np.ndarray, np.ndarray, np.ndarray], shift: int) -> pa.RecordBatch:
+    """Sorted entries in one blob per range of fingerprints; a range is what is left of a fingerprint after the shift."""
+    keys, counts, buckets = entries
+    ranges = (keys >> np.uint64(shift)).astype(np.int64)
+    cut = np.flatnonzero(np.diff(ranges, prepend=-1))
+    blobs = []
+    for a, b in zip(cut, [*cut[1:], len(keys)]):
+        steps = np.diff(keys[a:b], prepend=np.uint64(0))
+        blobs.append(b"".join([_planes(steps), _planes(counts[a:b].astype(np.uint64)), _planes(buckets[a:b].astype(np.uint64))]))
+    return pa.record_batch([pa.array(ranges[cut]), pa.array(blobs, pa.binary())], ["range", "blob"])
 
-def _level(docs: DataFrame, words: int, filters: list) -> DataFrame:
-    """Fingerprints of so many words with their counts: (key, a)."""
+
+def _planes(numbers: np.ndarray) -> bytes:
+    """Numbers of eight bytes, first the first byte of all, then the second of all: equal bytes lie together."""
+    return numbers.view(np.uint8).reshape(-1, 8).T.tobytes()
+
+
+def _entries(blob: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    planes = np.frombuffer(blob, np.uint8).reshape(3, 8, -1)
+    steps, counts, buckets = (np.ascontiguousarray(p.T).view(np.uint64).ravel() for p in planes)
+    return np.cumsum(steps), counts.astype(np.int64), buckets.astype(np.int64)
+
+
+def _level(docs: DataFrame, words: int, filters: list, least: int, width: int) -> DataFrame:
+    """Fingerprints of so many words that occur often enough: words, key, a and the pointer to an occurrence."""
+    bits = max(1, (RANGES * docs.rdd.getNumPartitions() - 1).bit_length())
+    shift = 64 - min(bits, 40)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = [f.value for f in filters]
-        keys: list[np.ndarray] = []
-        counts: list[np.ndarray] = []
-        held, limit = 0, HELD
-
-        def out() -> pa.RecordBatch:
-            return pa.record_batch([pa.array(keys[0].view(np.int64)), pa.array(counts[0])], ["key", "a"])
-
-        for found, _, _ in _read(batches):
-            _, seen = _maybe(found, words, known)
-            unique, n = np.unique(seen, return_counts=True)
-            keys.append(unique)
-            counts.append(n)
+        parts, held = [], 0
+        for found, _, _ in _read(batches, width):
+            at, seen = _maybe(found, words, known)
+            unique, first, n = np.unique(seen, return_index=True, return_counts=True)
+            parts.append((unique, n, found.bucket[found.text[at[first]]]))
             held += len(unique)
-            if held >= limit:
-                (keys[:1], counts[:1]) = ([a] for a in _added(keys, counts))
-                del keys[1:], counts[1:]
-                held = len(keys[0])
-                if 2 * held >= limit:
-                    yield out()
-                    keys, counts, held = [], [], 0
-        if keys:
-            (keys[:1], counts[:1]) = ([a] for a in _added(keys, counts))
-            yield out()
-
-    return docs.mapInArrow(run, "key long, a long").groupBy("key").agg(F.sum("a").alias("a"))
-
-
-def _texts(docs: DataFrame, longest: int, filters: list) -> DataFrame:
-    """Phrases that may be frequent with counts and a pointer; words = 0 counts all words of a language."""
+            if held >= HELD:
+                parts = [_added(parts)]
+                held = len(parts[0][0])
+                if 2 * held >= HELD:
+                    yield _blobs(parts[0], shift)
+                    parts, held = [], 0
+        if held:
+            yield _blobs(_added(parts), shift)
+
+    def add(blobs: pa.Table) -> pa.Table:
+        keys, counts, buckets = _added([_entries(b.as_py()) for b in blobs.column("blob")])
+        often = counts >= least
+        keys, counts, pointing = keys[often], counts[often], _pointing(keys[often], buckets[often])
+        return pa.table({"words": np.full(len(keys), words, np.int32), "key": keys.view(np.int64), "a": counts, "pointing": pointing.view(np.int64)})
+
+    return docs.mapInArrow(run, "range long, blob binary").groupBy("range").applyInArrow(add, "words int, key long, a long, pointing long")
+
+
+def _texts(docs: DataFrame, longest: int, often: list, pointed, width: int) -> DataFrame:
+    """Texts of the fingerprints whose pointer leads here, and with words = 0 how many words each language has."""
     kind = docs.schema["id"].dataType
-    schema = f"lang string, words int, key long, phrase string, a long, id {kind.simpleString()}, place long"
+    schema = f"lang string, words int, key long, phrase string, code long, a long, id {kind.simpleString()}, place long"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = [f.value for f in filters]
-        held: dict[tuple, list] = {}
-        for found, langs, ids in _read(batches):
-            names = ids.to_pylist()
-            for k, n in enumerate(np.bincount(found.text, minlength=len(langs)).tolist()):
-                if n:
-                    held.setdefault((langs[k], 0, 0, b""), [0, None, None])[0] += n
+        known, here = [f.value for f in often], pointed.value
+        totals: Counter = Counter()
+        for found, langs, ids in _read(batches, width):
+            for lang, n in zip(langs, np.bincount(found.text, minlength=len(langs)).tolist()):
+                totals[lang] += n
+            rows = []
             for words in range(1, longest + 1):
                 at, keys = _maybe(found, words, known)
-                if words <= len(known):
-                    ok = known[words - 1].has(keys)
-                    at, keys = at[ok], keys[ok]
-                for k, phrase, n, key in _resolved(found, words, at, keys):
+                some = np.flatnonzero(here.has(_pointing(keys, found.bucket[found.text[at]])))
+                some = some[np.unique(keys[some], return_index=True)[1]]
+                for k, key, code in zip(at[some].tolist(), keys[some].view(np.int64).tolist(), found.checks(words, at[some]).view(np.int64).tolist()):
                     text = found.text[k]
-                    held.setdefault((langs[text], words, key, phrase), [0, names[text], int(found.place[k])])[0] += n
-            if len(held) >= HELD // 4:
-                yield _rows(held, kind)
-                held = {}
-        if held:
-            yield _rows(held, kind)
-
-    found = docs.mapInArrow(run, schema)
-    pointer = F.min(F.struct("id", "place"))
-    added = found.groupBy("lang", "words", "key", "phrase").agg(F.sum("a").alias("a"), pointer.alias("pointer"))
-    return added.select("lang", "words", "phrase", "a", F.col("pointer.id").alias("id"), F.col("pointer.place").alias("place"))
-
-
-def _resolved(found: Sequences, words: int, at: np.ndarray, keys: np.ndarray) -> Iterator[tuple[int, bytes, int, int]]:
-    """First occurrence, bytes, count and fingerprint of each phrase; every occurrence is compared with the first one of its fingerprint."""
-    if not len(at):
-        return
-    unique, first, group = np.unique(keys, return_index=True, return_inverse=True)
-    start, end = found.start[at], found.end[at + words - 1]
-    same = _equal(found.packed, start, end, start[first][group], end[first][group])
-    counts = np.bincount(group[same], minlength=len(unique)).tolist()
-    data = found.packed.tobytes()
-    for key, k, n in zip(unique.view(np.int64).tolist(), first.tolist(), counts):
-        yield int(at[k]), data[start[k] : end[k]], n, key
-    for k in np.flatnonzero(~same).tolist():
-        yield int(at[k]), data[start[k] : end[k]], 1, int(keys.view(np.int64)[k])
-
-
-def _equal(data: np.ndarray, start: np.ndarray, end: np.ndarray, other: np.ndarray, other_end: np.ndarray) -> np.ndarray:
-    """Whether data[start:end] and data[other:other_end] hold the same bytes, for each pair of ranges."""
-    size = end - start
-    same = size == other_end - other
-    check = np.flatnonzero(same & (start != other))
-    if len(check):
-        size, start, other = size[check], start[check], other[check]
-        opened = np.cumsum(size) - size
-        inside = np.arange(int(size.sum())) - np.repeat(opened, size)
-        differ = data[np.repeat(start, size) + inside] != data[np.repeat(other, size) + inside]
-        same[check] = ~np.logical_or.reduceat(differ, opened)
-    return same
-
-
-def _rows(held: dict[tuple, list], kind: T.DataType) -> pa.RecordBatch:
-    from pyspark.sql.pandas.types import to_arrow_type
-
-    langs, words, keys, phrases = zip(*held)
-    counts, ids, places = zip(*held.values())
-    columns = [
-        pa.array(langs, pa.string()),
-        pa.array(words, pa.int32()),
-        pa.array(keys, pa.int64()),
-        pa.array([p.decode() for p in phrases], pa.string()),
-        pa.array(counts, pa.int64()),
-        pa.array(ids, to_arrow_type(kind)),
-        pa.array(places, pa.int64()),
-    ]
-    return pa.record_batch(columns, ["lang", "words", "key", "phrase", "a", "id", "place"])
+                    phrase = found.packed[found.start[k] : found.end[k + words - 1]].tobytes().decode()
+                    rows.append((langs[text], words, key, phrase, code, None, ids[text], int(found.place[k])))
+            if rows:
+                yield _batch(rows, kind)
+        if totals:
+            yield _batch([(lang, 0, 0, "", 0, n, None, 0) for lang, n in totals.items() if n], kind)
+
+    return docs.mapInArrow(run, schema)
+
+
+def _pointing(keys: np.ndarray, buckets: np.ndarray) -> np.ndarray:
+    """Fingerprint and bucket in one number."""
+    return keys ^ _mixed(buckets.astype(np.uint64) + np.uint64(1))
+
+
+def _strays(docs: DataFrame, longest: int, often: list, verified, width: int) -> DataFrame:
+    """Occurrences of frequent fingerprints whose text is not the verified one: lang, words, key, phrase, a, id, place."""
+    kind = docs.schema["id"].dataType
+    schema = f"lang string, words int, key long, phrase string, code long, a long, id {kind.simpleString()}, place long"
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known, right = [f.value for f in often], verified.value
+        for found, langs, ids in _read(batches, width):
+            rows = []
+            for words in range(1, longest + 1):
+                at, keys = _maybe(found, words, known)
+                some = known[words - 1].has(keys)
+                at, keys = at[some], keys[some]
+                wrong = np.flatnonzero(~right.has(keys ^ found.checks(words, at)))
+                for k, key in zip(at[wrong].tolist(), keys[wrong].view(np.int64).tolist()):
+                    text = found.text[k]
+                    phrase = found.packed[found.start[k] : found.end[k + words - 1]].tobytes().decode()
+                    rows.append((langs[text], words, key, phrase, 0, 1, ids[text], int(found.place[k])))
+            if rows:
+                yield _batch(rows, kind)
+
+    return docs.mapInArrow(run, schema)
+
+
+def _batch(rows: list[tuple], kind: T.DataType) -> pa.RecordBatch:
+    types = [pa.string(), pa.int32(), pa.int64(), pa.string(), pa.int64(), pa.int64(), to_arrow_type(kind), pa.int64()]
+    columns = [pa.array(c, t) for c, t in zip(zip(*rows), types)]
+    return pa.record_batch(columns, ["lang", "words", "key", "phrase", "code", "a", "id", "place"])
 
 
 def frequent_phrases(
@@ -311,25 +346,38 @@ def frequent_phrases(
     longest: int = LONGEST,
     least: int = LEAST,
     bits: int = BITS,
+    width: int = 64,
 ) -> DataFrame:
     """Phrases of 1 to `longest` words that occur `least` times in a language: lang, words, phrase, a, id, place.
 
     `id` and `place` point to one occurrence: the document and the byte of its text.
-    A row with words = 0 holds the number of all word occurrences of its language.
+    A row with words = 0 holds the number of all word occurrences of its language. A
+    fingerprint has `width` bits; fewer make more collisions and no other result.
     """
     spark = docs.sparkSession
     named = docs.select(F.col(text).alias("text"), F.coalesce(F.col(lang).cast("string"), F.lit("und")).alias("lang"), F.col(id).alias("id"))
-    filters: list = []
-    for words in range(1, longest):
-        frequent = _level(named, words, filters).where(F.col("a") >= least).select("key")
-        filters.append(_broadcast(spark, filter_rows(frequent, bits), bits))
-    phrases = _texts(named, longest, filters)
-    return phrases.where((F.col("a") >= least) | (F.col("words") == 0))
-
-
-def _broadcast(spark: SparkSession, rows: DataFrame, bits: int):
+    filters, levels = [], []
+    for words in range(1, longest + 1):
+        levels.append(stored(_level(named, words, filters, least, width), "fingerprints"))
+        filters.append(_filter(spark, levels[-1].select("key"), bits))
+    frequent = reduce(DataFrame.unionByName, levels)
+    pointed = _filter(spark, frequent.select(F.col("pointing").alias("key")), bits)
+    found = stored(_texts(named, longest, filters, pointed, width), "texts")
+    least_text = F.min(F.struct("phrase", "lang", "code", "id", "place")).alias("t")
+    texts = stored(found.where("words > 0").groupBy("words", "key").agg(least_text).join(frequent, ["words", "key"]), "verified")
+    verified = _filter(spark, texts.select(F.expr("key ^ t.code").alias("key")), bits)
+    strays = _strays(named, longest, filters, verified, width).join(texts.select("words", "key"), ["words", "key"])
+    strays = stored(strays.groupBy("lang", "words", "key", "phrase").agg(F.sum("a").alias("a"), F.min(F.struct("id", "place")).alias("t")), "strays")
+    less = strays.groupBy("words", "key").agg(F.sum("a").alias("less"))
+    true = texts.join(less, ["words", "key"], "left").withColumn("a", F.col("a") - F.coalesce("less", F.lit(0)))
+    phrases = true.select("t.lang", "words", "t.phrase", "a", "t.id", "t.place").unionByName(strays.select("lang", "words", "phrase", "a", "t.id", "t.place"))
+    totals = found.where("words = 0").groupBy("lang", "words", "phrase").agg(F.sum("a").alias("a"), F.min("id").alias("id"), F.min("place").alias("place"))
+    return phrases.where(F.col("a") >= least).unionByName(totals)
+
+
+def _filter(spark: SparkSession, keys: DataFrame, bits: int):
     """The filter as a variable of every executor: at most 2^bits bits."""
-    return spark.sparkContext.broadcast(Filter(rows.toArrow(), bits))
+    return spark.sparkContext.broadcast(Filter(filter_rows(keys, bits).toArrow(), bits))
 
 
 def collocations(
@@ -342,6 +390,7 @@ def collocations(
     covered: int = COVERED,
     top: int = 2000,
     bits: int = BITS,
+    width: int = 64,
 ) -> DataFrame:
     """The `top` phrases of each language by how closely their weakest cut holds: lang, rank, phrase, a, l, r, n, score, id, place.
 
@@ -349,7 +398,7 @@ def collocations(
     its two parts; the lowest cut counts. A phrase inside a longer one that occurs at
     least `covered` percent as often is left out. Products are decimals, so that none overflows.
     """
-    found = stored(frequent_phrases(docs, text, lang, id, longest, least, bits), "phrases")
+    found = stored(frequent_phrases(docs, text, lang, id, longest, least, bits, width), "phrases")
     words = F.split("phrase", " ")
     phrases = found.where("words > 1")
     parts = found.where("words > 0").select("lang", F.col("phrase").alias("part"), F.col("a").alias("f"))

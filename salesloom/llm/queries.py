@@ -10,7 +10,7 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from salesloom.llm import bpe, chat, contamination, lines, neardup, phrases, quality, tokens, urls, warc, whitening, wrappers
+from salesloom.llm import bpe, chat, contamination, lines, neardup, phrases, quality, tokens, toxicity, urls, warc, whitening, wrappers
 from salesloom.session import stored
 
 
@@ -81,6 +81,13 @@ def op10_token_counts(spark: SparkSession, path: str) -> DataFrame:
     return tokens.token_counts(_table(spark, path, "documents"), bpe.public_vocabulary())
 
 
+def op11_toxicity(spark: SparkSession, path: str) -> DataFrame:
+    docs = _table(spark, path, "documents").select("doc_id", "text")
+    model = toxicity.fit(docs, _table(spark, path, "labels").select("doc_id", "toxic"))
+    scored = toxicity.score(docs, model, out="score")
+    return scored.select("doc_id", toxicity.held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
 def op12_whitening(spark: SparkSession, path: str) -> DataFrame:
     rows = whitening.whiten(_table(spark, path, "embeddings").select("vec_id", "embedding"))
     found = F.col("whitening")
@@ -117,5 +124,5 @@ def _importable(query: Callable[[SparkSession, str], DataFrame]) -> Callable[[Sp
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         f.__name__: _importable(f)
-        for f in (op1_quality_rules, op2_bpe, op3_line_dedup, op4_decontamination, op5_chat, op6_near_duplicates, op7_html_extraction, op8_warc, op9_url_filter, op10_token_counts, op12_whitening, op13_collocations)
+        for f in (op1_quality_rules, op2_bpe, op3_line_dedup, op4_decontamination, op5_chat, op6_near_duplicates, op7_html_extraction, op8_warc, op9_url_filter, op10_token_counts, op11_toxicity, op12_whitening, op13_collocations)
     }

@@ -76,15 +76,21 @@ def test_pointers_show_the_phrase(spark, rows):
         assert r.phrase == " ".join(re.findall(r"[^ \t]+", there)[: r.words])[: len(r.phrase)]
 
 
-def test_colliding_fingerprints_are_told_apart():
-    texts = [b"one two one six", b"one two"]
-    found = phrases.sequences(texts, np.zeros(2, np.uint64))
-    at = np.arange(len(found.start))
-    rows = list(phrases._resolved(found, 1, at, np.full(len(at), 7, np.uint64)))
-    counts = Counter()
-    for _, phrase, n, _ in rows:
-        counts[phrase] += n
-    assert counts == {b"one": 3, b"two": 2, b"six": 1}
+def test_entries_survive_their_blobs():
+    keys = np.sort(np.random.default_rng(1).integers(0, 1 << 63, 1000).astype(np.uint64) * np.uint64(2))
+    keys = np.unique(keys)
+    counts, buckets = np.arange(len(keys)) + 1, np.arange(len(keys)) % phrases.BUCKETS
+    batch = phrases._blobs((keys, counts, buckets), 60)
+    parts = [phrases._entries(b) for b in batch.column("blob").to_pylist()]
+    assert len(parts) == 16
+    again = phrases._added(parts + parts)
+    assert (again[0] == keys).all() and (again[1] == 2 * counts).all() and (again[2] == buckets).all()
+
+
+@pytest.mark.parametrize("width", [3, 12])
+def test_colliding_fingerprints_are_told_apart(spark, rows, width):
+    frame = spark.createDataFrame([(k, *r) for k, r in enumerate(rows)], "doc_id long, text string, lang string")
+    assert got(phrases.collocations(frame, least=3, width=width)) == expected(rows, 4, 3, 80, 2000)
 
 
 def test_fingerprints_do_not_depend_on_place():
