@@ -8,8 +8,8 @@ more often a voter speaks on toxic texts, so any three voters give their d (a
 voter that no two others agree with takes it from the labelled sample). What a
 covariance has beyond that is correlation: voters that repeat each other are not
 compared and share their weight. The second moments of the votes of all documents are all it needs: one sum over
-the table. Voters weigh by their log likelihood ratio, and the prior is set so that the mean
-posterior over all documents is the share of toxic rows among the labels.
+the table. Voters weigh by their log likelihood ratio; the share of toxic rows among the labels
+is the prior, and what texts with votes leave of it is the chance of those without.
 
 A logistic regression on words and word beginnings, trained on the posteriors, gives the score.
 
@@ -50,10 +50,13 @@ TRAINED = 40_000  # documents the regression is fitted on
 VOCABULARY = 3_000  # words and word beginnings of the regression
 VOTERS = 48  # mined voters; with the fixed ones at most 62
 SURE = 0.95  # share of toxic rows, classes evened out, from which a word is a voter
+CERTAIN = 40.0  # log likelihood ratio (G) of a voter's counts in the sample
+TOGETHER = 10  # documents on which two voters speak before they are compared
 REPEATED = 0.7  # correlation of two voters that say the same rather than agree
 SKETCH = 4  # smallest hashes of the sample's texts by which copies are found
 SEEN = 5  # rows of the sample a word of the vocabulary is in
 PRIOR = 0.05
+LEAST = 0.001  # chance of a text without a vote, at least
 ALIKE = 0.1  # conditional correlation from which voters share their weight
 BEGINNINGS = range(3, 9)  # characters of word beginnings
 LONGEST = 40  # characters of a word kept whole
@@ -191,11 +194,19 @@ def _mined(given: DataFrame, known: DataFrame, counts: dict[int, int]) -> tuple[
     strength = (F.abs(ratio) * F.sqrt(F.col("one") + F.col("other"))).alias("strength")
     best = seen.select("unit", "one", "other", strength).orderBy(F.desc("strength"), "unit").limit(VOCABULARY).collect()
     rates = {r["unit"]: ((r["one"] + 0.5) / (n[1] + 1), (r["other"] + 0.5) / (n[0] + 1)) for r in best}
-    sure = {u: r for u, r in rates.items() if r[0] / (r[0] + r[1]) >= SURE}
+    certain = {r["unit"] for r in best if _certainty(r["one"], r["other"], n[1], n[0]) >= CERTAIN}
+    sure = {u: r for u, r in rates.items() if u in certain and r[0] / (r[0] + r[1]) >= SURE}
     mined = _apart(sure)
     return [r["unit"] for r in best], {u: rates[u] for u in mined}
 
 
+def _certainty(one: int, other: int, ones: int, others: int) -> float:
+    """G of a unit in `one` of `ones` toxic rows and `other` of `others`: how unlikely that is by chance."""
+    expected = (one + other) / (ones + others)
+    parts = [(one, ones * expected), (other, others * expected), (ones - one, ones * (1 - expected)), (others - other, others * (1 - expected))]
+    return 2 * sum(seen * np.log(seen / chance) for seen, chance in parts if seen and chance)
+
+
 def _without_copies(rows: DataFrame) -> DataFrame:
     """One text of those of a class that share one of their smallest hashes of five words."""
 
@@ -287,7 +298,7 @@ def _label_model(model: Model, n: int, moments: np.ndarray, rates: dict[str, tup
     covariance = moments / n - np.outer(share, share)
     noise = np.sqrt(np.maximum(np.outer(share, share), 1e-12) / n)
     single = np.sqrt(np.maximum(share * (1 - share), 1e-12))
-    tied = (covariance > 3 * noise) & (moments >= 3) & (covariance < REPEATED * np.outer(single, single))
+    tied = (covariance > 3 * noise) & (moments >= TOGETHER) & (covariance < REPEATED * np.outer(single, single))
     np.fill_diagonal(tied, False)
     apart = np.zeros(len(share))
     for i, name in enumerate(model.voters):
@@ -313,17 +324,16 @@ def _label_model(model: Model, n: int, moments: np.ndarray, rates: dict[str, tup
 
 
 def _posterior(voted: DataFrame, evidence: dict[int, float], prior: float) -> Column:
-    """The chance that a text is toxic given its votes, its mean over all rows being the prior."""
+    """The chance that a text is toxic given its votes.
+
+    What texts with votes leave of the prior's share of all texts is spread over those without one.
+    """
     bit = lambda k: F.col("votes").bitwiseAND(F.lit(1 << k).cast("long")) != 0
     weight = sum((F.when(bit(k), F.lit(w)).otherwise(F.lit(0.0)) for k, w in evidence.items()), F.lit(0.0))
-    bins = voted.groupBy(F.round(weight, 1).alias("weight")).count().collect()  # as many as the weights' sum has tenths
-    at, n = np.array([r["weight"] for r in bins]), np.array([r["count"] for r in bins], float)
-    low, high = -60.0, 60.0
-    for _ in range(60):
-        middle = (low + high) / 2
-        mean = (n / (1 + np.exp(-np.clip(at + middle, -500, 500)))).sum() / n.sum()
-        low, high = (middle, high) if mean < prior else (low, middle)
-    return 1 / (1 + F.exp(-(weight + F.lit(low))))
+    spoken = 1 / (1 + F.exp(-(weight + F.lit(float(np.log(prior / (1 - prior)))))))
+    row = voted.agg(F.count("*").alias("n"), F.count(F.when(weight == 0, 1)).alias("silent"), F.sum(F.when(weight != 0, spoken)).alias("toxic")).first()
+    left = (prior * row["n"] - (row["toxic"] or 0.0)) / max(row["silent"], 1)
+    return F.when(weight != 0, spoken).otherwise(F.lit(float(min(max(left, LEAST), prior))))
 
 
 def _train(model: Model, given: DataFrame, voted: DataFrame, posterior: Column, mined: list[str], vocabulary: list[str]) -> None:
@@ -355,7 +365,7 @@ def _train(model: Model, given: DataFrame, voted: DataFrame, posterior: Column,
         for label, part in ((1.0, F.col("posterior")), (0.0, 1 - F.col("posterior")))
     )
     both = toxic.unionByName(other).where("weight > 1e-6")
-    fitted = LogisticRegression(weightCol="weight", regParam=1e-4, maxIter=60).fit(both)
+    fitted = LogisticRegression(weightCol="weight", regParam=1e-5, maxIter=60).fit(both)
     weights = fitted.coefficients.toArray()
     model.weights = {u: float(w) for u, w in zip(wanted, weights) if w}
     model.intercept = float(fitted.intercept)
