@@ -144,7 +144,7 @@ _add("page_info", lambda star: listings.page_info(listings.pagination_counts(sta
 @query("orders_far_page")
 def _far_page(star):
     frame = listings.orders_listing(star)
-    return listings.far_page(frame, listings.listing_order(frame, "order_date"), 3000, 50)
+    return listings.rows_at(frame, "order_date", 3000, 50, span=100)
 
 
 @query("products_keyset_page")

@@ -75,16 +75,18 @@ def country_lines(star: Star, country: str) -> DataFrame:
 
 
 def _country_orders(star: Star, country: str, window=None, day=None, columns=()) -> DataFrame:
-    """One row per order of the country in the window, with its line sums."""
-    header_columns = ["country", "order_date", "order_id_raw", *columns]
-    frame = order_totals(star, _LISTED, header_columns, through=_EVERY_TABLE)
-    frame = frame.where(F.col("country") == F.lit(country))
+    """One row per order of the country in the window, with its line sums; lines of other orders go first."""
+
+    def kept(found: DataFrame) -> DataFrame:
+        found = found.where(F.col("country") == F.lit(country))
+        if day is not None:
+            return on_day(found, day)
+        return found if window is None else in_window(found, *window)
+
+    frame = order_totals(star, _LISTED, ["country", "order_date", "order_id_raw", *columns], through=_EVERY_TABLE, kept=kept)
     # A header without a business id counts as an order of its own.
     raw = F.coalesce(F.nullif(F.col("order_id_raw"), F.lit("")), F.col("order_key").cast("string"))
-    frame = frame.withColumn("order_id_raw", raw)
-    if day is not None:
-        return on_day(frame, day)
-    return frame if window is None else in_window(frame, *window)
+    return frame.withColumn("order_id_raw", raw)
 
 
 def country_stats(star: Star, country: str, window=None, day=None) -> DataFrame:

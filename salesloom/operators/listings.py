@@ -3,15 +3,17 @@
 from __future__ import annotations
 
 import math
+from dataclasses import dataclass
+from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from salesloom.functions.numeric import money, percent, ratio, rounded
 from salesloom.functions.text import day_text, search
 from salesloom.plans.fact import headers, line_partials, line_totals, lines, order_totals, totalled
 from salesloom.plans.filters import NO_FILTER, Filter
-from salesloom.session import shared_folder
 from salesloom.sources.star import CUSTOMER_COLUMNS, LOCATION_COLUMNS, PRODUCT_COLUMNS, Star
 
 DEFAULT_PAGE, DEFAULT_LIMIT = 1, 20
@@ -23,8 +25,10 @@ SEARCHED = {
     "locations": ["city", "country", "region", "market"],
 }
 
-# A page whose end lies beyond this many rows is not found by a top-k heap.
-HEAP_ROWS = 100_000
+# Rows before a page that its last step, a top-k, may hold.
+SPAN = 20_000
+CUTS = 64  # ranges that a round of the rank selection splits a column into, about
+TEXT_BYTES = 6  # of a text that one round looks at: they make a whole number
 
 
 # --- Paging ---------------------------------------------------------------
@@ -46,45 +50,108 @@ def listing_order(frame: DataFrame, lead: str) -> list[Column]:
     return [F.desc_nulls_last(lead), *[F.asc_nulls_first(c) for c in frame.columns if c != lead]]
 
 
-def page_of(frame: DataFrame, lead: str, page=None, limit=None) -> DataFrame:
-    """One page of a listing ranked by ``lead``.
-
-    Near pages are a top-k. A far page would make every task hold all rows
-    before it, so there the listing is range-sorted and numbered instead.
-    """
+def page_of(frame: DataFrame, lead: str, page=None, limit=None, span: int = SPAN) -> DataFrame:
+    """One page of a listing ranked by ``lead``."""
     number, size = page_request(page, limit)
-    offset = max((number - 1) * size, 0)
     if size < 0:  # a negative limit means all rows
         return frame.orderBy(*listing_order(frame, lead))
-    if offset + size <= HEAP_ROWS:
-        return frame.orderBy(*listing_order(frame, lead)).offset(offset).limit(size)
-    return far_page(frame, listing_order(frame, lead), offset, size)
+    return rows_at(frame, lead, max((number - 1) * size, 0), size, span)
 
 
-def far_page(frame: DataFrame, order: list[Column], offset: int, size: int) -> DataFrame:
-    """Rows ``offset .. offset+size`` of the total order, found by row number.
+def rows_at(frame: DataFrame, lead: str, offset: int, size: int, span: int = SPAN) -> DataFrame:
+    """Rows ``offset .. offset + size`` of the ranked listing, by selection of their ranks.
 
-    The sorted rows are checkpointed: counting and picking must see the same
-    split into sorted partitions.
+    The listing is narrowed to the range of its leading column that holds the
+    page, then to that of the next column among equal ones, while more than ``span``
+    rows lie before the page in the range. A round reads one column: its
+    approximate quantiles, then the number of rows at and between them. What is
+    left is a top-k of at most ``span + size`` rows; nothing is sorted or written whole.
     """
-    columns = frame.columns
-    shared_folder(frame.sparkSession)
-    place = F.monotonically_increasing_id()
-    numbered = (
-        frame.orderBy(*order)
-        .withColumn("_place", place)
-        .withColumn("_part", F.shiftright("_place", 33))
-        .withColumn("_row", F.col("_place").bitwiseAND(F.lit((1 << 33) - 1)))
-        .checkpoint()
-    )
-    # One row per partition of the sort, however many rows the listing has, so
-    # the window and the broadcast below are bounded by the partition count.
-    sizes = numbered.groupBy("_part").agg(F.count(F.lit(1)).alias("_size"))
-    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
-    starts = sizes.select("_part", F.coalesce(F.sum("_size").over(before), F.lit(0)).alias("_start"))
-    position = F.col("_start") + F.col("_row")
-    picked = numbered.join(F.broadcast(starts), "_part").where((position >= offset) & (position < offset + size))
-    return picked.orderBy(position).select(*columns)
+    order = listing_order(frame, lead)
+    ranking = [lead, *[c for c in frame.columns if c != lead]]
+    parts = _narrowed(frame, ranking, lead, offset, size, span)
+    pages = [(part.orderBy(*order).offset(skip) if skip else part.orderBy(*order)).limit(count) for part, skip, count in parts]
+    return pages[0] if len(pages) == 1 else reduce(DataFrame.unionByName, pages).orderBy(*order)
+
+
+def _narrowed(frame: DataFrame, ranking: list[str], lead: str, offset: int, size: int, span: int) -> list[tuple[DataFrame, int, int]]:
+    """Ranges of the listing that make up the page together: (rows, rows before the page, rows of it)."""
+    parts: list[tuple[DataFrame, int, int]] = []
+    for name in ranking:
+        step = 0
+        while offset > span:
+            key, more = _sort_key(frame, name, step)
+            ranges = _ranges(frame, key, descending=name == lead)
+            first, before = 0, 0
+            while first < len(ranges) and before + ranges[first].rows <= offset:
+                before += ranges[first].rows
+                first += 1
+            if first == len(ranges):  # the page lies behind the last row
+                return [(frame.limit(0), 0, size)]
+            here, behind = ranges[first], ranges[first + 1 :]
+            in_range = min(size, before + here.rows - offset)
+            if in_range < size and behind:
+                rest = reduce(lambda x, y: x | y, [r.holds for r in behind])
+                parts.append((frame.where(rest), 0, size - in_range))
+            frame, offset, size = frame.where(here.holds), offset - before, in_range
+            if here.single:
+                if here.null or not more:
+                    break
+                step += 1
+        if offset <= span:
+            break
+    # Rows equal in every column are as good as each other.
+    return [(frame, offset if offset <= span else 0, size), *reversed(parts)]
+
+
+@dataclass(frozen=True)
+class _Range:
+    """A part of a sort key: rows in it, whether they all have one value, and the condition."""
+
+    rows: int
+    single: bool
+    null: bool
+    holds: Column
+
+
+def _sort_key(frame: DataFrame, name: str, step: int) -> tuple[Column, bool]:
+    """What a column sorts by, as something with quantiles, and whether it goes on; texts a few bytes a step."""
+    kind = frame.schema[name].dataType
+    if isinstance(kind, T.BooleanType):
+        return F.col(name).cast("int"), False
+    if not isinstance(kind, T.StringType):
+        return F.col(name), False
+    longest = frame.agg(F.max(F.octet_length(name))).first()[0] or 0
+    data = F.substring(F.encode(F.col(name), "UTF-8"), step * TEXT_BYTES + 1, TEXT_BYTES)
+    number = F.conv(F.rpad(F.hex(data), 2 * TEXT_BYTES, "0"), 16, 10).cast("bigint")
+    return number, (step + 1) * TEXT_BYTES < longest
+
+
+def _ranges(frame: DataFrame, key: Column, descending: bool) -> list[_Range]:
+    """The rows at and between the quantiles of a key, in the order of the listing."""
+    keys = frame.select(key.alias("k"))
+    shares = [k / CUTS for k in range(CUTS + 1)]
+    cuts = sorted(set(keys.agg(F.percentile_approx("k", shares, 10 * CUTS).alias("cuts")).first()["cuts"] or []))
+    bounds = F.array(*[F.lit(c) for c in cuts]) if cuts else None
+    if bounds is None:
+        place = F.lit(None).cast("int")
+    else:  # even: between two cuts; odd: at one
+        place = F.when(F.col("k").isNotNull(), 2 * F.size(F.filter(bounds, lambda c: c < F.col("k"))) + F.array_contains(bounds, F.col("k")).cast("int"))
+    counts = {r["place"]: r["n"] for r in keys.groupBy(place.alias("place")).agg(F.count(F.lit(1)).alias("n")).collect()}
+    out = [_Range(n, place % 2 == 1, False, _holds(key, cuts, place)) for place, n in sorted((p, n) for p, n in counts.items() if p is not None)]
+    if descending:
+        out.reverse()
+    if None in counts:  # last in the leading column, first in the others
+        out.insert(len(out) if descending else 0, _Range(counts[None], True, True, key.isNull()))
+    return out
+
+
+def _holds(key: Column, cuts: list, place: int) -> Column:
+    at = place // 2
+    if place % 2:
+        return key == F.lit(cuts[at])
+    low = key > F.lit(cuts[at - 1]) if at else F.lit(True)
+    return low & (key < F.lit(cuts[at])) if at < len(cuts) else low
 
 
 def page_after(frame: DataFrame, lead: str, last: dict | None, limit: int = DEFAULT_LIMIT) -> DataFrame:
@@ -168,9 +235,9 @@ def orders_listing(star: Star, text: str | None = None, flt: Filter = NO_FILTER)
     return _shown_lines(_listing_lines(star, text, flt, _LISTED))
 
 
-def orders_page(star: Star, text=None, page=None, limit=None, flt: Filter = NO_FILTER) -> DataFrame:
+def orders_page(star: Star, text=None, page=None, limit=None, flt: Filter = NO_FILTER, span: int = SPAN) -> DataFrame:
     """Newest lines first; only the rows of the page are formatted."""
-    return _shown_lines(page_of(_listing_lines(star, text, flt, _LISTED), "order_date", page, limit))
+    return _shown_lines(page_of(_listing_lines(star, text, flt, _LISTED), "order_date", page, limit, span))
 
 
 # --- Products, customers, locations ---------------------------------------

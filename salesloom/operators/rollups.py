@@ -41,7 +41,7 @@ from salesloom.plans.fact import (
     totalled,
 )
 from salesloom.plans.filters import NO_FILTER, Filter
-from salesloom.sources.star import Star
+from salesloom.sources.star import UNITS_PER_ONE, Star
 
 TOP_SUBCATEGORIES = 10
 QUANTITY_SUBCATEGORIES = 12
@@ -60,7 +60,10 @@ KPI_PARTIALS = ("sales", "profit", "shipping_cost", "discount", "discount_n", "q
 
 def kpi(star: Star, flt: Filter = NO_FILTER) -> DataFrame:
     """Eleven KPIs over two grains: order counts and line sums."""
-    per_order = order_totals(star, KPI_PARTIALS, ["order_id_raw", "customer_id"], flt)
+    return kpi_rows(order_totals(star, KPI_PARTIALS, ["order_id_raw", "customer_id"], flt))
+
+
+def kpi_rows(per_order: DataFrame) -> DataFrame:
     total = per_order.agg(
         *totalled(KPI_PARTIALS),
         F.count(F.lit(1)).alias("order_keys"),
@@ -166,16 +169,16 @@ def profit_histogram(star: Star, width: float = 5000.0) -> DataFrame:
 
 def profit_vs_discount(star: Star) -> DataFrame:
     """Per discount level: lines, average profit and share of losing lines."""
-    level = lines(star, ["discount", "profit"], through=()).groupBy("discount")
-    losing = F.sum(F.when(F.col("profit") < 0, 1).otherwise(0))
+    level = lines(star, ["discount_units", "profit_units"], through=()).groupBy("discount_units")
+    losing = F.sum(F.when(F.col("profit_units") < 0, 1).otherwise(0))
     totals = level.agg(
         F.count(F.lit(1)).alias("line_count"),
-        F.sum("profit").alias("profit"),
-        F.count("profit").alias("profit_n"),
+        exact_sum("profit_units", "0.0001").alias("profit"),
+        F.count("profit_units").alias("profit_n"),
         losing.alias("losing"),
     )
     return totals.select(
-        F.col("discount").cast("double").alias("discount"),
+        (F.col("discount_units").cast("double") / F.lit(float(UNITS_PER_ONE))).alias("discount"),
         "line_count",
         rounded(ratio("profit", "profit_n"), 2).alias("avg_profit"),
         percent("losing", "line_count", 1).alias("loss_share_pct"),
@@ -209,20 +212,28 @@ def segment_stats(star: Star, flt: Filter = NO_FILTER) -> DataFrame:
     Orders are summed per customer before the customer join, so a customer with
     very many orders is one row there, and customers need no distinct count.
     """
-    per_order = order_totals(star, BASIC, ["customer_id"], flt)
-    per_customer = per_order.groupBy("customer_id").agg(*carried(BASIC), F.count(F.lit(1)).alias("orders"))
-    people = star.take("dim_customers", ("customer_id", "segment"))
-    totals = (
-        per_customer.join(people, "customer_id")
-        .groupBy("segment")
-        .agg(F.count(F.lit(1)).alias("customers"), F.sum("orders").alias("orders"), *totalled(BASIC))
+    per_customer = _per_customer(order_totals(star, BASIC, ["customer_id"], flt))
+    return segment_rows(per_customer.join(star.take("dim_customers", ("customer_id", "segment")), "customer_id"))
+
+
+def segment_rows_of(per_order: DataFrame) -> DataFrame:
+    """The same of orders that bring their segment along."""
+    return segment_rows(_per_customer(per_order, "segment"))
+
+
+def _per_customer(per_order: DataFrame, *keys: str) -> DataFrame:
+    return per_order.groupBy("customer_id", *keys).agg(*carried(BASIC), F.count(F.lit(1)).alias("orders"))
+
+
+def segment_rows(per_customer: DataFrame) -> DataFrame:
+    totals = per_customer.groupBy("segment").agg(
+        F.count(F.lit(1)).alias("customers"), F.sum("orders").alias("orders"), *totalled(BASIC)
     )
     return ranked(totals.select("segment", "customers", "orders", *shown(*BASIC)), "sales")
 
 
-def _lead_time(star: Star, key: str) -> DataFrame:
+def _lead_time(per_order: DataFrame, key: str) -> DataFrame:
     """Orders, sales and line-weighted days to ship per header attribute."""
-    per_order = order_totals(star, ("sales", "line_count"), [key, "order_date", "ship_date"])
     days = fractional_days("order_date", "ship_date")
     return (
         per_order.withColumn("days", days)
@@ -236,8 +247,16 @@ def _lead_time(star: Star, key: str) -> DataFrame:
     )
 
 
+def _dated_orders(star: Star, key: str) -> DataFrame:
+    return order_totals(star, ("sales", "line_count"), [key, "order_date", "ship_date"])
+
+
 def orders_by_shipmode(star: Star) -> DataFrame:
-    totals = _lead_time(star, "ship_mode").select(
+    return shipmode_rows(_dated_orders(star, "ship_mode"))
+
+
+def shipmode_rows(per_order: DataFrame) -> DataFrame:
+    totals = _lead_time(per_order, "ship_mode").select(
         "ship_mode",
         "order_count",
         money("sales").alias("total_sales"),
@@ -248,7 +267,7 @@ def orders_by_shipmode(star: Star) -> DataFrame:
 
 
 def orders_by_priority(star: Star) -> DataFrame:
-    totals = _lead_time(star, "order_priority").select(
+    totals = _lead_time(_dated_orders(star, "order_priority"), "order_priority").select(
         "order_priority",
         "order_count",
         money("sales").alias("total_sales"),
@@ -279,7 +298,10 @@ def drill_subcategory_rows(partial_sums: DataFrame, limit: int = DRILL_ROWS) ->
 
 
 def drill_segments(star: Star, region: str) -> DataFrame:
-    stats = segment_stats(star, required_region(region))
+    return drill_segment_rows(segment_stats(star, required_region(region)))
+
+
+def drill_segment_rows(stats: DataFrame) -> DataFrame:
     return ranked(stats.select("segment", "sales", "profit", "quantity", "orders"), "sales")
 
 

@@ -1,10 +1,9 @@
 """Result sets that are asked for together and share their passes.
 
-The members of a bundle are not nine scans of the fact. Each distributive
-measure is first summed to a small frame keyed by the attributes the members
-group by (years, regions, sub-categories: their number does not grow with the
-data), that frame is written once to the shared folder, and the members are read
-from it. Nothing stays cached.
+A bundle reads the lines twice, whatever it holds: once summed by product attributes
+(their number does not grow with the data), once summed by order with all
+measures and header columns of its order-grain members. Both frames are written
+to the shared folder and the members are read from there. Nothing stays cached.
 """
 
 from __future__ import annotations
@@ -13,38 +12,45 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from salesloom.operators import rollups
-from salesloom.plans.fact import BASIC, PRICED, carried, line_partials, order_totals, totalled
+from salesloom.plans.fact import BASIC, KNOWN, PLACED, PRICED, STOCKED, carried, line_partials, order_totals, totalled
 from salesloom.plans.filters import NO_FILTER, Filter
 from salesloom.session import stored
 from salesloom.sources.star import Star
 
 
+def _goods(star: Star, flt: Filter) -> DataFrame:
+    keys = ["year", "category", "sub_category", STOCKED]
+    return stored(line_partials(star, keys, PRICED, flt, optional=("products",)), "goods")
+
+
 def dashboard_summary(star: Star, flt: Filter = NO_FILTER) -> dict[str, DataFrame]:
-    """Nine result sets under one filter; ship modes are never filtered."""
-    goods = line_partials(star, ["year", "category", "sub_category", "_stocked"], PRICED, flt, optional=("products",))
-    goods = stored(goods, "goods")
-    places = (
-        order_totals(star, PRICED, ["region", "market"], flt)
-        .groupBy("region", "market")
-        .agg(*carried(PRICED), F.count(F.lit(1)).alias("orders"))
-    )
-    places = stored(places, "places")
+    """Nine result sets under one filter; ship modes are never filtered.
+
+    The order frame therefore holds all orders, with or without a known customer
+    and place, and the filter picks among its rows.
+    """
+    goods = _goods(star, flt)
+    measures = tuple(dict.fromkeys([*rollups.KPI_PARTIALS, *PRICED, "line_count"]))
+    columns = ["order_id_raw", "customer_id", "segment", KNOWN, "region", "market", PLACED, "order_date", "ship_mode", "ship_date"]
+    every = stored(order_totals(star, measures, columns, optional=("customers", "locations")), "orders")
+    orders = flt.apply(every)
+    places = orders.where(PLACED).groupBy("region", "market").agg(*carried(PRICED), F.count(F.lit(1)).alias("orders"))
 
     def by_goods(key: str) -> DataFrame:
-        return goods.where("_stocked").groupBy(key).agg(*totalled(PRICED))
+        return goods.where(STOCKED).groupBy(key).agg(*totalled(PRICED))
 
     def by_place(key: str) -> DataFrame:
         return places.groupBy(key).agg(*totalled(PRICED), F.sum("orders").alias("orders"))
 
     subcategories = by_goods("sub_category")
     return {
-        "kpi": rollups.kpi(star, flt),
+        "kpi": rollups.kpi_rows(orders),
         "revenue_by_year": rollups.year_rows(goods.groupBy("year").agg(*totalled(BASIC))),
         "sales_by_category": rollups.category_rows(by_goods("category")),
         "profit_by_market": rollups.market_rows(by_place("market")),
         "top_subcategory": rollups.subcategory_rows(subcategories),
-        "orders_by_shipmode": rollups.orders_by_shipmode(star),
-        "segment_stats": rollups.segment_stats(star, flt),
+        "orders_by_shipmode": rollups.shipmode_rows(every),
+        "segment_stats": rollups.segment_rows_of(orders.where(KNOWN)),
         "region_stats": rollups.region_rows(by_place("region")),
         "quantity_stats": rollups.quantity_rows(subcategories),
     }
@@ -53,16 +59,16 @@ def dashboard_summary(star: Star, flt: Filter = NO_FILTER) -> dict[str, DataFram
 def region_drilldown(star: Star, region: str, limit: int = rollups.DRILL_ROWS) -> dict[str, DataFrame]:
     """Four result sets of one required region, plus the segment shares."""
     flt = rollups.required_region(region)
-    goods = line_partials(star, ["year", "category", "sub_category", "_stocked"], PRICED, flt, optional=("products",))
-    goods = stored(goods, "goods")
-    stocked = goods.where("_stocked")
-    segments = rollups.drill_segments(star, region)
+    goods = _goods(star, flt)
+    orders = order_totals(star, BASIC, ["customer_id", "segment", KNOWN, "country"], flt, optional=("customers",))
+    orders = stored(orders, "orders")
+    segments = rollups.drill_segment_rows(rollups.segment_rows_of(orders.where(KNOWN)))
     return {
-        "top_subcategories": rollups.drill_subcategory_rows(stocked, limit),
+        "top_subcategories": rollups.drill_subcategory_rows(goods.where(STOCKED), limit),
         "segments": segments,
         "segment_share": rollups.segment_share(segments),
         "trend": rollups.drill_trend_rows(goods.groupBy("year").agg(*totalled(BASIC))),
-        "top_countries": rollups.drill_countries(star, region, limit),
+        "top_countries": rollups.drill_country_rows(orders.groupBy("country").agg(*totalled(BASIC)), limit),
     }
 
 

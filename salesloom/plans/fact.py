@@ -28,9 +28,11 @@ from salesloom.sources.star import (
 
 # Asked for as a column, it tells lines whose product exists from the others.
 STOCKED = "_stocked"
+# The same for orders: whether their customer and their location exist.
+KNOWN, PLACED = "_known", "_placed"
 
 _PLACE = set(LOCATION_COLUMNS) - {"location_id"}
-_ORDER_LEVEL = set(ORDER_COLUMNS) | set(CUSTOMER_COLUMNS) | set(LOCATION_COLUMNS)
+_ORDER_LEVEL = set(ORDER_COLUMNS) | set(CUSTOMER_COLUMNS) | set(LOCATION_COLUMNS) | {KNOWN, PLACED}
 
 
 def _join(left: DataFrame, right: DataFrame, key: str, optional: bool) -> DataFrame:
@@ -51,21 +53,25 @@ def headers(
     """
     asked = list(dict.fromkeys(["order_key", *columns]))
     wanted = set(asked) | flt.columns
-    places = bool(wanted & _PLACE) or "locations" in through
+    places = bool(wanted & _PLACE) or PLACED in wanted or "locations" in through
     needed = star.closure(wanted | ({"location_id"} if places else set()))
     customer_side = set(star.tables["dim_customers"].columns) - {"customer_id"}
-    customers = bool(needed & customer_side) or "customers" in through
+    customers = bool(needed & customer_side) or KNOWN in wanted or "customers" in through
     if customers:
         needed.add("customer_id")
 
     frame = flt.on_dates(star.take("orders", needed))
     if customers:
         people = star.take("dim_customers", needed)
+        if KNOWN in wanted:
+            people = people.withColumn(KNOWN, F.lit(True))
         frame = _join(frame, people, "customer_id", "customers" in optional)
     if "location_id" in needed and "location_id" in star.derived:
         frame = frame.withColumn("location_id", star.derived["location_id"].value)
     if places:
         sites = flt.on_locations(star.take("dim_locations", needed | {"location_id"}))
+        if PLACED in wanted:
+            sites = sites.withColumn(PLACED, F.lit(True))
         frame = _join(frame, sites, "location_id", "locations" in optional)
     # Last, so that what is partitioned by order key stays so for the line join.
     for name, lookup in star.header_lookups.items():
@@ -206,15 +212,31 @@ def line_totals(star: Star, keys, measures, flt: Filter = NO_FILTER, through=("o
     return frame.select(*keys, *[_amount(m, F.col).alias(m) for m in measures])
 
 
-def order_totals(star: Star, measures, columns=(), flt: Filter = NO_FILTER, through=()) -> DataFrame:
-    """One row per order that has lines: partials plus header columns."""
+def order_totals(
+    star: Star,
+    measures,
+    columns=(),
+    flt: Filter = NO_FILTER,
+    through=(),
+    optional=(),
+    kept: Callable[[DataFrame], DataFrame] | None = None,
+) -> DataFrame:
+    """One row per order that has lines: partials plus header columns.
+
+    A header column that the source finds in the lines (the last ship date of the trade
+    tables) is one more partial of the same sum. ``kept`` picks headers by their columns
+    before their lines are summed.
+    """
     product_join = tuple(t for t in through if t == "products")
-    wanted = headers(star, columns, flt, through)
-    frame = lines(star, ["order_key", *measure_inputs(measures)], through=product_join)
-    if flt != NO_FILTER:
+    found = {c: star.line_extremes[c] for c in columns if c in star.line_extremes}
+    wanted = headers(star, [c for c in columns if c not in found], flt, through, optional)
+    wanted = kept(wanted) if kept else wanted
+    frame = lines(star, ["order_key", *measure_inputs(measures), *found.values()], through=product_join)
+    if flt != NO_FILTER or kept:
         # Lines of other orders go before they are summed; the sum reuses the join's partitioning.
         frame = frame.join(wanted.select("order_key"), "order_key", "left_semi")
-    return frame.groupBy("order_key").agg(*partials(measures)).join(wanted, "order_key")
+    extremes = [F.max(source).alias(name) for name, source in found.items()]
+    return frame.groupBy("order_key").agg(*partials(measures), *extremes).join(wanted, "order_key")
 
 
 # --- Output measures ------------------------------------------------------

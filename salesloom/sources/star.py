@@ -87,12 +87,15 @@ class Star:
     so the join that brings the price is the same join that brings the category.
     A derived column may use those stated before it.
     ``header_lookups`` maps an order column to a frame keyed by ``order_key``
-    that is joined only when the column is asked for.
+    that is joined only when the column is asked for. ``line_extremes`` maps an order
+    column to the line column whose largest value per order it is, so that a sum of
+    lines by order brings it along without that join.
     """
 
     tables: dict[str, DataFrame]
     derived: dict[str, Derived] = field(default_factory=dict)
     header_lookups: dict[str, DataFrame] = field(default_factory=dict)
+    line_extremes: dict[str, str] = field(default_factory=dict)
     origin: str = ""
 
     def __post_init__(self):

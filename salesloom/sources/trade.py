@@ -77,6 +77,7 @@ def _items(line: DataFrame) -> DataFrame:
         (price * 100).alias("sales_units"),
         (price * hundredths("l_tax")).alias("shipping_cost_units"),
         (hundredths("l_discount") * 100).alias("discount_units"),
+        F.col("l_shipdate").alias("line_ship_date"),
     )
 
 
@@ -157,5 +158,6 @@ def trade_star(spark: SparkSession, path: str) -> Star:
             "location_id": Derived(("customer_id", "nation_key"), home.cast("bigint")),
         },
         header_lookups={"ship_date": _ship_dates(line)},
+        line_extremes={"ship_date": "line_ship_date"},
         origin=path,
     )

@@ -195,12 +195,26 @@ def test_pages_join_up_to_the_listing(star):
         assert keyset == whole
 
 
-def test_far_page_equals_top_k(star):
+def test_every_offset_is_found_by_rank(star):
     frame = listings.orders_listing(star)
     order = listings.listing_order(frame, "order_date")
     whole = frame.orderBy(*order).collect()
-    for offset in (0, 1234, 5990, 7000):
-        assert listings.far_page(frame, order, offset, 25).collect() == whole[offset : offset + 25]
+    for offset in (0, 1234, 5990):
+        assert listings.rows_at(frame, "order_date", offset, 25, span=50).collect() == whole[offset : offset + 25]
+
+
+def test_rank_selection_with_ties_nulls_and_texts(spark):
+    """Few values, long common text beginnings, nulls in every column and repeated rows."""
+    rows = [
+        (None if k % 7 == 0 else k % 3, None if k % 11 == 0 else f"the same beginning {'é' * (k % 4)}{k % 5}", k % 2 == 0, float(k % 13) if k % 3 else None)
+        for k in range(900)
+    ]
+    frame = spark.createDataFrame(rows, "lead int, name string, flag boolean, amount double").repartition(5)
+    whole = frame.orderBy(*listings.listing_order(frame, "lead")).collect()
+    for offset in (11, 258, 600, 771, 885, 899, 2000):
+        for size in (1, 300):
+            assert listings.rows_at(frame, "lead", offset, size, span=10).collect() == whole[offset : offset + size]
+    assert listings.rows_at(frame.limit(0), "lead", 50, 20, span=10).collect() == []
 
 
 def test_page_request():
