@@ -14,7 +14,7 @@ from salesloom.operators import evaluation, features, geography, listings, rollu
 from salesloom.plans.bundles import dashboard_summary, region_drilldown, tidy
 from salesloom.plans.fact import line_fact
 from salesloom.plans.filters import Filter, preset_window
-from salesloom.session import scratch_path
+from salesloom.session import scratch_path, stored
 from salesloom.sources.export import export_csv, write_star
 from salesloom.sources.star import Star, load_star
 from salesloom.sources.trade import trade_star
@@ -254,8 +254,9 @@ def _triage_features(star):
 
 @query("onehot_features")
 def _onehot(star):
-    records = star_transactions(star)
-    vocabulary = features.onehot_vocab(records, features.categories_of("profit"))
+    names = features.categories_of("profit")
+    records = stored(star_transactions(star).select(*names), "levels")  # vocabulary and encoding both read it
+    vocabulary = features.onehot_vocab(records, names)
     return features.onehot_features(records, features.Encoder("profit", features.read_levels(vocabulary)))
 
 
@@ -267,7 +268,7 @@ def _scaler(star):
 
 @query("features_scaled")
 def _scaled(star):
-    frame = features.features_training(_fractions(star))
+    frame = stored(features.features_training(_fractions(star)).select(*features.NUMERIC), "numbers")
     encoder = features.Encoder("priority", {}, features.read_scale(features.scaler_stats(frame)))
     scaled = features.features_scaled(frame, encoder)
     return scaled.select(*[F.round(c, 4).alias(c) for c in scaled.columns])
@@ -380,6 +381,47 @@ _add("score_priority_4class", lambda star: scoring.score_priority(_fractions(sta
 _add("what_if_curve", lambda star: scoring.what_if_curve(star_transactions(star), fitted(star, "profit_amount")))
 _add("what_if_best", lambda star: scoring.what_if_best(star_transactions(star), fitted(star, "profit_amount")))
 
+_add("score_classify_checks", lambda star: scoring.score_checks(scoring.score_classify(star_transactions(star), fitted(star, "profit_class"))))
+
+
+@query("score_regress_checks")
+def _amount_checks(star):
+    scored = scoring.score_regress(star_transactions(star), fitted(star, "profit_amount"))
+    return scoring.amount_checks(scoring.with_margin(scored))
+
+
+for _kind, _task in (("binary", "urgency"), ("4class", "priority")):
+    _add(
+        f"score_priority_{_kind}_checks",
+        lambda star, task=_task: scoring.priority_checks(scoring.score_priority(_fractions(star), fitted(star, task))),
+    )
+
+
+@query("what_if_best_checks")
+def _best_checks(star):
+    """Different transactions whose best discount stands against their whole sweep, and lines they stand for."""
+    model = fitted(star, "profit_amount")
+    inputs = scoring.numbered_inputs(star_transactions(star))
+    best = scoring.best_discounts(inputs, model)
+    sweep = scoring.predicted(model, features.features_profit(scoring.what_if_grid(inputs)))
+    each = sweep.join(best, "id").groupBy("id", "occurrences").agg(
+        F.max(rounded("prediction", 2)).alias("highest"),
+        F.max("estimated_profit").alias("estimated_profit"),
+        F.max(F.when(F.col("discount_pct") == F.col("best_discount_pct"), rounded("prediction", 2))).alias("there"),
+    )
+    right = (F.col("highest") == F.col("estimated_profit")) & (F.col("there") == F.col("highest"))
+    return each.agg(F.count(F.when(right, 1)).alias("different"), F.sum(F.when(right, F.col("occurrences"))).alias("line_count"))
+
+
+@query("decision_reasons")
+def _reasons(star):
+    """How often each input is the first reason of an estimate, and its mean effect."""
+    rows = scoring.decision_reasons(star_transactions(star), fitted(star, "profit_amount"))
+    each = rows.select(F.posexplode("reasons").alias("place", "reason")).select("place", "reason.*")
+    return each.groupBy("input").agg(
+        F.count(F.when(F.col("place") == 0, 1)).alias("first"), F.avg(F.abs("effect")).alias("mean_effect"), F.count(F.lit(1)).alias("line_count")
+    )
+
 
 def _stand_in(star: Star) -> DataFrame:
     """Predictions and probabilities computed from the lines, no model needed."""
@@ -477,6 +519,6 @@ def _score_stream(star):
     _flawed(star).write.json(source)
     model = fitted(star, "profit_class")
     score_stream(spark, source, {"profit_class": model}, out).awaitTermination()
-    scored = spark.read.parquet(f"{out}/scored").select(F.lit("scored").alias("outcome"))
-    rejected = spark.read.parquet(f"{out}/rejected").select(F.explode("reasons").alias("outcome"))
-    return scored.unionByName(rejected).groupBy("outcome").agg(F.count(F.lit(1)).alias("record_count"))
+    outcomes = F.when(F.col("outcome") == "scored", F.array(F.lit("scored"))).otherwise(F.col("reasons"))
+    rows = spark.read.parquet(f"{out}/records").select(F.explode(outcomes).alias("outcome"))
+    return rows.groupBy("outcome").agg(F.count(F.lit(1)).alias("record_count"))

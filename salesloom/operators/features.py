@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from dataclasses import dataclass, field
 
+from pyspark.ml.feature import OneHotEncoder, StringIndexerModel, VectorAssembler
+from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -24,9 +26,6 @@ NUMERIC = (
 PRIORITY_LABELS = ("Critical", "High", "Low", "Medium")
 URGENT_LABELS = ("Critical", "High")
 
-# A vocabulary becomes columns of a frame, so its size must stay a schema's.
-MAX_LEVELS = 2000
-
 
 def categories_of(kind: str) -> tuple[str, ...]:
     return {"profit": PROFIT_FEATURES, "priority": PRIORITY_FEATURES}[kind]
@@ -83,15 +82,12 @@ def features_for(kind: str, frame: DataFrame) -> DataFrame:
 def onehot_vocab(frame: DataFrame, categories) -> DataFrame:
     """Levels per feature in order, the first (the base level) left out.
 
-    Distinct (feature, level) pairs are found on the map side first, so the
-    window sorts only levels, never rows.
+    One pass without multiplying rows: each task keeps the set of levels it sees.
     """
-    pairs = F.explode(
-        F.array(*[F.struct(F.lit(c).alias("feature"), F.col(c).cast("string").alias("level")) for c in categories])
-    )
-    distinct = frame.select(pairs.alias("p")).select("p.feature", "p.level").where("level IS NOT NULL").distinct()
-    first = distinct.groupBy("feature").agg(F.min("level").alias("_first"))
-    return distinct.join(first, "feature").where(F.col("level") != F.col("_first")).select("feature", "level")
+    sets = frame.agg(*[F.collect_set(F.col(c).cast("string")).alias(c) for c in categories])
+    rest = lambda c: F.slice(F.array_sort(c), F.lit(2), F.greatest(F.size(c), F.lit(1)))
+    rows = F.explode(F.array(*[F.struct(F.lit(c).alias("feature"), rest(F.col(c)).alias("levels")) for c in categories]))
+    return sets.select(rows.alias("r")).select("r.feature", F.explode("r.levels").alias("level"))
 
 
 @dataclass
@@ -118,28 +114,42 @@ class Encoder:
             out.append(value.alias(name))
         return out
 
-    def coded(self) -> list[Column]:
-        """One 0/1 column per vocabulary entry; unknown values match none."""
-        return [
-            F.coalesce((F.col(c) == F.lit(v)).cast("double"), F.lit(0.0)).alias(f"{c}_{v}")
-            for c in categories_of(self.kind)
-            for v in self.levels.get(c, [])
-        ]
+    def vectors(self, frame: DataFrame, numbers: bool = True) -> DataFrame:
+        """The frame with its sparse ``features``: scaled numbers, then 0 or 1 per vocabulary entry.
+
+        A level is found by its index in the vocabulary, so the work of a row follows its
+        features and not the size of the vocabulary. The base level, unknown values and nulls
+        have the index behind the last, which the encoding leaves out.
+        """
+        coded = [c for c in categories_of(self.kind) if self.levels.get(c)]
+        numeric = self.numeric() if numbers else []
+        out = frame.select("*", *[v.alias(f"_{n}") for n, v in zip(NUMERIC, numeric)], *[F.col(c).cast("string").alias(f"_{c}") for c in coded])
+        helpers = [f"_{n}" for n in (*(NUMERIC if numbers else ()), *coded)]
+        if coded:
+            texts, places, flags = ([f"{mark}{c}" for c in coded] for mark in ("_", "_at_", "_is_"))
+            for c, text, place in zip(coded, texts, places):
+                out = StringIndexerModel.from_labels(self.levels[c], text, place, handleInvalid="keep").transform(out)
+            out = OneHotEncoder(inputCols=places, outputCols=flags, dropLast=True).fit(out).transform(out)
+            helpers += [*places, *flags]
+        parts = [f"_{n}" for n in NUMERIC if numbers] + [f"_is_{c}" for c in coded]
+        return VectorAssembler(inputCols=parts, outputCol="features", handleInvalid="keep").transform(out).drop(*helpers)
 
 
 def read_levels(vocabulary: DataFrame) -> dict[str, list[str]]:
-    """The vocabulary as column names; refused when it is no vocabulary."""
-    rows = vocabulary.limit(MAX_LEVELS + 1).collect()
-    if len(rows) > MAX_LEVELS:
-        raise ValueError(f"more than {MAX_LEVELS} one-hot columns: not a categorical feature")
+    """The vocabulary as lists in order; the model holds it, whatever its size."""
     levels: dict[str, list[str]] = {}
-    for row in sorted(rows):
+    for row in sorted(vocabulary.collect()):
         levels.setdefault(row["feature"], []).append(row["level"])
     return levels
 
 
 def onehot_features(frame: DataFrame, encoder: Encoder) -> DataFrame:
-    return frame.select(*encoder.coded())
+    """One 0/1 column per vocabulary entry, picked from the sparse vectors; for vocabularies of a schema's size."""
+    names = encoder.names[len(NUMERIC) :]
+    if not names:
+        return frame.select()
+    flags = encoder.vectors(frame, numbers=False).select(vector_to_array("features").alias("f"))
+    return flags.select(*[F.col("f")[k].alias(n) for k, n in enumerate(names)])
 
 
 # --- Scaling --------------------------------------------------------------

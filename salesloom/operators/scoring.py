@@ -11,9 +11,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from salesloom.functions.numeric import as_column, discount_money, margin_percent, net_status, rounded
-from salesloom.operators.features import PRIORITY_LABELS, URGENT_LABELS, features_for
+from salesloom.operators.features import PRIORITY_LABELS, URGENT_LABELS, categories_of, features_for
 from salesloom.operators.training import Model
-from salesloom.sources.transactions import NUMBERS, PROFIT_FEATURES, PROFIT_SCHEMA
+from salesloom.session import stored
+from salesloom.sources.transactions import NUMBERS, PROFIT_FEATURES
 
 # Texts shown with a decision.
 URGENT_MESSAGE = "Pesanan ini berisiko tinggi / butuh penanganan segera!"
@@ -227,19 +228,13 @@ SWEEP_HIGH = 100
 _INPUTS = (*NUMBERS, *PROFIT_FEATURES)
 
 
-def distinct_inputs(records: DataFrame) -> DataFrame:
-    """Each different transaction once, with how often it occurs.
+def numbered_inputs(records: DataFrame) -> DataFrame:
+    """Each different transaction once, with how often it occurs and an id, written once.
 
-    The text key stands for all inputs. Unlike the floating-point inputs it
-    passes later steps unchanged, so the partitioning by it is kept.
+    The id is given when the rows are written, so every later read sees the same one.
     """
-    keyed = records.select(F.to_json(F.struct(*_INPUTS)).alias("input_key")).groupBy("input_key")
-    return _with_inputs(keyed.agg(F.count(F.lit(1)).alias("occurrences")))
-
-
-def _with_inputs(keyed: DataFrame) -> DataFrame:
-    parsed = F.from_json("input_key", PROFIT_SCHEMA)
-    return keyed.withColumn("_inputs", parsed).select("*", "_inputs.*").drop("_inputs")
+    inputs = records.groupBy(*_INPUTS).agg(F.count(F.lit(1)).alias("occurrences"))
+    return stored(inputs.withColumn("id", F.monotonically_increasing_id()), "inputs")
 
 
 def what_if_grid(records: DataFrame, step: int = 1) -> DataFrame:
@@ -269,18 +264,125 @@ def what_if_curve(records: DataFrame, regressor: Model, step: int = 1) -> DataFr
 def what_if_best(records: DataFrame, regressor: Model, step: int = 1) -> DataFrame:
     """Per different transaction, the discount with the highest estimate.
 
-    The sweep of a transaction stays where its key was grouped, so picking the
-    best needs no second shuffle, and both steps are hash aggregations: equal
-    estimates are first reduced to their lowest discount, then the highest
-    estimate wins.
+    The sweep carries an id and numbers; the texts of a transaction meet its result at the end.
     """
-    swept = _swept(distinct_inputs(records), regressor, step)
-    lowest = swept.groupBy("input_key", "prediction").agg(
-        F.min("discount_pct").alias("discount_pct"), F.max("occurrences").alias("occurrences")
+    inputs = numbered_inputs(records)
+    best = best_discounts(inputs, regressor, step)
+    return inputs.join(best, "id").withColumnRenamed("discount", "given_discount").drop("id")
+
+
+def best_discounts(inputs: DataFrame, regressor: Model, step: int = 1) -> DataFrame:
+    """By id: the lowest discount among those of the highest estimate.
+
+    Inputs are dealt by id before the sweep multiplies them, so that a sweep is reduced in its task. Both
+    steps are hash aggregations: equal estimates are first reduced to their lowest
+    discount, then the highest estimate wins.
+    """
+    parts = int(inputs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    swept = _swept(inputs.repartition(parts, "id"), regressor, step).select("id", "prediction", "discount_pct")
+    lowest = swept.groupBy("id", "prediction").agg(F.min("discount_pct").alias("discount_pct"))
+    return lowest.groupBy("id").agg(
+        F.max_by("discount_pct", "prediction").alias("best_discount_pct"), rounded(F.max("prediction"), 2).alias("estimated_profit")
     )
-    best = lowest.groupBy("input_key").agg(
-        F.max_by("discount_pct", "prediction").alias("best_discount_pct"),
-        rounded(F.max("prediction"), 2).alias("estimated_profit"),
-        F.max("occurrences").alias("occurrences"),
+
+
+# --- Reasons of a decision ------------------------------------------------
+
+
+def decision_reasons(records: DataFrame, model: Model) -> DataFrame:
+    """What each input of a record adds to its own score, the largest effect first: a list of structs per record.
+
+    An input's effect is the score minus the score with that input at its base: the mean
+    of the training lines for a number, the base level for a text. All variants of a record
+    go through one transform and come together again by the record's id.
+    """
+    kind = "priority" if model.task in ("urgency", "priority") else "profit"
+    inputs = [*NUMBERS, *categories_of(kind)]
+    kept = stored(records.withColumn("_id", F.monotonically_increasing_id()), "records")
+    base = {name: F.lit(_base_number(model, name, kind)) for name in NUMBERS}
+    variant = F.explode(F.array(F.lit(""), *[F.lit(name) for name in inputs])).alias("_without")
+    varied = kept.select("_id", *inputs, variant)
+    moved = varied.select(
+        "_id",
+        "_without",
+        *[F.when(F.col("_without") != c, F.col(c).cast("double") if c in base else F.col(c)).otherwise(base.get(c, F.lit(None))).alias(c) for c in inputs],
     )
-    return _with_inputs(best).withColumnRenamed("discount", "given_discount").drop("input_key")
+    scored = predicted(model, features_for(kind, moved)).select("_id", "_without", _score_of(model).alias("score"))
+    whole = F.max(F.when(F.col("_without") == "", F.col("score")))
+    each = [F.max(F.when(F.col("_without") == c, F.col("score"))).alias(f"_{c}") for c in inputs]
+    by_record = scored.groupBy("_id").agg(whole.alias("score"), *each)
+    effects = F.array(*[F.struct(F.lit(c).alias("input"), (F.col("score") - F.col(f"_{c}")).alias("effect")) for c in inputs])
+    larger = lambda x, y: F.when(F.abs(x["effect"]) > F.abs(y["effect"]), -1).when(F.abs(x["effect"]) < F.abs(y["effect"]), 1).otherwise(0)
+    ranked = by_record.select("_id", "score", F.array_sort(effects, larger).alias("reasons"))
+    return kept.join(ranked, "_id").drop("_id")
+
+
+def _base_number(model: Model, name: str, kind: str) -> float:
+    """Mean of the training lines, as records give the number: profit records have discounts in percent."""
+    mean = model.encoder.scale.get(name, (0.0, 1.0))[0]
+    return mean * 100.0 if name == "discount" and kind == "profit" else mean
+
+
+def _score_of(model: Model) -> Column:
+    """What is explained: the estimate, or the chance of the last class of two, or of a pressing one of four."""
+    if model.task == "profit_amount":
+        return F.col("prediction")
+    if model.task != "priority":
+        return F.element_at("probabilities", 2)
+    return sum(F.element_at("probabilities", k + 1) for k, name in enumerate(PRIORITY_LABELS) if name in URGENT_LABELS)
+
+
+# --- What every score must fulfil -----------------------------------------
+
+
+def score_checks(scored: DataFrame) -> DataFrame:
+    """Lines whose classification is consistent in itself: check, line_count."""
+    c, near = F.col("classification"), lambda x, y: F.abs(x - y) < 0.11
+    return counted(
+        scored,
+        {
+            "probabilities in range": c["profit_probability"].between(0, 100) & c["loss_probability"].between(0, 100),
+            "probabilities add up": near(c["profit_probability"] + c["loss_probability"], F.lit(100.0)),
+            "class is the likelier": (c["profit_probability"] >= 50) == (c["is_profit"] | near(c["profit_probability"], F.lit(50.0))),
+            "confidence is the larger": near(c["confidence"], F.greatest(c["profit_probability"], c["loss_probability"])),
+            "class named": (c["prediction"] == "PROFIT") == c["is_profit"],
+        },
+    )
+
+
+def amount_checks(scored: DataFrame) -> DataFrame:
+    """The same of estimates with their margin."""
+    r, sign = F.col("regression"), F.signum(F.col("regression.estimated_profit"))
+    named = F.when(sign > 0, "PROFIT").when(sign < 0, "LOSS")
+    return counted(
+        scored,
+        {
+            "estimate is a number": r["estimated_profit"].isNotNull() & ~F.isnan(r["estimated_profit"]),
+            "status follows the sign": (sign == 0) | (r["net_status"] == named),
+            "one of the flags": ~(r["is_profitable"] & r["is_break_even"]),
+            "margin is a share of sales": F.abs(F.col("margin_pct") - r["estimated_profit"] / F.col("sales") * 100) < 0.01,
+        },
+    )
+
+
+def priority_checks(scored: DataFrame) -> DataFrame:
+    """The same of triage decisions, of two or four classes."""
+    t, p = F.col("triage"), F.col("debug.raw_proba")
+    total = F.aggregate(p, F.lit(0.0), lambda s, v: s + v)
+    return counted(
+        scored,
+        {
+            "probabilities in range": F.forall(p, lambda v: v.between(0, 100)),
+            "probabilities add up": F.abs(total - 100) < 0.3,
+            "class is the likeliest": F.abs(F.element_at(p, t["prediction"] + 1) - F.array_max(p)) < 0.11,
+            "sides add up": F.abs(t["urgent_probability"] + t["normal_probability"] - 100) < 0.11,
+            "every class has a share": F.size(t["class_probs"]) == 6,
+        },
+    )
+
+
+def counted(frame: DataFrame, checks: dict[str, Column]) -> DataFrame:
+    """How many rows fulfil each condition, from one pass."""
+    sums = frame.agg(*[F.count(F.when(holds, 1)).alias(f"_{k}") for k, holds in enumerate(checks.values())])
+    rows = F.array(*[F.struct(F.lit(name).alias("check"), F.col(f"_{k}").alias("line_count")) for k, name in enumerate(checks)])
+    return sums.select(F.inline(rows))

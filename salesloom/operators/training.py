@@ -2,17 +2,21 @@
 
 from __future__ import annotations
 
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 
-from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.classification import GBTClassifier, RandomForestClassifier
-from pyspark.ml.functions import array_to_vector
+from pyspark import inheritable_thread_target
+from pyspark.ml import PipelineModel
+from pyspark.ml.classification import GBTClassifier
+from pyspark.ml.feature import Normalizer, VectorAssembler, VectorSlicer
+from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import GBTRegressor
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from salesloom.operators.features import (
     NUMERIC,
+    PRIORITY_LABELS,
     Encoder,
     categories_of,
     class_weights,
@@ -31,7 +35,7 @@ from salesloom.sources.transactions import as_fractions, star_transactions
 # The tuned hyper-parameters of the two priority models. Spark
 # samples features per node where the tuned library samples them per tree.
 URGENCY_PARAMS = {"trees": 120, "depth": 5, "rate": 0.08, "sample": 0.85, "features": "0.85", "seed": 42}
-PRIORITY_PARAMS = {"trees": 150, "depth": 6, "sample": 0.85, "features": "0.85", "seed": 42}
+PRIORITY_PARAMS = {"trees": 150, "depth": 6, "rate": 0.07, "sample": 0.85, "features": "0.85", "seed": 42}
 PROFIT_PARAMS = dict(URGENCY_PARAMS)
 
 TASKS = ("urgency", "priority", "profit_class", "profit_amount")
@@ -50,7 +54,12 @@ class Model:
 
     def transform(self, features: DataFrame) -> DataFrame:
         """Adds prediction columns to a frame of features."""
-        return self.pipeline.transform(self.vectors(features)).drop("features")
+        out = self.pipeline.transform(self.vectors(features)).drop("features")
+        if self.task != "priority":
+            return out
+        shares = vector_to_array("probability")
+        likeliest = (F.array_position(shares, F.array_max(shares)) - 1).cast("double")
+        return out.withColumn("prediction", likeliest).drop(*[c for k in range(len(PRIORITY_LABELS)) for c in _names(k)], "_pairs", "_shares")
 
 
 def kind_of(task: str) -> str:
@@ -58,8 +67,7 @@ def kind_of(task: str) -> str:
 
 
 def with_vector(frame: DataFrame, encoder: Encoder) -> DataFrame:
-    cells = F.array(*[c.cast("double") for c in (*encoder.numeric(), *encoder.coded())])
-    return frame.withColumn("features", array_to_vector(cells))
+    return encoder.vectors(frame)
 
 
 def training_features(star: Star, task: str, flt: Filter = NO_FILTER) -> DataFrame:
@@ -84,29 +92,54 @@ def holdout(frame: DataFrame, tenths: int = 2) -> tuple[DataFrame, DataFrame]:
     return frame.where(slot >= tenths), frame.where(slot < tenths)
 
 
-def _estimator(task: str, trees: int | None):
-    if task == "priority":
-        p = dict(PRIORITY_PARAMS, **({"trees": trees} if trees else {}))
-        return RandomForestClassifier(
-            numTrees=p["trees"],
-            maxDepth=p["depth"],
-            subsamplingRate=p["sample"],
-            featureSubsetStrategy=p["features"],
-            seed=p["seed"],
-            weightCol="weight",
-        )
-    p = dict(URGENCY_PARAMS if task == "urgency" else PROFIT_PARAMS, **({"trees": trees} if trees else {}))
-    kind = GBTRegressor if task == "profit_amount" else GBTClassifier
+def _boosted(kind, params: dict, trees: int | None, **columns):
     return kind(
-        maxIter=p["trees"],
-        maxDepth=p["depth"],
-        stepSize=p["rate"],
-        subsamplingRate=p["sample"],
-        featureSubsetStrategy=p["features"],
-        seed=p["seed"],
+        maxIter=trees or params["trees"],
+        maxDepth=params["depth"],
+        stepSize=params["rate"],
+        subsamplingRate=params["sample"],
+        featureSubsetStrategy=params["features"],
+        seed=params["seed"],
+        **columns,
     )
 
 
+def _names(index: int) -> tuple[str, str, str]:
+    """Prediction, probability and raw columns of the model of one class."""
+    return f"_hit_{index}", f"_probability_{index}", f"_raw_{index}"
+
+
+def _one_against_rest(ready: DataFrame, trees: int | None) -> PipelineModel:
+    """Boosting is binary: one weighted model per class, their probabilities scaled to add up to one.
+
+    The models do not depend on each other and are fitted side by side.
+    """
+
+    def fitted(index: int):
+        hit, probability, raw = _names(index)
+        columns = {"labelCol": "is_class", "weightCol": "weight", "predictionCol": hit}
+        rows = ready.withColumn("is_class", (F.col("label") == index).cast("double"))
+        booster = _boosted(GBTClassifier, PRIORITY_PARAMS, trees, **columns)
+        return booster.setProbabilityCol(probability).setRawPredictionCol(raw).fit(rows)
+
+    classes = range(len(PRIORITY_LABELS))
+    with ThreadPoolExecutor(len(PRIORITY_LABELS)) as pool:
+        models = list(pool.map(inheritable_thread_target(ready.sparkSession)(fitted), classes))
+    pairs = VectorAssembler(inputCols=[_names(k)[1] for k in classes], outputCol="_pairs")
+    shares = VectorSlicer(inputCol="_pairs", outputCol="_shares", indices=[2 * k + 1 for k in classes])
+    return PipelineModel([*models, pairs, shares, Normalizer(inputCol="_shares", outputCol="probability", p=1.0)])
+
+
+def _fit(task: str, ready: DataFrame, trees: int | None) -> PipelineModel:
+    if task == "priority":
+        # One row per class: the four labels bound what is broadcast.
+        weights = class_weights(ready, "label").select("label", "weight")
+        return _one_against_rest(ready.join(F.broadcast(weights), "label"), trees)
+    kind = GBTRegressor if task == "profit_amount" else GBTClassifier
+    params = URGENCY_PARAMS if task == "urgency" else PROFIT_PARAMS
+    return PipelineModel([_boosted(kind, params, trees).fit(ready)])
+
+
 def _spread(features: DataFrame) -> DataFrame:
     """Fitting passes over its rows many times: they are dealt evenly, once, when written."""
     return features.repartition(int(features.sparkSession.conf.get("spark.sql.shuffle.partitions")))
@@ -122,12 +155,7 @@ def train(task: str, features: DataFrame, trees: int | None = None) -> Model:
     features = stored(_spread(features.select(*NUMERIC, *categories_of(kind_of(task)), "label")), f"train-{task}")
     encoder = fit_encoder(features, kind_of(task))
     ready = with_vector(features, encoder).select("features", "label")
-    if task == "priority":
-        # One row per class: the four labels bound what is broadcast.
-        weights = class_weights(ready, "label").select("label", "weight")
-        ready = ready.join(F.broadcast(weights), "label")
-    fitted = Pipeline(stages=[_estimator(task, trees)]).fit(ready)
-    return Model(task, encoder, fitted)
+    return Model(task, encoder, _fit(task, ready, trees))
 
 
 def train_on_star(star: Star, task: str, trees: int | None = None, flt: Filter = NO_FILTER) -> Model:
@@ -136,7 +164,8 @@ def train_on_star(star: Star, task: str, trees: int | None = None, flt: Filter =
 
 def decision_factors(model: Model, spark: SparkSession) -> DataFrame:
     """Features by importance in the fitted trees, largest first."""
-    weights = model.pipeline.stages[-1].featureImportances.toArray()
+    trees = [s.featureImportances.toArray() for s in model.pipeline.stages if hasattr(s, "featureImportances")]
+    weights = sum(trees) / len(trees)
     rows = [(name, float(w)) for name, w in zip(model.encoder.names, weights)]
     frame = spark.createDataFrame(rows, "feature string, importance double")
     return frame.orderBy(F.desc("importance"), "feature")

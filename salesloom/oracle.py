@@ -423,6 +423,17 @@ _REPORT_ROWS = """SELECT CAST(c AS VARCHAR) AS class, round(p, 6) AS "precision"
     round(SUM(f * support) / SUM(support), 6), CAST(SUM(support) AS BIGINT) FROM prf"""
 
 
+_PRIORITY_CHECKS = ("probabilities in range", "probabilities add up", "class is the likeliest", "sides add up", "every class has a share")
+CHECKS = {
+    "score_classify_checks": (
+        "probabilities in range", "probabilities add up", "class is the likelier", "confidence is the larger", "class named",
+    ),
+    "score_regress_checks": ("estimate is a number", "status follows the sign", "one of the flags", "margin is a share of sales"),
+    "score_priority_binary_checks": _PRIORITY_CHECKS,
+    "score_priority_4class_checks": _PRIORITY_CHECKS,
+}
+
+
 def oracle_sql() -> dict[str, str]:
     out: dict[str, str] = {}
     for name, body in _rollups("").items():
@@ -628,6 +639,16 @@ def oracle_sql() -> dict[str, str]:
         "SELECT array_to_string(reasons, ',') AS reasons, COUNT(*) AS record_count FROM judged GROUP BY 1", _FLAWED
     )
 
+    # Every line fulfils every check of its scores
+    for name, checks in CHECKS.items():
+        rows = " UNION ALL ".join(f"SELECT '{c}' AS \"check\", COUNT(*) AS line_count FROM fact" for c in checks)
+        out[name] = _sql(rows)
+    inputs = "sales, discount, quantity, shipping_cost, ship_mode, order_priority, segment, market, region, category, sub_category"
+    out["what_if_best_checks"] = _sql(
+        f"""SELECT COUNT(*) AS different, CAST(SUM(n) AS BIGINT) AS line_count
+        FROM (SELECT {inputs}, COUNT(*) AS n FROM fact GROUP BY ALL)"""
+    )
+
     # Decoders, what-if, evaluation
     out["decode_profit"] = _sql(_counted(_DECODE_PROFIT), _STAND_IN)
     out["decode_amount"] = _sql(_counted(_DECODE_AMOUNT))

@@ -25,27 +25,34 @@ PROFIT_SCHEMA = T.StructType(_NUMBER_FIELDS + [T.StructField(c, T.StringType())
 PRIORITY_SCHEMA = T.StructType(_NUMBER_FIELDS + [T.StructField(c, T.StringType()) for c in PRIORITY_FEATURES])
 
 
-def schema_for(kind: str) -> T.StructType:
-    return {"profit": PROFIT_SCHEMA, "priority": PRIORITY_SCHEMA}[kind]
+# Holds the text of a record that does not parse.
+UNPARSED = "_corrupt_record"
 
 
-def read_transactions(spark: SparkSession, path: str, kind: str = "profit", fmt: str = "json") -> DataFrame:
-    """Records with the declared fields; what does not parse becomes null."""
-    reader = spark.read.schema(schema_for(kind)).option("mode", "PERMISSIVE")
-    if fmt == "csv":
-        reader = reader.option("header", True)
-    return reader.format(fmt).load(path)
+def schema_for(kind: str, unparsed: bool = False) -> T.StructType:
+    fields = {"profit": PROFIT_SCHEMA, "priority": PRIORITY_SCHEMA}[kind]
+    return T.StructType([*fields, T.StructField(UNPARSED, T.StringType())]) if unparsed else fields
+
+
+def _reader(reader, kind: str, fmt: str, unparsed: bool):
+    reader = reader.schema(schema_for(kind, unparsed and fmt in ("json", "csv"))).option("mode", "PERMISSIVE")
+    reader = reader.option("columnNameOfCorruptRecord", UNPARSED)
+    return (reader.option("header", True) if fmt == "csv" else reader).format(fmt)
+
+
+def read_transactions(spark: SparkSession, path: str, kind: str = "profit", fmt: str = "json", unparsed: bool = False) -> DataFrame:
+    """Records with the declared fields; what does not parse becomes null.
+
+    ``unparsed`` adds a column with the text of such records, where the format is text.
+    """
+    return _reader(spark.read, kind, fmt, unparsed).load(path)
 
 
 def stream_transactions(
-    spark: SparkSession, path: str, kind: str = "profit", fmt: str = "json", files_per_batch: int | None = None
+    spark: SparkSession, path: str, kind: str = "profit", fmt: str = "json", files_per_batch: int | None = None, unparsed: bool = True
 ) -> DataFrame:
-    reader = spark.readStream.schema(schema_for(kind))
-    if files_per_batch:
-        reader = reader.option("maxFilesPerTrigger", files_per_batch)
-    if fmt == "csv":
-        reader = reader.option("header", True)
-    return reader.format(fmt).load(path)
+    reader = _reader(spark.readStream, kind, fmt, unparsed)
+    return (reader.option("maxFilesPerTrigger", files_per_batch) if files_per_batch else reader).load(path)
 
 
 def star_transactions(star: Star, flt: Filter = NO_FILTER, extra=()) -> DataFrame:

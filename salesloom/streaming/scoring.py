@@ -1,7 +1,8 @@
 """Scoring a stream of transactions: the batch functions on each micro-batch.
 
-The job keeps no state. A batch that is replayed after a failure overwrites
-its own folder, so each record is written once.
+The job keeps no state. A micro-batch is one write, partitioned by outcome: a batch that is
+replayed after a failure overwrites its own folder as a whole, so scored and rejected
+records always stem from the same run of it.
 """
 
 from __future__ import annotations
@@ -9,6 +10,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from salesloom.operators.features import split_valid, validate
@@ -46,7 +48,7 @@ def score_stream(
     files_per_batch: int | None = None,
     every: str | None = None,
 ) -> StreamingQuery:
-    """Score the files arriving in ``source`` to ``out/scored`` and ``out/rejected``.
+    """Score the files arriving in ``source`` to ``out/records/batch=N/outcome=scored|rejected``.
 
     Stops after the files at hand unless ``every`` names a trigger interval.
     """
@@ -54,11 +56,13 @@ def score_stream(
     records = stream_transactions(spark, source, kind, fmt, files_per_batch)
 
     def write(batch: DataFrame, number: int) -> None:
-        batch = batch.persist()  # both writes read it: the files are parsed once
-        scored, rejected = score_records(batch, models)
-        scored.write.mode("overwrite").parquet(f"{out}/scored/batch={number}")
-        rejected.write.mode("overwrite").parquet(f"{out}/rejected/batch={number}")
-        batch.unpersist()
+        batch = batch.persist()  # both outcomes read it: the files are parsed once
+        try:
+            scored, rejected = score_records(batch, models)
+            both = scored.withColumn("outcome", F.lit("scored")).unionByName(rejected.withColumn("outcome", F.lit("rejected")), allowMissingColumns=True)
+            both.write.mode("overwrite").partitionBy("outcome").parquet(f"{out}/records/batch={number}")
+        finally:
+            batch.unpersist()
 
     place = checkpoint or f"{out}/_progress"
     return (

@@ -169,6 +169,56 @@ def test_what_if_against_one_by_one_scoring(spark, star, models):
         assert r["best_discount_pct"] == min(int(d) for d, e in scored if e == top)
 
 
+def test_reasons_against_one_by_one_scoring(spark, star, models):
+    """Each input put to its base by hand and scored alone."""
+    records = spark.createDataFrame(star_transactions(star).limit(4).collect(), star_transactions(star).schema)
+    for task in ("profit_amount", "urgency", "priority"):
+        model = models[task]
+        kind = training.kind_of(task)
+        inputs = [*NUMBERS, *features.categories_of(kind)]
+
+        def score(record):
+            frame = features.features_for(kind, spark.createDataFrame([record], PROFIT_SCHEMA))
+            row = scoring.predicted(model, frame).first()
+            if task == "profit_amount":
+                return row["prediction"]
+            return row["probabilities"][1] if task == "urgency" else row["probabilities"][0] + row["probabilities"][1]
+
+        for r in scoring.decision_reasons(records, model).limit(2).collect():
+            given = {f.name: r[f.name] for f in PROFIT_SCHEMA}
+            for name in inputs:
+                mean = model.encoder.scale.get(name, (None, 1.0))[0]
+                # A quantity is whole in a record: its base is not, so it is checked through its effect alone.
+                if name == "quantity":
+                    continue
+                base = mean * 100 if name == "discount" and kind == "profit" else mean
+                expected = score(given) - score({**given, name: base})
+                assert {x["input"]: x["effect"] for x in r["reasons"]}[name] == pytest.approx(expected, abs=1e-9)
+            effects = [abs(x["effect"]) for x in r["reasons"]]
+            assert effects == sorted(effects, reverse=True) and len(effects) == len(inputs)
+
+
+def test_vocabulary_of_any_size(spark):
+    """Five thousand levels: a sparse vector, found by index."""
+    rows = [(100.0 + k, 0.1, 2, 5.0, *[f"x{k % 3}"] * 5, f"level{k:05d}") for k in range(5000)]
+    frame = spark.createDataFrame(rows, "sales double, discount double, quantity int, shipping_cost double, " + ", ".join(f"{c} string" for c in features.categories_of("priority")))
+    encoder = features.fit_encoder(features.features_training(frame), "priority")
+    assert len(encoder.names) == 7 + 5 * 2 + 4999
+    row = encoder.vectors(features.features_training(frame)).where("sub_category = 'level04321'").first()["features"]
+    assert row.size == len(encoder.names) and row[encoder.names.index("sub_category_level04321")] == 1.0
+    assert sum(row.toArray()[7:]) in (1.0, 6.0)
+
+
+def test_four_classes_are_boosted_one_against_rest(star, models):
+    model = models["priority"]
+    boosters = [s for s in model.pipeline.stages if hasattr(s, "featureImportances")]
+    assert len(boosters) == 4 and all(s.getNumTrees == 3 and s.getStepSize() == 0.07 for s in boosters)
+    judged = model.transform(training.training_features(star, "priority")).limit(200).collect()
+    for r in judged:
+        p = r["probability"].toArray()
+        assert p.sum() == pytest.approx(1.0) and p[int(r["prediction"])] == p.max() and (p > 0).all()
+
+
 def test_factors(spark, models):
     rows = training.decision_factors(models["profit_amount"], spark).collect()
     assert sum(r["importance"] for r in rows) == pytest.approx(1.0)
@@ -211,14 +261,26 @@ def test_stream_equals_batch(spark, star, models, tmp_path):
     score_stream(spark, f"{tmp_path}/in", both, f"{tmp_path}/out", files_per_batch=2).awaitTermination()
     scored, rejected = score_records(read_transactions(spark, f"{tmp_path}/in"), both)
     for name, batch in (("scored", scored), ("rejected", rejected)):
-        streamed = spark.read.parquet(f"{tmp_path}/out/{name}")
+        streamed = spark.read.parquet(f"{tmp_path}/out/records").where(F.col("outcome") == name)
         assert streamed.select("batch").distinct().count() == 3
         texts = [f.select(F.to_json(F.struct(*batch.columns)).alias("j")) for f in (streamed, batch)]
         assert texts[0].exceptAll(texts[1]).count() == 0 and texts[1].exceptAll(texts[0]).count() == 0
     # A second run finds nothing new and changes nothing.
-    before = spark.read.parquet(f"{tmp_path}/out/scored").count()
+    before = spark.read.parquet(f"{tmp_path}/out/records").count()
     score_stream(spark, f"{tmp_path}/in", both, f"{tmp_path}/out").awaitTermination()
-    assert spark.read.parquet(f"{tmp_path}/out/scored").count() == before
+    assert spark.read.parquet(f"{tmp_path}/out/records").count() == before == 6000
+
+
+def test_stream_keeps_what_does_not_parse(spark, models, tmp_path):
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in" / "r.json").write_text(json.dumps(SAMPLE) + '\n{"sales": "many"}\nnot a record\n')
+    score_stream(spark, f"{tmp_path}/in", {"profit_class": models["profit_class"]}, f"{tmp_path}/out").awaitTermination()
+    rows = spark.read.parquet(f"{tmp_path}/out/records").collect()
+    texts = {r["_corrupt_record"] for r in rows if r["outcome"] == "rejected"}
+    assert texts == {'{"sales": "many"}', "not a record"} and len(rows) == 3
+    # A replay of the batch leaves one copy of each.
+    score_stream(spark, f"{tmp_path}/in", {"profit_class": models["profit_class"]}, f"{tmp_path}/out", checkpoint=f"{tmp_path}/other").awaitTermination()
+    assert spark.read.parquet(f"{tmp_path}/out/records").count() == 3
 
 
 def test_reading_records(spark, tmp_path):

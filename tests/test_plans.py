@@ -7,7 +7,7 @@ import pytest
 from compare import SMALL
 from pyspark.sql import functions as F
 
-import __spark_entry__ as entry_point
+from salesloom import catalog
 from salesloom.operators import listings, rollups
 from salesloom.plans.filters import Filter
 from salesloom.sources.star import star_of
@@ -41,7 +41,7 @@ def test_scans_are_pruned_and_filtered(star):
 
 def test_no_query_pairs_everything_or_runs_python(spark):
     fits = ("train_", "score_", "report_", "what_if_c", "what_if_b", "save_", "decision", "stored_", "read_", "export_")
-    for name, run in entry_point.queries().items():
+    for name, run in catalog.queries().items():
         if name.startswith(fits):
             continue
         text = plan(run(spark, SMALL))
@@ -181,7 +181,45 @@ def test_best_discount_shuffles_once(spark, star, monkeypatch):
     from salesloom.sources.transactions import star_transactions
 
     monkeypatch.setattr(scoring, "predicted", lambda model, f: f.withColumn("prediction", F.col("total_cost_spent")))
-    text = scoring.what_if_best(star_transactions(star), None)._jdf.queryExecution().executedPlan().toString()
+    inputs = scoring.numbered_inputs(star_transactions(star))
+    text = scoring.best_discounts(inputs, None)._jdf.queryExecution().executedPlan().toString()
     above_sweep = text[: text.index("Generate explode(")]
     assert "Exchange" not in above_sweep
     assert "Sort" not in above_sweep
+
+
+def test_far_pages_are_top_k_of_a_range(star):
+    """A far page filters to the range of its rank and holds few rows; the listing is never sorted whole."""
+    frame = listings.orders_page(star, page=201, limit=20, span=100)
+    text = plan(frame)
+    assert "TakeOrderedAndProject" in text and "Exchange rangepartitioning" not in text
+    assert "PushedFilters" in text and "o_orderdate" in text
+    assert len(frame.collect()) == 20
+
+
+def scans(frame, column: str) -> int:
+    """How often the leaves of a plan read a column."""
+    return sum("Relation" in line and column in line for line in frame._jdf.queryExecution().optimizedPlan().toString().splitlines())
+
+
+def test_ship_dates_come_with_the_sums(star):
+    for frame in (rollups.orders_by_shipmode(star), rollups.orders_by_priority(star)):
+        assert scans(frame, "l_orderkey") == 1
+
+
+def test_country_panels_sum_the_lines_of_their_orders(spark, star):
+    from salesloom.operators.geography import country_stats
+
+    rows = country_stats(star, "NATION_2")._jdf.queryExecution().optimizedPlan().toString().splitlines()
+    semi = next(n for n, line in enumerate(rows) if "Join LeftSemi" in line)
+    sums = [n for n, line in enumerate(rows) if "Aggregate" in line and "order_key" in line]
+    assert sums and not [n for n in sums if n > semi]
+
+
+def test_dashboard_reads_the_lines_twice(star, monkeypatch):
+    from salesloom.plans import bundles
+
+    written = []
+    monkeypatch.setattr(bundles, "stored", lambda frame, name: written.append(scans(frame, "l_orderkey")) or frame)
+    bundles.dashboard_summary(star, Filter(market="APAC"))
+    assert sum(written) == 2
