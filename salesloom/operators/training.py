@@ -141,8 +141,8 @@ def _fit(task: str, ready: DataFrame, trees: int | None) -> PipelineModel:
 
 
 def _spread(features: DataFrame) -> DataFrame:
-    """Fitting passes over its rows many times: they are dealt evenly, once, when written."""
-    return features.repartition(int(features.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    """Fitting passes over its rows many times: they are dealt evenly, once, into files of the advisory size when written."""
+    return features.hint("rebalance")
 
 
 def train(task: str, features: DataFrame, trees: int | None = None) -> Model:

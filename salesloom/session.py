@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -46,9 +48,36 @@ def shared_folder(spark: SparkSession) -> str:
     return configured or current
 
 
+_noted: list[list[str]] = []
+
+
+@contextmanager
+def noted() -> Iterator[list[str]]:
+    """The scratch paths that are given out meanwhile, for an owner who removes them."""
+    paths: list[str] = []
+    _noted.append(paths)
+    try:
+        yield paths
+    finally:
+        _noted.remove(paths)
+
+
+def remove(spark: SparkSession, paths: list[str], unless_read_by: DataFrame | None = None) -> list[str]:
+    """Deletes scratch paths; those that a frame still reads stay and are returned."""
+    read = unless_read_by.inputFiles() if unless_read_by is not None else []
+    kept = [p for p in paths if any(p.rsplit("/", 1)[-1] in f for f in read)]
+    for path in set(paths) - set(kept):
+        place = spark._jvm.org.apache.hadoop.fs.Path(path)
+        place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+    return kept
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A path of its own in the shared folder."""
-    return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+    path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+    for paths in _noted:
+        paths.append(path)
+    return path
 
 
 def stored(frame: DataFrame, name: str) -> DataFrame:

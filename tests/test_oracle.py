@@ -4,13 +4,20 @@ import pytest
 from compare import SMALL, connect, difference
 
 import __spark_entry__ as entry_point
+from salesloom.operators import training
 
 SQL = entry_point.oracle_sql()
 
 
 @pytest.fixture(scope="module")
 def registered(spark):
-    return entry_point.queries()
+    """The queries; their models have few trees here, which no statement depends on."""
+    whole = [(p, p["trees"]) for p in (training.URGENCY_PARAMS, training.PRIORITY_PARAMS, training.PROFIT_PARAMS)]
+    for params, _ in whole:
+        params["trees"] = 3
+    yield entry_point.queries()
+    for params, trees in whole:
+        params["trees"] = trees
 
 
 @pytest.fixture(scope="module")
