@@ -192,19 +192,24 @@ def _texts(batch: pa.RecordBatch, text: str) -> list[str]:
     return [t or "" for t in batch.column(batch.schema.get_field_index(text)).to_pylist()]
 
 
-def encode(docs: DataFrame, vocabulary: Vocabulary, text: str = "text", out: str = "ids") -> DataFrame:
-    """The documents with their ids, array<int>, in column `out`."""
-    names = [c for c in docs.columns if c != out]
+def encode(docs: DataFrame, vocabulary: Vocabulary, text: str = "text", out: str = "ids", decoded: str | None = None) -> DataFrame:
+    """The documents with their ids, array<int>, in column `out`.
+
+    `decoded` names a column for the SHA-256 of the text that the ids decode to.
+    """
+    names = [c for c in docs.columns if c not in (out, decoded)]
     given = docs.select(*names)
+    fields = [T.StructField(out, T.ArrayType(T.IntegerType())), *([T.StructField(decoded, T.StringType())] if decoded else [])]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tool = encoder(vocabulary)
         for batch in batches:
             ids = [tool.encode(t).astype(np.int32) for t in _texts(batch, text)]
             column = pa.ListArray.from_arrays(np.cumsum([0, *map(len, ids)], dtype=np.int32), np.concatenate([np.zeros(0, np.int32), *ids]))
-            yield pa.RecordBatch.from_arrays([*batch.columns, column], [*names, out])
+            added = [pa.array([hashlib.sha256(tool.decode(i).encode()).hexdigest() for i in ids], pa.string())] if decoded else []
+            yield pa.RecordBatch.from_arrays([*batch.columns, column, *added], [*names, *(f.name for f in fields)])
 
-    return given.mapInArrow(run, T.StructType([*given.schema.fields, T.StructField(out, T.ArrayType(T.IntegerType()))]))
+    return given.mapInArrow(run, T.StructType([*given.schema.fields, *fields]))
 
 
 def round_trip(docs: DataFrame, vocabulary: Vocabulary, key: str = "doc_id", text: str = "text") -> DataFrame:

@@ -24,6 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from salesloom.llm.columns import ascii_lower, packed, unpacked
+from salesloom.llm.sieve import marked
 from salesloom.session import stored
 
 WINDOW = 13
@@ -115,10 +116,19 @@ def decontaminate(
         F.sort_array(F.collect_set(span)).alias("spans"),
         F.sort_array(F.array_distinct(F.flatten(F.collect_set("items")))).alias("items"),
     )
-    per_doc = per_doc.select("key", _covered("spans").alias("n_hit"), "items")
+    per_doc = stored(per_doc.select("key", _covered("spans").alias("n_hit"), "items"), "benchmark-hits")
     none = F.array().cast(per_doc.schema["items"].dataType)
-    rows = packed(docs, key=_key(doc_id, text), n_words=F.size(benchmark_words(F.col(text))).cast("long"))
-    judged = rows.join(per_doc, "key", "left").withColumns({"n_hit": F.coalesce("n_hit", F.lit(0).cast("long")), "items": F.coalesce("items", none)})
+    # Only documents that may have a hit are shuffled to meet theirs; the texts of the others stay where they are.
+    rows = marked(packed(docs, key=_key(doc_id, text)), per_doc.select("key"), "key", "maybe")
+    hit = rows.where("maybe").join(per_doc, "key", "left").select("row", "n_hit", "items")
+    free = rows.where("not maybe").select("row", F.lit(None).cast("long").alias("n_hit"), none.alias("items"))
+    judged = hit.unionByName(free).withColumns(
+        {
+            "n_words": F.size(benchmark_words(F.col("row").getField(text))).cast("long"),
+            "n_hit": F.coalesce("n_hit", F.lit(0).cast("long")),
+            "items": F.coalesce("items", none),
+        }
+    )
     judged = judged.withColumn("contaminated", (F.col("n_hit") > 0) & (F.lit(20) * F.col("n_hit") >= F.col("n_words")))
     judged = judged.withColumn("judged", F.struct("n_words", "n_hit", "items", "contaminated"))
     return unpacked(judged, docs.columns, **{out: "judged"})

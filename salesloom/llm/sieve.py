@@ -25,6 +25,14 @@ def sifted(frame: DataFrame, wanted: DataFrame, key: str) -> DataFrame:
     return met.where(F.col("sieve bits").bitwiseAND(_bit(key)) != 0).select(frame.columns)
 
 
+def marked(frame: DataFrame, wanted: DataFrame, key: str, out: str) -> DataFrame:
+    """All rows of frame, with a flag `out` whether their `key` may be among the wanted ones."""
+    bits = wanted.select(_row(key).alias("sieve row"), _bit(key).alias("bit")).groupBy("sieve row").agg(F.bit_or("bit").alias("sieve bits"))
+    met = frame.withColumn("sieve row", _row(key)).join(F.broadcast(bits), "sieve row", "left")
+    maybe = F.coalesce(F.col("sieve bits").bitwiseAND(_bit(key)) != 0, F.lit(False))
+    return met.select(*[F.col(f"`{c}`") for c in frame.columns], maybe.alias(out))
+
+
 def _row(key: str) -> Column:
     return F.pmod(F.shiftrightunsigned(F.xxhash64(key), 6), F.lit(ROWS))
 

@@ -4,6 +4,7 @@ import hashlib
 import itertools
 import json
 import re
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -490,8 +491,6 @@ def test_queries_match_sql(spark):
     from compare import connect, difference
 
     db = connect(SMALL)
-    for table in ("documents", "pages", "benchmark"):
-        db.execute(f"CREATE VIEW {table} AS SELECT * FROM '{SMALL}/{table}.parquet'")
     for name, sql in oracle.oracle_sql().items():
         assert difference(queries.queries()[name](spark, SMALL), db, sql) is None
 
@@ -501,7 +500,52 @@ def test_pipeline(spark):
 
     docs = spark.read.parquet(f"{SMALL}/documents.parquet")
     rows = corpus_pipeline.run(spark, SMALL)
-    assert 0 < rows.count() < docs.count() and rows.where("n_tokens != size(ids)").count() == 0
+    assert 0 < rows.count() < docs.count() and rows.where("n_tokens != size(ids) or not same_text").count() == 0
     for _, stage in corpus_pipeline.STAGES[:-1]:
         assert stage(spark, docs.limit(0), SMALL).count() == 0
         assert stage(spark, docs.limit(20), SMALL).columns == docs.columns
+
+
+def shingles_of(text):
+    words = re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m.group().lower(), text or ""))
+    return {tuple(words[i : i + 5]) for i in range(max(len(words) - 4, 1))} if words else set()
+
+
+def test_pipeline_near_duplicates_by_brute_force(spark):
+    """Rows of one id with different texts, null ids and texts, repeated rows, near copies, a long text."""
+    import corpus_pipeline
+
+    body = [f"word{k} of{k % 7}" for k in range(60)]
+    texts = [
+        (1, " ".join(body)), (1, "another text of the same id that says something else"), (2, " ".join(body)),
+        (3, " ".join(body[:-1] + ["changed"])), (4, None), (4, None), (5, ""), (None, "no id but a text of its own here"),
+        (None, "no id but a text of its own here"), (None, "and one more without an id to be found"), (6, "alone and never seen before now"),
+        (6, "alone and never seen before now"), (7, " ".join(f"long{k}" for k in range(30_000))),
+    ]
+    docs = spark.createDataFrame([(k, t, "en", "s", len(t or "")) for k, t in texts], "doc_id long, text string, lang string, source string, n_chars long")
+    got = [(r.doc_id, r.text) for r in dict(corpus_pipeline.STAGES)["near duplicates"](spark, docs.repartition(3), SMALL).collect()]
+    sets = [shingles_of(t) for _, t in texts]
+    group = list(range(len(texts)))
+    for i in range(len(texts)):
+        for j in range(i):
+            if sets[i] and 100 * len(sets[i] & sets[j]) >= 80 * len(sets[i] | sets[j]):
+                group = [group[j] if g == group[i] else g for g in group]
+    assert len(got) == len(set(group)) and set(got) <= set(texts)
+    kept = Counter(group[texts.index(r)] for r in got if r[1])
+    assert set(kept.values()) == {1}
+    assert got.count((4, None)) == 2 and got.count((5, "")) == 1
+
+
+def test_pipeline_other_stages_on_odd_rows(spark):
+    import corpus_pipeline
+
+    passage = spark.read.parquet(f"{SMALL}/benchmark.parquet").where("length(text) > 200").first().text
+    texts = [(1, None), (1, ""), (None, passage), (2, "plain words only " * 30), (2, "other words of one id"), (3, passage), (3, passage)]
+    docs = spark.createDataFrame([(k, t, "en", "s", 0, "x", "y") for k, t in texts], "doc_id long, text string, lang string, source string, n_chars long, key string, row string")
+    stages = dict(corpus_pipeline.STAGES)
+    left = stages["benchmark decontamination"](spark, docs, SMALL).collect()
+    assert sorted((str(r.doc_id), str(r.text)) for r in left) == sorted((str(k), str(t)) for k, t in texts if t != passage)
+    coded = stages["bpe"](spark, docs, SMALL).collect()
+    assert len(coded) == len(texts) and all(r.same_text and r.n_tokens == len(r.ids) for r in coded)
+
+
