@@ -15,8 +15,8 @@ from salesloom.plans.bundles import dashboard_summary, region_drilldown, tidy
 from salesloom.plans.fact import line_fact
 from salesloom.plans.filters import Filter, preset_window
 from salesloom.session import scratch_path, stored
-from salesloom.sources.export import export_csv, write_star
-from salesloom.sources.star import Star, load_star
+from salesloom.sources.export import export_csv, write_star, write_star_tables
+from salesloom.sources.star import Star, load_star, load_star_tables
 from salesloom.sources.trade import trade_star
 from salesloom.sources.transactions import as_fractions, read_transactions, star_transactions
 from salesloom.streaming.scoring import score_stream
@@ -118,7 +118,17 @@ def _stored_star(star):
     spark = star.tables["orders"].sparkSession
     path = scratch_path(spark, "star")
     write_star(star, path)
-    return rollups.kpi(load_star(spark, path), FILTERED)
+    return rollups.kpi(load_star(spark, path, dated_lines=True), FILTERED)
+
+
+@query("bucketed_star_region_stats")
+def _bucketed_star(star):
+    """The star in buckets of the order key, where sums by order exchange no lines."""
+    spark = star.tables["orders"].sparkSession
+    path = scratch_path(spark, "star")
+    prefix = path.rsplit("/", 1)[-1].replace("-", "_")
+    write_star_tables(star, path, prefix, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    return rollups.region_stats(load_star_tables(spark, prefix, dated_lines=True), FILTERED)
 
 
 # --- Listings -------------------------------------------------------------

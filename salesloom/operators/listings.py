@@ -12,7 +12,7 @@ from pyspark.sql import types as T
 
 from salesloom.functions.numeric import money, percent, ratio, rounded
 from salesloom.functions.text import day_text, search
-from salesloom.plans.fact import headers, line_partials, line_totals, lines, order_totals, totalled
+from salesloom.plans.fact import headers, line_partials, line_totals, lines, order_totals, searched, totalled
 from salesloom.plans.filters import NO_FILTER, Filter
 from salesloom.sources.star import CUSTOMER_COLUMNS, LOCATION_COLUMNS, PRODUCT_COLUMNS, Star
 
@@ -203,9 +203,11 @@ _EVERY_TABLE = ("orders", "customers", "products", "locations")
 
 
 def _listing_lines(star: Star, text: str | None, flt: Filter, extra=()) -> DataFrame:
-    searched = SEARCHED["orders"] if (text or "").strip() else []
-    frame = lines(star, [*extra, *[c for c in searched if c not in extra]], flt, through=_EVERY_TABLE)
-    return search(frame, text, SEARCHED["orders"])
+    wanted, flags = (text or "").strip(), []
+    if wanted:
+        star, flags = searched(star, wanted, SEARCHED["orders"])
+    frame = lines(star, [*extra, *flags], flt, through=_EVERY_TABLE)
+    return frame.where(reduce(lambda a, b: a | b, [F.col(f) for f in flags])).drop(*flags) if flags else frame
 
 
 # Listed columns in order, amounts as the whole numbers they are stored as.

@@ -639,6 +639,7 @@ def oracle_sql() -> dict[str, str]:
         "SELECT array_to_string(reasons, ',') AS reasons, COUNT(*) AS record_count FROM judged GROUP BY 1", _FLAWED
     )
 
+    out["bucketed_star_region_stats"] = out["region_stats_filtered"]
     # Every line fulfils every check of its scores
     for name, checks in CHECKS.items():
         rows = " UNION ALL ".join(f"SELECT '{c}' AS \"check\", COUNT(*) AS line_count FROM fact" for c in checks)

@@ -9,11 +9,14 @@ into a plain count, and leaves the join with unique keys on both sides.
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import replace
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from salesloom.functions.numeric import money, ratio, rounded, unit_price
+from salesloom.functions.text import matches
 from salesloom.plans.filters import NO_FILTER, Filter
 from salesloom.sources.star import (
     CUSTOMER_COLUMNS,
@@ -30,9 +33,11 @@ from salesloom.sources.star import (
 STOCKED = "_stocked"
 # The same for orders: whether their customer and their location exist.
 KNOWN, PLACED = "_known", "_placed"
+# Whether a row of the table matches a search; computed below the joins.
+HITS = {t: f"_hit_{t}" for t in ("orders", "dim_customers", "dim_products", "dim_locations")}
 
 _PLACE = set(LOCATION_COLUMNS) - {"location_id"}
-_ORDER_LEVEL = set(ORDER_COLUMNS) | set(CUSTOMER_COLUMNS) | set(LOCATION_COLUMNS) | {KNOWN, PLACED}
+_ORDER_LEVEL = set(ORDER_COLUMNS) | set(CUSTOMER_COLUMNS) | set(LOCATION_COLUMNS) | {KNOWN, PLACED, *HITS.values()} - {HITS["dim_products"]}
 
 
 def _join(left: DataFrame, right: DataFrame, key: str, optional: bool) -> DataFrame:
@@ -97,7 +102,7 @@ def lines(
     orders = bool(order_side) or bool(flt.columns) or bool({"orders", "customers", "locations"} & set(through))
 
     keys = ({"order_key"} if orders else set()) | ({"product_id"} if products else set())
-    frame = star.take("order_items", needed | keys)
+    frame = _dated(star, flt).select(*[c for c in star.tables["order_items"].columns if c in needed | keys])
     if orders:
         frame = frame.join(headers(star, sorted(order_side), flt, through, optional), "order_key")
     if products:
@@ -112,6 +117,27 @@ def lines(
     return frame.select(*asked)
 
 
+def _dated(star: Star, flt: Filter) -> DataFrame:
+    """Lines without those of years outside the filter's dates, where the source vouches for their year."""
+    items = star.tables["order_items"]
+    return flt.on_years(items) if star.dated_lines and "year" in items.columns else items
+
+
+def searched(star: Star, text: str, columns: list[str]) -> tuple[Star, list[str]]:
+    """The star with a flag per table whether one of its columns contains the text, and the flags' names.
+
+    Each dimension and header is compared once, before the joins; a line only reads flags.
+    """
+    tables, flags = dict(star.tables), []
+    for name, flag in HITS.items():
+        here = [c for c in columns if c in tables[name].columns]
+        if here:
+            hit = reduce(lambda a, b: a | b, [F.coalesce(matches(c, text), F.lit(False)) for c in here])
+            tables[name] = tables[name].withColumn(flag, hit)
+            flags.append(flag)
+    return replace(star, tables=tables), flags
+
+
 # --- Measures -------------------------------------------------------------
 # Every partial is a sum or a count of whole numbers (or of unit prices), so
 # partials of any grain merge by summing. Money does not fit one 64-bit sum at
@@ -231,7 +257,8 @@ def order_totals(
     found = {c: star.line_extremes[c] for c in columns if c in star.line_extremes}
     wanted = headers(star, [c for c in columns if c not in found], flt, through, optional)
     wanted = kept(wanted) if kept else wanted
-    frame = lines(star, ["order_key", *measure_inputs(measures), *found.values()], through=product_join)
+    summed = replace(star, tables={**star.tables, "order_items": _dated(star, flt)})
+    frame = lines(summed, ["order_key", *measure_inputs(measures), *found.values()], through=product_join)
     if flt != NO_FILTER or kept:
         # Lines of other orders go before they are summed; the sum reuses the join's partitioning.
         frame = frame.join(wanted.select("order_key"), "order_key", "left_semi")

@@ -65,6 +65,14 @@ class Filter:
             frame = frame.where(through_day("order_date", self.date_end))
         return frame
 
+    def on_years(self, frame: DataFrame) -> DataFrame:
+        """What the dates say of a year column: a coarser range, for rows whose date comes only by a join."""
+        if self.date_start:
+            frame = frame.where(F.col("year") >= _day(self.date_start).year)
+        if self.date_end:
+            frame = frame.where(F.col("year") <= _day(self.date_end).year)
+        return frame
+
     def on_locations(self, frame: DataFrame) -> DataFrame:
         for name in ("region", "market"):
             value = getattr(self, name)

@@ -89,13 +89,15 @@ class Star:
     ``header_lookups`` maps an order column to a frame keyed by ``order_key``
     that is joined only when the column is asked for. ``line_extremes`` maps an order
     column to the line column whose largest value per order it is, so that a sum of
-    lines by order brings it along without that join.
+    lines by order brings it along without that join. ``dated_lines`` states that the
+    ``year`` of a line is that of its order's date.
     """
 
     tables: dict[str, DataFrame]
     derived: dict[str, Derived] = field(default_factory=dict)
     header_lookups: dict[str, DataFrame] = field(default_factory=dict)
     line_extremes: dict[str, str] = field(default_factory=dict)
+    dated_lines: bool = False
     origin: str = ""
 
     def __post_init__(self):
@@ -135,7 +137,14 @@ def table_options(kind: str, table: str, options: dict, by_table: dict[str, dict
     return {**options, **given, **(by_table or {}).get(table, {})}
 
 
-def load_star(spark: SparkSession, path: str, kind: str = "parquet", by_table: dict[str, dict] | None = None, **options) -> Star:
+def load_star_tables(spark: SparkSession, prefix: str, dated_lines: bool = False) -> Star:
+    """The five tables ``<prefix>_<table>`` of the catalog."""
+    return Star({t: conform(spark.table(f"{prefix}_{t}"), t) for t in SCHEMA}, origin=prefix, dated_lines=dated_lines)
+
+
+def load_star(
+    spark: SparkSession, path: str, kind: str = "parquet", by_table: dict[str, dict] | None = None, dated_lines: bool = False, **options
+) -> Star:
     """Read the five tables from ``path/<table>``; ``jdbc`` takes them by name.
 
     ``by_table`` holds options of single tables. A database reads a table in
@@ -147,7 +156,7 @@ def load_star(spark: SparkSession, path: str, kind: str = "parquet", by_table: d
         reader = spark.read.format(kind).options(**table_options(kind, table, options, by_table))
         loaded = reader.load() if kind == "jdbc" else reader.load(f"{path}/{table}")
         tables[table] = conform(loaded, table)
-    return Star(tables, origin=path)
+    return Star(tables, origin=path, dated_lines=dated_lines)
 
 
 def star_of(**tables: DataFrame) -> Star:

@@ -223,3 +223,35 @@ def test_dashboard_reads_the_lines_twice(star, monkeypatch):
     monkeypatch.setattr(bundles, "stored", lambda frame, name: written.append(scans(frame, "l_orderkey")) or frame)
     bundles.dashboard_summary(star, Filter(market="APAC"))
     assert sum(written) == 2
+
+
+def test_buckets_save_the_exchange_of_lines(spark, star, tmp_path):
+    from salesloom.plans.fact import order_totals
+    from salesloom.sources.export import write_star_tables
+    from salesloom.sources.star import load_star_tables
+
+    write_star_tables(star, f"{tmp_path}/star", "plan_star", 4)
+    again = load_star_tables(spark, "plan_star", dated_lines=True)
+    with settings(spark, spark__sql__autoBroadcastJoinThreshold="-1", spark__sql__shuffle__partitions="4"):
+        totals = order_totals(again, ("sales",), ["order_date"])
+        text = totals._jdf.queryExecution().executedPlan().toString()
+        assert "Exchange" not in text and "Bucketed: true" in text
+        dated = plan(rollups.revenue_by_year(again, Filter("1996-01-01", "1996-12-31")))
+    assert "GreaterThanOrEqual(year,1996)" in dated and "LessThanOrEqual(year,1996)" in dated
+    for flt in (Filter(), Filter("1996-02-01", "1997-03-31", market="EU")):
+        for name in ("kpi", "revenue_by_year", "region_stats"):
+            assert getattr(rollups, name)(again, flt).collect() == getattr(rollups, name)(star, flt).collect()
+    for table in ("order_items", "orders", "dim_customers", "dim_products", "dim_locations"):
+        spark.sql(f"DROP TABLE plan_star_{table}")
+
+
+def test_search_compares_below_the_joins(star):
+    """Texts are compared once per dimension row; joined lines carry flags."""
+    text = listings.orders_page(star, "brand#1")._jdf.queryExecution().optimizedPlan().toString()
+    rows = text.splitlines()
+    likes = [n for n, row in enumerate(rows) if "LIKE" in row.upper() or "contains" in row.lower()]
+    joins = [n for n, row in enumerate(rows) if "Join" in row]
+    assert likes and min(likes) > min(joins)
+    depth = lambda n: len(rows[n]) - len(rows[n].lstrip(" :+-"))
+    line_join = max(n for n in joins if depth(n) == min(depth(m) for m in joins))
+    assert all(depth(n) > depth(line_join) for n in likes)
