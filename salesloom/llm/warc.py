@@ -42,7 +42,8 @@ LEVEL = 4  # of gzip
 ROLL = 1 << 30  # bytes after which a task begins another archive
 GAP = 1 << 16  # bytes between two ranges that are still read together
 READ = 1 << 23  # bytes read at once, unless one record is longer
-STRETCH = 1 << 27  # bytes of an archive that one group of index rows covers
+STRETCH = 1 << 23  # bytes of an archive that one group of index rows covers
+TASK_BYTES = 1 << 25  # bytes of archives a task reads; less while there are fewer tasks than cores
 DATE = "2020-01-01T00:00:00Z"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 
@@ -173,9 +174,15 @@ def archive_folder(spark: SparkSession) -> str:
 
 
 def read_records(index: DataFrame, folder: str, payloads: bool = True) -> DataFrame:
-    """The records that the index rows point to; `payloads` keeps their bytes (null in a revisit)."""
+    """The records that the index rows point to; `payloads` keeps their bytes (null in a revisit).
+
+    Tasks are dealt by the bytes of the archives to read: the index rows alone would look small.
+    """
     parts = F.floor(F.col("offset") / STRETCH)
-    near = index.select("file", "offset", "length").repartition("file", parts).sortWithinPartitions("file", "offset")
+    size = index.agg(F.sum("length")).first()[0] or 0
+    tasks = max(size // TASK_BYTES, min(size >> 20, index.sparkSession.sparkContext.defaultParallelism)) + 1
+    near = index.select("file", "offset", "length").repartition(tasks, "file", parts)
+    near = near.sortWithinPartitions("file", "offset")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         system, path = opened(folder)

@@ -8,6 +8,7 @@ from collections import Counter
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 
 from salesloom.llm import bpe, chat, contamination, lines, neardup, oracle, quality, queries, sieve, tokens, urls, warc, wrappers
@@ -495,6 +496,17 @@ def test_queries_match_sql(spark):
         assert difference(queries.queries()[name](spark, SMALL), db, sql) is None
 
 
+def test_warc_tasks_follow_the_bytes(spark):
+    """Index rows are few bytes; the archives they point to decide how many tasks read."""
+    folder = warc.archive_folder(spark)
+    pages = spark.createDataFrame([(k, f"http://h{k}/", hashlib.sha512(str(k).encode()).hexdigest() * 2000) for k in range(40)], "page_id long, url string, html string")
+    index = warc.write_archives(pages.repartition(4), folder)
+    size = index.agg(F.sum("length")).first()[0]
+    read = warc.read_records(index, folder)
+    assert read.rdd.getNumPartitions() == min(size >> 20, 8) + 1
+    assert {r.page_id: r.payload.decode() for r in read.collect()} == {r.page_id: r.html for r in pages.collect()}
+
+
 def test_pipeline(spark):
     import corpus_pipeline
 
