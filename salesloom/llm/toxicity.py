@@ -107,18 +107,25 @@ class Reader:
     """Units of a wanted set in texts; words are looked up once per task."""
 
     def __init__(self, wanted: set[str] | None):
-        self.wanted, self.known = wanted, {}
+        self.wanted = wanted
+        self.seen: set[str] = set()
+        self.found: dict[str, tuple[str, ...]] = {}
+        self.hits: set[str] = set()  # the words of `found`: sets meet without a step per word
 
     def __call__(self, text: str) -> set[str]:
-        if len(self.known) > 300_000:
-            self.known = {}
+        words = set(_WORD.findall(text))
+        new = words - self.seen
+        if len(self.seen) + len(new) > 300_000:
+            self.seen, self.found, self.hits, new = set(), {}, set(), words
+        for word in new:
+            found = tuple(u for u in units(word) if self.wanted is None or u in self.wanted)
+            if found:
+                self.found[word] = found
+                self.hits.add(word)
+        self.seen |= new
         out: set[str] = set()
-        for word in set(_WORD.findall(text)):
-            found = self.known.get(word)
-            if found is None:
-                found = tuple(u for u in units(word) if self.wanted is None or u in self.wanted)
-                self.known[word] = found
-            out.update(found)
+        for word in words & self.hits:
+            out.update(self.found[word])
         return out
 
 
