@@ -1,26 +1,28 @@
-"""Operator 3: fuzzy line dedup with SimHash, pigeonhole blocks and edit similarity.
+"""Operator 3: fuzzy line dedup with SimHash blocks and edit similarity.
 
 Steps, all DataFrame and SQL functions:
 
-1. Lines with a word are normalised (case, marks and white space go) and get a
-   SimHash: the 64-bit hash of each distinct word votes on 64 bits. The votes are
-   counted in 32 whole numbers of two 32-bit lanes, by a plain sum per line. Lines
-   of fewer than twice `LEAST_WORDS` distinct words, also those in scripts without
-   spaces, get a SimHash of their `GRAM` neighbouring characters; below
-   `LEAST_WORDS` it is their only one.
-2. Equal normalised lines are one line from here on, by two 64-bit hashes.
-3. The SimHash is cut into 8 blocks. Two signatures that differ in at most 5 bits
-   agree in three blocks (pigeonhole), so lines are candidates that agree in any
-   of the 56 triples of blocks, 24 bits, and differ in at most `FAR` bits; of
-   signatures that differ in 6 to `FAR` bits a part meets. They are linked where
-   the edit similarity of their normalised lines is at least `SIMILARITY`.
-4. In a bucket of up to `FEW` lines all are compared by SimHash. In a larger one,
-   each line is first compared with the bucket's first line by SimHash and its
-   neighbour; after the links have been grouped, lines of one bucket that are
-   still in different groups are compared. So no pair that could join two groups
-   is left out, and the pairs of a large group of near copies are not listed.
+1. Lines with a word are normalised (case, marks and white space go). Equal
+   normalised lines are one line from here on, by two 64-bit hashes.
+2. A line's features are its pairs of neighbouring words; lines of few words, also
+   those in scripts without spaces, have runs of `GRAM` characters, and lines in
+   between have both. A feature's 64-bit hash is its place among the features.
+3. The signature has `len(PLACES)` blocks. Block k is the SimHash of the `VOTES`
+   features nearest to place k: 64 bits, each as most of these features have it. A
+   changed word touches two features, so only the blocks that these vote in; the
+   others agree in all bits (pigeonhole over the edited words, at any length of the
+   line). Lines that agree in a block are candidates. They are linked where the
+   edit similarity of their normalised lines is at least `SIMILARITY`.
+4. In a bucket of more than two lines each is compared with the first. After the
+   links have been grouped, lines of one bucket that are still in different groups
+   are compared. So no pair that could join two groups is left out, and the pairs
+   of a large group of near copies are not listed.
 5. Of each group the first occurrence (by document id and line) stays.
 
+A SimHash of the whole line cut into blocks of its own bits was given up: a line of
+10 words with one replaced differs in some 9 of 64 bits, so blocks that still agree
+are short, and short blocks meet by chance with the square of the lines.
+
 Defined results: a null or empty text has no lines with a word and is unchanged
 (null stays null); lines without a word always stay; lines that normalise to
 nothing (marks only) count by their own text; documents without an id come after
@@ -31,25 +33,23 @@ gives an empty table; extra columns of any name pass through.
 
 from __future__ import annotations
 
-from itertools import combinations
-
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from salesloom.llm.columns import packed, settled, unpacked
 from salesloom.llm.groups import connected
-from salesloom.llm.sieve import sifted
+from salesloom.llm.sieve import marked, sifted
 from salesloom.session import stored
 
-LEAST_WORDS = 5
-FAR = 12  # bits; chance brings two other lines of a bucket closer in one case of some hundred
-BLOCKS = tuple((k, 8) for k in range(0, 64, 8))  # first bit and bits of each block
-FEW = 16  # lines of a bucket of which all pairs are listed
+PAIRS_FROM = 8  # words from which pairs of words are features
+RUNS_BELOW = 12  # words below which runs of characters are features
 GRAM = 3  # characters
+VOTES = 3  # features of a block
+# Places spread evenly over the 64-bit numbers (multiples of the golden ratio).
+PLACES = tuple((k * 0x9E3779B97F4A7C15 + (1 << 63)) % (1 << 64) - (1 << 63) for k in range(1, 13))
 SIMILARITY = 0.8
 MARKS = r"[^\p{L}\p{N}]+"
 HAS_WORD = r"[^\x20\x09-\x0D]"
-LANES = 32
 NARROW = 8  # part of the allowed edits that a pair is first compared within
 
 
@@ -73,80 +73,68 @@ def _keys() -> list[Column]:
     return [F.xxhash64("normal").alias("h1"), F.xxhash64(F.lit(1), "normal").alias("h2")]
 
 
-def _lanes() -> list[Column]:
-    """The votes of `hash` on 64 bits, two bits a sum."""
-    return [F.expr(f"sum((shiftrightunsigned(hash, {k}) & 1) + shiftleft(shiftrightunsigned(hash, {k + LANES}) & 1, {LANES})) as lane{k}") for k in range(LANES)]
-
-
-def _majority(votes: str) -> Column:
-    """The SimHash: the bits that more than half of the votes set."""
-    low = [f"shiftleft(if(2 * (lane{k} & {(1 << LANES) - 1}L) > {votes}, 1L, 0L), {k})" for k in range(LANES)]
-    high = [f"shiftleft(if(2 * shiftrightunsigned(lane{k}, {LANES}) > {votes}, 1L, 0L), {k + LANES})" for k in range(LANES)]
-    return F.expr(" | ".join(low + high))
+def _occurrences(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
+    """Every line with a word: id, body, place, h1, h2, normal."""
+    lines = _normalised(_lines(docs, doc_id, text).where(F.col("line").rlike(HAS_WORD)))
+    return settled(lines, "id", "body", "place", normal=F.col("normal")).select("id", "body", "place", *_keys(), "normal")
 
 
-def _occurrences(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
-    """Every line with its hashes and SimHash (null for few words): id, body, place, h1, h2, simhash."""
-    lines = _normalised(_lines(docs, doc_id, text).where(F.col("line").rlike(HAS_WORD))).withColumn("row", F.monotonically_increasing_id())
-    votes = lines.select("row", "id", "body", "place", *_keys(), F.explode_outer(F.array_distinct(F.split("normal", " "))).alias("word"))
-    votes = votes.withColumn("hash", F.xxhash64("word"))
-    once = [F.max(c).alias(c) for c in ("id", "body", "place", "h1", "h2")]
-    summed = votes.groupBy("row").agg(*once, F.count("*").alias("words"), *_lanes())
-    signature = F.when(F.col("words") >= LEAST_WORDS, _majority("words"))
-    return summed.select("id", "body", "place", "h1", "h2", signature.alias("simhash"))
-
-
-def _briefs(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
-    """The SimHash of distinct character runs, of each normalised line of few words: h1, h2, gramhash."""
-    lines = _normalised(_lines(docs, doc_id, text).where(F.col("line").rlike(HAS_WORD))).select("normal")
-    brief = lines.where(F.size(F.array_distinct(F.split("normal", " "))) < 2 * LEAST_WORDS).groupBy("normal").agg(F.count("*").alias("n"))
+def _signed(lines: DataFrame) -> DataFrame:
+    """Lines (h1, h2, n, normal) with their blocks and length: h1, h2, n, normal, size, blocks."""
+    words = F.split("normal", " ")
+    split = settled(lines, "h1", "h2", "n", "normal", words=words)
+    pairs = F.transform("words", lambda w, k: F.xxhash64(w, F.get("words", k + 1)))
     starts = F.sequence(F.lit(1), F.greatest(F.length("normal") - (GRAM - 1), F.lit(1)))
-    votes = brief.select(*_keys(), "normal", F.explode(starts).alias("start"))
-    votes = votes.select("h1", "h2", F.xxhash64(F.col("normal").substr(F.col("start"), F.lit(GRAM))).alias("hash")).distinct()
-    summed = votes.groupBy("h1", "h2").agg(F.count("*").alias("votes"), *_lanes())
-    return summed.select("h1", "h2", _majority("votes").alias("gramhash"))
-
-
-def _bucket_keys() -> Column:
-    """For each three blocks, their number and bits in one whole number, apart for words and characters."""
-    part = lambda b: F.shiftrightunsigned(F.col("simhash"), b[0]).bitwiseAND((1 << b[1]) - 1)
-    keys = []
-    for k, (x, y, z) in enumerate(combinations(BLOCKS, 3)):
-        bits = F.shiftleft(part(x), 16).bitwiseOR(F.shiftleft(part(y), 8)).bitwiseOR(part(z))
-        keys.append(bits.bitwiseOR(F.when(F.col("grams"), F.lit((k + 64) << 24)).otherwise(F.lit(k << 24))))
-    return F.array(*keys)
-
-
-def _candidates(lines: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Pairs (a, b) from the buckets, and the rows (key, line, simhash) of buckets with more than `FEW` lines."""
-    signed = [F.struct(F.lit(grams).alias("grams"), F.col(c).alias("simhash")) for grams, c in ((False, "simhash"), (True, "gramhash"))]
-    keyed = lines.select("line", F.inline(F.array(*signed))).where("simhash is not null")
-    keyed = keyed.select(F.explode(_bucket_keys()).alias("key"), "line", "simhash")
+    runs = F.transform(starts, lambda k: F.xxhash64(F.lit(1), F.col("normal").substr(k, F.lit(GRAM))))
+    n = F.size("words")
+    split = settled(
+        split, "h1", "h2", "n", "normal",
+        pairs=F.when(n >= PAIRS_FROM, F.array_distinct(pairs)),
+        runs=F.when(n < RUNS_BELOW, F.array_distinct(runs)),
+    )
+    none = F.array().cast("array<bigint>")
+    blocks = [F.when(F.col(c).isNotNull(), _blocks(c)).otherwise(none) for c in ("pairs", "runs")]
+    return settled(split, "h1", "h2", "n", "normal", size=F.length("normal"), blocks=F.array_distinct(F.concat(*blocks)))
+
+
+def _blocks(hashes: str) -> Column:
+    """For each place the SimHash of the nearest features; a block whose voters are fewer than `VOTES` repeats the first."""
+    places = F.array(*[F.lit(c) for c in PLACES])
+    near = F.transform(places, lambda c: F.slice(F.sort_array(F.transform(hashes, lambda h: h.bitwiseXOR(c))), 1, VOTES))
+    return F.transform(near, lambda s, k: _majority(s).bitwiseXOR(F.get(places, k)))
+
+
+def _majority(s: Column) -> Column:
+    """The bits that most of three votes have."""
+    a, b, c = F.get(s, F.lit(0)), F.coalesce(F.get(s, F.lit(1)), F.get(s, F.lit(0))), F.coalesce(F.get(s, F.lit(2)), F.get(s, F.lit(0)))
+    return a.bitwiseAND(b).bitwiseOR(a.bitwiseAND(c)).bitwiseOR(b.bitwiseAND(c))
+
+
+def _candidates(lines: DataFrame, similarity: float) -> tuple[DataFrame, DataFrame]:
+    """Pairs (a, b) from the buckets, and the rows (key, line, size) of buckets with more than two lines."""
+    keyed = lines.select(F.explode("blocks").alias("key"), "line", "size")
+    # Rows of their own are smaller than partial sums, as nearly all buckets have one line; a bucket's sum takes no memory.
     sizes = keyed.repartition("key").groupBy("key").agg(
-        F.count("*").alias("n"), F.min("line").alias("a"), F.max("line").alias("b"), F.bit_xor("simhash").alias("apart")
+        F.count("*").alias("n"), F.min("line").alias("a"), F.max("line").alias("b"), F.min("size").alias("low"), F.max("size").alias("high")
     )
-    sizes = stored(sizes.where(f"n > 2 or (n = 2 and bit_count(apart) <= {FAR})"), "line-buckets")
-    crowded = sizes.where("n > 2").select("key", "n")
+    sizes = stored(sizes.where((F.col("n") > 2) | ((F.col("n") == 2) & _as_long("low", "high", similarity))), "line-buckets")
+    crowded = sizes.where("n > 2").select("key", F.col("a").alias("first"))
     crowds = stored(sifted(keyed, crowded, "key").join(crowded, "key"), "line-crowds")
-    fewer = crowds.where(f"n <= {FEW}").select("key", F.col("line").alias("a"), "simhash")
-    others = fewer.select("key", F.col("a").alias("b"), F.col("simhash").alias("simhash_b"))
-    met = fewer.join(others, "key").where(F.expr("a < b") & _close("simhash", "simhash_b")).select("a", "b")
-    crowds = crowds.where(f"n > {FEW}").select("key", "line", "simhash")
-    ordered = Window.partitionBy("key").orderBy("simhash", "line")
-    beside = lambda f: crowds.select(f.alias("other"), "line", "simhash")
-    near = beside(F.lag(F.struct("line", "simhash")).over(ordered)).unionByName(beside(F.first(F.struct("line", "simhash")).over(ordered)))
-    near = near.where(F.col("other").isNotNull() & (F.col("other.line") != F.col("line")) & _close("other.simhash", "simhash"))
-    near = near.select(F.col("other.line").alias("a"), F.col("line").alias("b"))
-    pairs = sizes.where("n = 2").select("a", "b").unionByName(near).unionByName(met)
-    return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), crowds
+    near = crowds.where("line != first").select(F.col("first").alias("a"), F.col("line").alias("b"))
+    pairs = sizes.where("n = 2").select("a", "b").unionByName(near)
+    return pairs.distinct(), crowds.select("key", "line", "size")
 
 
-def _close(a: str, b: str) -> Column:
-    return F.bit_count(F.col(a).bitwiseXOR(F.col(b))) <= FAR
+def _as_long(a: str, b: str, similarity: float) -> Column:
+    """Whether two lengths allow the similarity."""
+    most = F.floor((1 - similarity) * F.greatest(a, b) + 1e-9).cast("int")
+    return F.abs(F.col(a) - F.col(b)) <= most
 
 
 def _linked(pairs: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
     """The pairs whose normalised lines are similar enough."""
+    ends = pairs.select(F.col("a").alias("line")).unionByName(pairs.select(F.col("b").alias("line")))
+    texts = sifted(texts.select("line", "normal"), ends, "line")
     of = lambda name: texts.select(F.col("line").alias(name), F.col("normal").alias(f"text_{name}"))
     met = pairs.join(of("a"), "a").join(of("b"), "b")
     longest = F.greatest(F.length("text_a"), F.length("text_b"))
@@ -157,62 +145,48 @@ def _linked(pairs: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
     return met.where(narrow | (F.expr("levenshtein(text_a, text_b, most)") >= 0)).select("a", "b")
 
 
-def _texts(docs: DataFrame, wanted: DataFrame, doc_id: str, text: str) -> DataFrame:
-    """The normalised text of wanted lines (line, h1, h2, spot): line, normal.
-
-    Of the corpus only lines at the wanted spots are normalised and shuffled, and
-    the few others whose hash sets the same bit, which the join by hashes drops.
-    """
-    rows = _lines(docs, doc_id, text).withColumn("spot", _spot())
-    near = _normalised(sifted(rows, wanted, "spot")).select("normal", *_keys())
-    once = near.groupBy("h1", "h2").agg(F.first("normal").alias("normal"))
-    return once.join(wanted, ["h1", "h2"]).select("line", "normal")
-
-
-def _spot() -> Column:
-    """A hash that stands for a line's document and place."""
-    return F.xxhash64("id", "body", "place")
-
-
 def line_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", similarity: float = SIMILARITY) -> DataFrame:
     """Every line with a word: id, body, place, h1, h2, group, kept."""
-    found = stored(_occurrences(docs, doc_id, text), "line-occurrences")
-    lines = found.groupBy("h1", "h2").agg(F.max("simhash").alias("simhash"), F.count("*").alias("n"), F.min(_spot()).alias("spot"))
-    lines = lines.join(_briefs(docs, doc_id, text), ["h1", "h2"], "left")
-    lines = stored(lines.withColumn("line", F.monotonically_increasing_id()), "lines")
-    pairs, crowds = _candidates(lines)
+    found = _occurrences(docs, doc_id, text)
+    once = found.groupBy("h1", "h2").agg(F.count("*").alias("n"), F.first("normal").alias("normal"))
+    lines = stored(_signed(once).withColumn("line", F.monotonically_increasing_id()), "lines")
+    pairs, crowds = _candidates(lines, similarity)
     pairs = stored(pairs, "line-pairs")
-    ends = pairs.select(F.col("a").alias("line")).unionByName(pairs.select(F.col("b").alias("line")))
-    wanted = ends.unionByName(crowds.select("line")).distinct().join(lines, "line").select("line", "h1", "h2", "spot")
-    wanted = stored(wanted, "line-wanted")
-    texts = stored(_texts(docs, wanted, doc_id, text), "line-texts")
-    links = stored(_linked(pairs, texts, similarity), "line-links")
+    links = stored(_linked(pairs, lines, similarity), "line-links")
     groups = connected(links, "line-groups")
-    links = links.unionByName(_linked(_apart(crowds, groups, pairs), texts, similarity))
+    links = links.unionByName(_linked(_apart(crowds, groups, pairs, similarity), lines, similarity))
     groups = connected(links, "line-groups")
-    named = lines.join(groups, lines["line"] == groups["node"], "left").where("n > 1 or component is not null")
-    named = named.select("h1", "h2", F.coalesce("component", "line").alias("group"))
-    return _decided(found, named)
+    named = lines.select("line", "h1", "h2", "n").join(groups, F.col("line") == F.col("node"), "left").where("n > 1 or component is not null")
+    named = stored(named.select("h1", "h2", F.coalesce("component", "line").alias("group")), "line-names")
+    return _decided(stored(found.drop("normal"), "line-occurrences"), named)
 
 
-def _apart(crowds: DataFrame, groups: DataFrame, known: DataFrame) -> DataFrame:
+def _apart(crowds: DataFrame, groups: DataFrame, known: DataFrame, similarity: float) -> DataFrame:
     """Pairs of one bucket that no chain of links joins yet and that were not compared."""
-    grouped = crowds.join(groups, crowds["line"] == groups["node"], "left").select("key", "line", "simhash", F.coalesce("component", "line").alias("group"))
+    grouped = crowds.join(groups, crowds["line"] == groups["node"], "left").select("key", "line", "size", F.coalesce("component", "line").alias("group"))
     several = grouped.groupBy("key").agg(F.min("group").alias("low"), F.max("group").alias("high")).where("low != high").select("key")
     left = stored(grouped.join(several, "key", "left_semi"), "line-rest")
-    right = left.select("key", F.col("line").alias("b"), F.col("group").alias("group_b"), F.col("simhash").alias("simhash_b"))
-    met = left.withColumnRenamed("line", "a").join(right, "key").where(F.expr("a < b and group != group_b") & _close("simhash", "simhash_b"))
-    return met.select("a", "b").distinct().join(known, ["a", "b"], "left_anti")
+    right = left.select("key", F.col("line").alias("b"), F.col("group").alias("group_b"), F.col("size").alias("size_b"))
+    met = left.withColumnRenamed("line", "a").join(right, "key").where(F.expr("a < b and group != group_b") & _as_long("size", "size_b", similarity))
+    return stored(met.select("a", "b").distinct().join(known, ["a", "b"], "left_anti"), "line-pairs")
 
 
 def _decided(found: DataFrame, named: DataFrame) -> DataFrame:
-    """Each line's group, and whether it is the group's first occurrence."""
-    rows = found.join(named, ["h1", "h2"], "left")
+    """Each line's group (null for a line alone), and whether it is the group's first occurrence.
+
+    Lines that no group can have stay where they are. The first occurrence is
+    found per distinct line before lines of a group meet.
+    """
+    asked = marked(found, named, "h1", "asked")
     order = F.struct(F.col("id").isNull().alias("late"), "id", "place", "body")
-    firsts = rows.where("group is not null").groupBy("group").agg(F.min(order).alias("first"))
+    rows = stored(asked.where("asked").join(named, ["h1", "h2"], "left"), "line-rows")
+    firsts = rows.where("group is not null").groupBy("h1", "h2", "group").agg(F.min(order).alias("first"))
+    firsts = firsts.groupBy("group").agg(F.min("first").alias("first"))
     rows = rows.join(firsts, "group", "left")
-    same = order.eqNullSafe(F.col("first"))
-    return rows.select("id", "body", "place", "h1", "h2", "group", (F.col("group").isNull() | same).alias("kept"))
+    kept = F.col("group").isNull() | order.eqNullSafe(F.col("first"))
+    rows = rows.select("id", "body", "place", "h1", "h2", "group", kept.alias("kept"))
+    alone = asked.where("not asked").select("id", "body", "place", "h1", "h2", F.lit(None).cast("long").alias("group"), F.lit(True).alias("kept"))
+    return rows.unionByName(alone)
 
 
 def removed_lines(groups: DataFrame) -> DataFrame:
