@@ -5,10 +5,11 @@ Steps, all DataFrame and SQL functions:
 1. Lines with a word are normalised (case, marks and white space go). Equal
    normalised lines are one line from here on, by two 64-bit hashes.
 2. A line's features are its pairs of neighbouring words; lines of few words, also
-   those in scripts without spaces, have runs of `GRAM` characters, and lines in
-   between have both. A feature's 64-bit hash is its place among the features.
+   those in scripts without spaces, have runs of `GRAM` characters (`WIDE` where a
+   character has three bytes), and lines in between have both. The 64-bit hashes of
+   the features, sorted, form a ring.
 3. The signature has `len(PLACES)` blocks. Block k is the SimHash of the `VOTES`
-   features nearest to place k: 64 bits, each as most of these features have it. A
+   features that follow place k on the ring: 64 bits, set where most of these have it. A
    changed word touches two features, so only the blocks that these vote in; the
    others agree in all bits (pigeonhole over the edited words, at any length of the
    line). Lines that agree in a block are candidates. They are linked where the
@@ -43,10 +44,10 @@ from salesloom.session import stored
 
 PAIRS_FROM = 8  # words from which pairs of words are features
 RUNS_BELOW = 12  # words below which runs of characters are features
-GRAM = 3  # characters
-VOTES = 3  # features of a block
-# Places spread evenly over the 64-bit numbers (multiples of the golden ratio).
-PLACES = tuple((k * 0x9E3779B97F4A7C15 + (1 << 63)) % (1 << 64) - (1 << 63) for k in range(1, 13))
+GRAM, WIDE = 4, 2  # characters of a run; in scripts of three bytes a character
+VOTES = 4  # features of a block
+# Places spread evenly over the 64-bit numbers (multiples of the golden ratio), in order.
+PLACES = tuple(sorted((k * 0x9E3779B97F4A7C15 + (1 << 63)) % (1 << 64) - (1 << 63) for k in range(1, 13)))
 SIMILARITY = 0.8
 MARKS = r"[^\p{L}\p{N}]+"
 HAS_WORD = r"[^\x20\x09-\x0D]"
@@ -84,30 +85,37 @@ def _signed(lines: DataFrame) -> DataFrame:
     words = F.split("normal", " ")
     split = settled(lines, "h1", "h2", "n", "normal", words=words)
     pairs = F.transform("words", lambda w, k: F.xxhash64(w, F.get("words", k + 1)))
-    starts = F.sequence(F.lit(1), F.greatest(F.length("normal") - (GRAM - 1), F.lit(1)))
-    runs = F.transform(starts, lambda k: F.xxhash64(F.lit(1), F.col("normal").substr(k, F.lit(GRAM))))
+    long = F.when(F.octet_length("normal") >= 2.5 * F.length("normal"), WIDE).otherwise(GRAM)
+    starts = F.sequence(F.lit(1), F.greatest(F.length("normal") - (F.col("long") - 1), F.lit(1)))
+    runs = F.transform(starts, lambda k: F.xxhash64(F.lit(1), F.col("normal").substr(k, F.col("long"))))
     n = F.size("words")
-    split = settled(
-        split, "h1", "h2", "n", "normal",
-        pairs=F.when(n >= PAIRS_FROM, F.array_distinct(pairs)),
-        runs=F.when(n < RUNS_BELOW, F.array_distinct(runs)),
-    )
+    split = settled(split.withColumn("long", long), "h1", "h2", "n", "normal", pairs=F.when(n >= PAIRS_FROM, pairs), runs=F.when(n < RUNS_BELOW, runs))
     none = F.array().cast("array<bigint>")
-    blocks = [F.when(F.col(c).isNotNull(), _blocks(c)).otherwise(none) for c in ("pairs", "runs")]
-    return settled(split, "h1", "h2", "n", "normal", size=F.length("normal"), blocks=F.array_distinct(F.concat(*blocks)))
+    for c in ("pairs", "runs"):
+        ring = F.sort_array(F.array_distinct(c))
+        columns = [x for x in split.columns if x != c]
+        split = settled(split, *columns, ring=ring, all=F.sort_array(F.concat(ring, _places())))
+        split = settled(split, *columns, **{c: F.when(F.col("ring").isNotNull(), _blocks("ring", "all")).otherwise(none)})
+    return settled(split, "h1", "h2", "n", "normal", size=F.length("normal"), blocks=F.array_distinct(F.concat("pairs", "runs")))
 
 
-def _blocks(hashes: str) -> Column:
-    """For each place the SimHash of the nearest features; a block whose voters are fewer than `VOTES` repeats the first."""
-    places = F.array(*[F.lit(c) for c in PLACES])
-    near = F.transform(places, lambda c: F.slice(F.sort_array(F.transform(hashes, lambda h: h.bitwiseXOR(c))), 1, VOTES))
-    return F.transform(near, lambda s, k: _majority(s).bitwiseXOR(F.get(places, k)))
+def _places() -> Column:
+    return F.array(*[F.lit(c) for c in PLACES])
 
 
-def _majority(s: Column) -> Column:
-    """The bits that most of three votes have."""
-    a, b, c = F.get(s, F.lit(0)), F.coalesce(F.get(s, F.lit(1)), F.get(s, F.lit(0))), F.coalesce(F.get(s, F.lit(2)), F.get(s, F.lit(0)))
-    return a.bitwiseAND(b).bitwiseOR(a.bitwiseAND(c)).bitwiseOR(b.bitwiseAND(c))
+def _blocks(ring: str, among: str) -> Column:
+    """For each place the SimHash of the next features of the sorted `ring`, which starts again after its end.
+
+    `among` holds ring and places, sorted: a place's position there, less that among the places, is one in the ring.
+    """
+    firsts = F.transform(_places(), lambda c, k: F.array_position(among, c).cast("int") - k - 1)
+    vote = lambda p, k: F.get(ring, F.pmod(p + k, F.size(ring)))
+    return F.transform(firsts, lambda p: _majority(*[vote(p, k) for k in range(VOTES)]))
+
+
+def _majority(a: Column, b: Column, c: Column, d: Column) -> Column:
+    """The bits that more than half of four votes have."""
+    return a.bitwiseAND(b).bitwiseAND(c.bitwiseOR(d)).bitwiseOR(c.bitwiseAND(d).bitwiseAND(a.bitwiseOR(b)))
 
 
 def _candidates(lines: DataFrame, similarity: float) -> tuple[DataFrame, DataFrame]:
@@ -196,10 +204,14 @@ def removed_lines(groups: DataFrame) -> DataFrame:
 
 def dedup_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", similarity: float = SIMILARITY, out: str = "n_removed_lines") -> DataFrame:
     """The documents without the lines that occur before; `out` counts what went."""
-    removed = removed_lines(line_groups(docs, doc_id, text, similarity))
-    rows = packed(docs, id=doc_id, body=F.xxhash64(text), text=text)
-    met = rows.join(removed, rows["id"].eqNullSafe(removed["id"]) & (rows["body"] == removed["body"]), "left")
-    met = met.select("row", "text", "removed")
+    removed = removed_lines(line_groups(docs, doc_id, text, similarity)).withColumn("spot", F.xxhash64("id", "body"))
+    removed = stored(removed, "line-removed")
+    rows = packed(docs, id=doc_id, body=F.xxhash64(text), text=text).withColumn("spot", F.xxhash64("id", "body"))
+    # Only documents that may lose a line are shuffled to meet what they lose.
+    rows = marked(rows, removed, "spot", "asked")
+    met = rows.where("asked").select("row", "id", "body").join(removed, rows["id"].eqNullSafe(removed["id"]) & (rows["body"] == removed["body"]), "left")
+    none = F.lit(None).cast("array<int>").alias("removed")
+    met = met.select("row", "removed").unionByName(rows.where("not asked").select("row", none)).withColumn("text", F.col("row").getField(text))
     lines = F.split("text", "\n")
     places = F.array_except(F.sequence(F.lit(0), F.size("lines") - 1), "removed")
     met = met.withColumn("lines", lines).withColumn("left", places)
