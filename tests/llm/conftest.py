@@ -6,8 +6,8 @@ import pytest
 
 LONG = " ".join(f"word{k % 977} and{k}" for k in range(12_000))
 PASSAGE = " ".join(f"passage{k}" for k in range(60))
-# Lines that are not alike: six words of six letters each, all different.
-BASE = [" ".join(hashlib.md5(f"{k} {j}".encode()).hexdigest()[:6] for j in range(6)) for k in range(40)]
+# Lines with stop words that are not alike otherwise.
+BASE = ["the {} of {} and {}".format(*[hashlib.md5(f"{k} {j}".encode()).hexdigest()[:6] for j in range(3)]) for k in range(40)]
 TEXTS = [
     (1, None),
     (2, ""),
