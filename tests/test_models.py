@@ -6,6 +6,7 @@ import pytest
 from pyspark.ml.linalg import Vectors
 from pyspark.sql import functions as F
 
+from salesloom import oracle
 from salesloom.operators import evaluation, features, scoring, training
 from salesloom.sources.export import export_csv, write_star
 from salesloom.sources.star import load_star, table_options
@@ -324,3 +325,13 @@ def test_stored_star(spark, star, tmp_path, kind):
     again = load_star(spark, path, kind)
     for name in ("kpi", "weekly_trend", "orders_by_shipmode", "region_stats", "segment_stats"):
         assert getattr(rollups, name)(again).collect() == getattr(rollups, name)(star).collect(), name
+
+
+def test_classification_checks_at_even_odds(spark):
+    shares = [(0.0, 0.51, 0.49), (0.0, 0.501, 0.499), (0.0, 0.5004, 0.4996), (1.0, 0.5, 0.5), (1.0, 0.499, 0.501), (1.0, 0.2, 0.8)]
+    frame = spark.createDataFrame([(p, [a, b]) for p, a, b in shares], "prediction double, probabilities array<double>")
+    scored = frame.select(scoring.decode_profit("prediction", "probabilities").alias("classification"))
+    assert {r["check"]: r.line_count for r in scoring.score_checks(scored).collect()} == dict.fromkeys(oracle.CHECKS["score_classify_checks"], 6)
+    wrong = scored.withColumn("classification", F.col("classification").withField("is_profit", ~F.col("classification.is_profit")))
+    counts = {r["check"]: r.line_count for r in scoring.score_checks(wrong).collect()}
+    assert counts["class is the likelier"] == 4 and counts["class named"] == 0
