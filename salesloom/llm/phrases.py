@@ -3,7 +3,9 @@
 A text is cut into pieces and words in the bytes of its UTF-8 form. One prefix
 polynomial over those bytes, computed by numpy for some megabytes of texts at a
 time, gives the fingerprint of any sequence of words by a subtraction and a
-product. Fingerprints are counted level by level: a sequence of k words can occur
+product. A language enters as a digest of its name, and a word longer than FAR bytes by one
+of its own: patterns that cancel out modulo 2^64 for every base (Thue-Morse) need 1024 bytes.
+Fingerprints are counted level by level: a sequence of k words can occur
 often only if both of its parts of k - 1 words do, so the words are counted
 first and each next level fingerprints only what may still be frequent. A task
 adds up what it sees before the shuffle, so a very common phrase is one entry a task.
@@ -39,6 +41,7 @@ from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import reduce
+from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
@@ -55,6 +58,7 @@ COVERED = 80  # percent: a longer phrase this frequent stands for those inside i
 BITS = 26  # of a filter of fingerprints: 8 MB
 CHUNK = 2_000_000  # bytes of text fingerprinted in one go
 HELD = 4_000_000  # fingerprints a task adds up before it hands them on
+FAR = 64  # bytes of a word from which its digest counts as well
 RANGES = 16  # of fingerprints, per split of the input
 BUCKETS = 1 << 12  # of documents, for pointers
 SHARDS = 64  # parts of a language ranked on their own first
@@ -78,6 +82,8 @@ class Sequences:
     place: np.ndarray  # byte of the text where the word begins
     bucket: np.ndarray  # of documents, by text
     salt: np.ndarray  # of the language, by word
+    far: np.ndarray  # words longer than FAR
+    digests: np.ndarray  # of those, one column per polynomial
     prefix: np.ndarray  # polynomial over packed, before each byte
     width: int = 64  # bits of a fingerprint
     second: np.ndarray | None = None
@@ -95,10 +101,10 @@ class Sequences:
     def checks(self, words: int, at: np.ndarray) -> np.ndarray:
         """By a second polynomial over bytes and the language, of the sequences that begin at some words."""
         if self.second is None:
-            self.second = _prefix(self.packed, _SECOND)
+            self.second = _prefix(self.packed, _SECOND, self.start[self.far], self.digests[:, 1])
         inverse = _powers(_SECOND, len(self.packed) + 1)[1]
         first = self.start[at]
-        return _mixed((self.second[self.end[at + words - 1]] - self.second[first]) * inverse[first] ^ self.salt[at])
+        return _mixed((self.second[self.end[at + words - 1]] - self.second[first]) * inverse[first] ^ _mixed(self.salt[at]))
 
     def whole(self, words: int) -> np.ndarray:
         """Whether the sequence of so many words from each word lies in one piece."""
@@ -125,14 +131,27 @@ def sequences(texts: list[bytes], salts: np.ndarray, width: int = 64) -> Sequenc
     text = np.searchsorted(bounds, begin, side="right")
     opened = np.concatenate([[0], bounds[:-1]])
     bucket = np.array([zlib.crc32(t) % BUCKETS for t in texts], np.int64)
-    return Sequences(packed, start, end, np.cumsum(cut)[begin], text, begin - opened[text], bucket, salts[text], _prefix(packed, _BASE), width)
+    far = np.flatnonzero(size - 1 > FAR)
+    digests = np.array([_digest(packed[start[k] : end[k]].tobytes()) for k in far], np.uint64).reshape(-1, 2)
+    prefix = _prefix(packed, _BASE, start[far], digests[:, 0])
+    return Sequences(packed, start, end, np.cumsum(cut)[begin], text, begin - opened[text], bucket, salts[text], far, digests, prefix, width)
 
 
-def _prefix(data: np.ndarray, base: int) -> np.ndarray:
+def _prefix(data: np.ndarray, base: int, at: np.ndarray, added: np.ndarray) -> np.ndarray:
+    """The polynomial over bytes before each byte; where a word begins that is longer than FAR, its digest is added."""
     out = np.empty(len(data) + 1, np.uint64)
     out[0] = 0
-    np.cumsum((data.astype(np.uint64) + np.uint64(1)) * _powers(base, len(data))[0], out=out[1:])
-    return out
+    out[1:] = data
+    out[1:] += np.uint64(1)
+    out[1 + at] += added
+    out[1:] *= _powers(base, len(data))[0]
+    return np.cumsum(out, out=out)
+
+
+def _digest(data: bytes) -> tuple[int, int]:
+    """Two numbers of 64 bits."""
+    found = blake2b(data, digest_size=16).digest()
+    return int.from_bytes(found[:8]), int.from_bytes(found[8:])
 
 
 def _powers(base: int, size: int) -> tuple[np.ndarray, np.ndarray]:
@@ -157,11 +176,8 @@ def _mixed(x: np.ndarray) -> np.ndarray:
 
 
 def _salt(lang: str) -> int:
-    """A number of the language: the polynomial of its name, from the other end."""
-    value = 1
-    for b in lang.encode():
-        value = (value * _BASE + b + 1) % (1 << 64)
-    return value
+    """A number of the language, in which similar names have no bits in common with those of similar words."""
+    return _digest(lang.encode())[0]
 
 
 class Filter:
@@ -297,7 +313,7 @@ def _texts(docs: DataFrame, longest: int, often: list, pointed, width: int) -> D
                     rows.append((langs[text], words, key, phrase, code, None, ids[text], int(found.place[k])))
             if rows:
                 yield _batch(rows, kind)
-        if totals:
+        if any(totals.values()):
             yield _batch([(lang, 0, 0, "", 0, n, None, 0) for lang, n in totals.items() if n], kind)
 
     return docs.mapInArrow(run, schema)
@@ -334,7 +350,7 @@ def _strays(docs: DataFrame, longest: int, often: list, verified, width: int) ->
 
 def _batch(rows: list[tuple], kind: T.DataType) -> pa.RecordBatch:
     types = [pa.string(), pa.int32(), pa.int64(), pa.string(), pa.int64(), pa.int64(), to_arrow_type(kind), pa.int64()]
-    columns = [pa.array(c, t) for c, t in zip(zip(*rows), types)]
+    columns = [pa.array([row[k] for row in rows], t) for k, t in enumerate(types)]
     return pa.record_batch(columns, ["lang", "words", "key", "phrase", "code", "a", "id", "place"])
 
 

@@ -107,3 +107,34 @@ def test_empty_table_and_other_columns(spark, docs, none):
     assert phrases.collocations(none.toDF(*renamed)).collect() == []
     table = docs.toDF(*renamed)
     assert got(phrases.collocations(table, least=2)) == expected([(r.text, r.lang) for r in table.collect()], 4, 2, 80, 2000)
+
+
+def test_languages_of_similar_names_are_counted_apart(spark):
+    # "b" of one language and "z" of another had one fingerprint by both polynomials
+    rows = [("b x b y b", "a"), ("z x z y z", "b"), ("c at c at", "en"), ("d at d at", "en"), ("x at x at", "es")]
+    rows = [(" ".join([t] * 9), lang) for t, lang in rows]
+    frame = spark.createDataFrame([(k, *r) for k, r in enumerate(rows)], "doc_id long, text string, lang string")
+    assert got(phrases.collocations(frame, least=2, covered=101)) == expected(rows, 4, 2, 101, 2000)
+    langs = ["a", "b", "en", "es", "de", "da", "und", ""]
+    words = [bytes([c, *end]) for end in (b"", b"at", b" house") for c in range(97, 123)]
+    seen = set()
+    for lang in langs:
+        for w in words:
+            one = phrases.sequences([w], np.array([phrases._salt(lang)], np.uint64))
+            seen.add(int(one.fingerprints(1 + w.count(b" "))[0]))
+    assert len(seen) == len(langs) * len(words)
+
+
+def test_long_words_whose_polynomials_are_equal(spark):
+    one = "a"
+    while len(one) < 2048:  # Thue-Morse
+        one += one.translate(str.maketrans("ab", "ba"))
+    other = one.translate(str.maketrans("ab", "ba"))
+    rows = [(f"{one} x {other} y", "en")] * 3 + [(f"{other} x", "en")] * 2
+    frame = spark.createDataFrame([(k, *r) for k, r in enumerate(rows)], "doc_id long, text string, lang string")
+    assert got(phrases.collocations(frame, least=2, covered=101)) == expected(rows, 4, 2, 101, 2000)
+
+
+def test_texts_without_any_word(spark):
+    frame = spark.createDataFrame([(1, None, "en"), (2, " \t.", "fr"), (3, "", None)], "doc_id long, text string, lang string")
+    assert phrases.collocations(frame.coalesce(1), least=2).collect() == []
