@@ -56,8 +56,8 @@ LONGEST = 4  # words of a phrase
 LEAST = 30  # occurrences of a phrase
 COVERED = 80  # percent: a longer phrase this frequent stands for those inside it
 BITS = 26  # of a filter of fingerprints: 8 MB
-CHUNK = 2_000_000  # bytes of text fingerprinted in one go
-HELD = 4_000_000  # fingerprints a task adds up before it hands them on
+CHUNK = 500_000  # bytes of text fingerprinted in one go
+HELD = 1_000_000  # fingerprints a task adds up before it hands them on
 FAR = 64  # bytes of a word from which its digest counts as well
 RANGES = 16  # of fingerprints, per split of the input
 BUCKETS = 1 << 12  # of documents, for pointers

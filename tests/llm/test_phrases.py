@@ -138,3 +138,12 @@ def test_long_words_whose_polynomials_are_equal(spark):
 def test_texts_without_any_word(spark):
     frame = spark.createDataFrame([(1, None, "en"), (2, " \t.", "fr"), (3, "", None)], "doc_id long, text string, lang string")
     assert phrases.collocations(frame.coalesce(1), least=2).collect() == []
+
+
+def test_a_task_hands_on_small_batches(spark, rows, monkeypatch):
+    # Two tasks and the heap of an executor of 3000 MB leave some 500 MB to a Python worker
+    assert phrases.HELD * 24 <= 32 << 20 and phrases.CHUNK * 2 * 4 * 8 <= 64 << 20
+    monkeypatch.setattr(phrases, "HELD", 50)
+    monkeypatch.setattr(phrases, "CHUNK", 100)
+    frame = spark.createDataFrame([(k, *r) for k, r in enumerate(rows)], "doc_id long, text string, lang string")
+    assert got(phrases.collocations(frame.coalesce(1), least=3)) == expected(rows, 4, 3, 80, 2000)
