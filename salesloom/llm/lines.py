@@ -34,6 +34,8 @@ gives an empty table; extra columns of any name pass through.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -51,7 +53,8 @@ PLACES = tuple(sorted((k * 0x9E3779B97F4A7C15 + (1 << 63)) % (1 << 64) - (1 << 6
 SIMILARITY = 0.8
 MARKS = r"[^\p{L}\p{N}]+"
 HAS_WORD = r"[^\x20\x09-\x0D]"
-NARROW = 8  # part of the allowed edits that a pair is first compared within
+BANDS = (6, 2, 1)  # parts of the allowed edits that a pair is compared within, one after the other
+ENDS = tuple(1 << k for k in range(13, -1, -1))  # characters by which common ends are found; their sum is the longest
 
 
 def _normalised(rows: DataFrame) -> DataFrame:
@@ -147,10 +150,26 @@ def _linked(pairs: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
     met = pairs.join(of("a"), "a").join(of("b"), "b")
     longest = F.greatest(F.length("text_a"), F.length("text_b"))
     most = F.floor((1 - similarity) * longest + 1e-9).cast("int")
-    met = met.where(F.abs(F.length("text_a") - F.length("text_b")) <= most).withColumn("most", most)
+    met = _stripped(met.where(F.abs(F.length("text_a") - F.length("text_b")) <= most).withColumn("most", most))
     # Near copies are told by a narrow band of the table; only the others need the whole band.
-    narrow = F.expr(f"levenshtein(text_a, text_b, most div {NARROW})") >= 0
-    return met.where(narrow | (F.expr("levenshtein(text_a, text_b, most)") >= 0)).select("a", "b")
+    within = [F.expr(f"levenshtein(text_a, text_b, most div {part})") >= 0 for part in BANDS]
+    return met.where(reduce(Column.__or__, within)).select("a", "b")
+
+
+def _stripped(met: DataFrame) -> DataFrame:
+    """Pairs (a, b, most) with their texts without the beginning and end that they share, which leaves the distance as it is."""
+    texts = ("text_a", "text_b")
+    for _ in range(2):
+        met = settled(met, "a", "b", "most", *texts, shared=_shared(*[F.col(c) for c in texts]))
+        met = settled(met, "a", "b", "most", **{c: F.reverse(F.col(c).substr(F.col("shared") + 1, F.length(c))) for c in texts})
+    return met
+
+
+def _shared(x: Column, y: Column) -> Column:
+    """How many characters two texts begin with in common, at most the sum of ENDS."""
+    more = lambda n, k: x.substr(n + 1, k) == y.substr(n + 1, k)
+    steps = F.array(*[F.lit(k) for k in ENDS])
+    return F.aggregate(steps, F.lit(0), lambda n, k: F.when(more(n, k), F.least(n + k, F.length(x), F.length(y))).otherwise(n))
 
 
 def line_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", similarity: float = SIMILARITY) -> DataFrame:

@@ -172,6 +172,27 @@ def test_crowded_buckets_lose_no_link(spark):
     assert got == {k: root(k) == k for k in range(60)} and 1 < sum(got.values()) < 60
 
 
+def test_shared_ends_do_not_change_the_distance(spark):
+    pick = np.random.default_rng(11)
+    word = lambda n: "".join(pick.choice(list("abé日🙂"), n))
+    said = [("", ""), ("a", ""), ("aaa", "aa"), ("abab", "ab"), ("é日", "é日"), ("x" * 20_000 + "y", "x" * 20_000 + "z")]
+    for _ in range(150):
+        start, end = word(pick.integers(0, 40)), word(pick.integers(0, 40))
+        said.append((start + word(pick.integers(0, 6)) + end, start + word(pick.integers(0, 6)) + end))
+    met = spark.createDataFrame([(k, -1, 1, x, y) for k, (x, y) in enumerate(said)], "a long, b long, most int, text_a string, text_b string")
+    got = {r.a: r for r in lines._stripped(met).collect()}
+    for k, (x, y) in enumerate(said):
+        left, right = got[k].text_a, got[k].text_b
+        assert left[:1] != right[:1] and left[-1:] != right[-1:] or not (left and right) or len(x) > sum(lines.ENDS)
+        if len(x) < 200:
+            assert distance(left, right) == distance(x, y)
+    assert got[5].text_a == "x" * (20_000 - sum(lines.ENDS)) + "y"
+    texts = spark.createDataFrame([(2 * k + j, t) for k, pair in enumerate(said[6:]) for j, t in enumerate(pair)], "line long, normal string")
+    pairs = spark.createDataFrame([(2 * k, 2 * k + 1) for k in range(150)], "a long, b long")
+    want = {2 * k for k, (x, y) in enumerate(said[6:]) if distance(x, y) <= int(0.2 * max(len(x), len(y)) + 1e-9)}
+    assert {r.a for r in lines._linked(pairs, texts, 0.8).collect()} == want and 0 < len(want) < 150
+
+
 def test_recall_of_fuzzy_lines(spark):
     """Lines with one word or character changed, told by edit similarity alone; also short and unspaced lines."""
     pick = np.random.default_rng(3)
