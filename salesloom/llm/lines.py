@@ -83,15 +83,30 @@ def _occurrences(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
     return settled(lines, "id", "body", "place", normal=F.col("normal")).select("id", "body", "place", *_keys(), "normal")
 
 
+def _distinct(found: DataFrame, places: DataFrame) -> DataFrame:
+    """Every normalised line once, signed and numbered: h1, h2, n, normal, size, blocks, line.
+
+    Most lines occur once and are signed where they are read; only the text of those that may
+    occur again is shuffled. `places` are the same occurrences, written without their text.
+    """
+    again = places.groupBy("h1").count().where("count > 1")
+    asked = marked(found.select("h1", "h2", "normal"), again, "h1", "asked")
+    rows = _signed(asked.select("h1", "h2", F.when(F.col("asked"), None).otherwise(1).cast("long").alias("n"), "normal"))
+    rows = stored(rows.withColumn("line", F.monotonically_increasing_id()), "lines")
+    often = rows.where("n is null").groupBy("h1", "h2").agg(F.count("*").alias("n"), F.first("normal").alias("normal"))
+    often = stored(_signed(often).withColumn("line", -1 - F.monotonically_increasing_id()), "lines-again")
+    return rows.where("n is not null").unionByName(often)
+
+
 def _signed(lines: DataFrame) -> DataFrame:
-    """Lines (h1, h2, n, normal) with their blocks and length: h1, h2, n, normal, size, blocks."""
+    """Lines (h1, h2, n, normal) with their blocks and length: h1, h2, n, normal, size, blocks; without blocks where n is null."""
     words = F.split("normal", " ")
     split = settled(lines, "h1", "h2", "n", "normal", words=words)
     pairs = F.transform("words", lambda w, k: F.xxhash64(w, F.get("words", k + 1)))
     long = F.when(F.octet_length("normal") >= 2.5 * F.length("normal"), WIDE).otherwise(GRAM)
     starts = F.sequence(F.lit(1), F.greatest(F.length("normal") - (F.col("long") - 1), F.lit(1)))
     runs = F.transform(starts, lambda k: F.xxhash64(F.lit(1), F.col("normal").substr(k, F.col("long"))))
-    n = F.size("words")
+    n = F.when(F.col("n").isNotNull(), F.size("words"))
     split = settled(split.withColumn("long", long), "h1", "h2", "n", "normal", pairs=F.when(n >= PAIRS_FROM, pairs), runs=F.when(n < RUNS_BELOW, runs))
     none = F.array().cast("array<bigint>")
     for c in ("pairs", "runs"):
@@ -175,8 +190,8 @@ def _shared(x: Column, y: Column) -> Column:
 def line_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", similarity: float = SIMILARITY) -> DataFrame:
     """Every line with a word: id, body, place, h1, h2, group, kept."""
     found = _occurrences(docs, doc_id, text)
-    once = found.groupBy("h1", "h2").agg(F.count("*").alias("n"), F.first("normal").alias("normal"))
-    lines = stored(_signed(once).withColumn("line", F.monotonically_increasing_id()), "lines")
+    places = stored(found.drop("normal"), "line-occurrences")
+    lines = _distinct(found, places)
     pairs, crowds = _candidates(lines, similarity)
     pairs = stored(pairs, "line-pairs")
     links = stored(_linked(pairs, lines, similarity), "line-links")
@@ -185,7 +200,7 @@ def line_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", sim
     groups = connected(links, "line-groups")
     named = lines.select("line", "h1", "h2", "n").join(groups, F.col("line") == F.col("node"), "left").where("n > 1 or component is not null")
     named = stored(named.select("h1", "h2", F.coalesce("component", "line").alias("group")), "line-names")
-    return _decided(stored(found.drop("normal"), "line-occurrences"), named)
+    return _decided(places, named)
 
 
 def _apart(crowds: DataFrame, groups: DataFrame, known: DataFrame, similarity: float) -> DataFrame:

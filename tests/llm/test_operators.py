@@ -172,6 +172,21 @@ def test_crowded_buckets_lose_no_link(spark):
     assert got == {k: root(k) == k for k in range(60)} and 1 < sum(got.values()) < 60
 
 
+def test_only_repeated_lines_are_shuffled_with_their_text(spark, monkeypatch):
+    plans, keep = {}, lines.stored
+    monkeypatch.setattr(lines, "stored", lambda frame, name: plans.setdefault(name, frame._jdf.queryExecution().toString()) and keep(frame, name))
+    said = [f"line{k % 30}x alone{k % 30} with{k % 30} words{k % 30}" if k < 50 else f"only{k} here{k}" for k in range(80)]
+    docs = spark.createDataFrame([(k, t) for k, t in enumerate(said)], "doc_id long, text string").repartition(3)
+    found = lines._occurrences(docs, "doc_id", "text")
+    got = lines._distinct(found, found.drop("normal")).collect()
+    want = Counter(said)
+    assert {r.normal: r.n for r in got} == want and len(got) == len(want) == len({r.line for r in got})
+    signed = lines._signed(found.select("h1", "h2", F.lit(1).cast("long").alias("n"), "normal")).collect()
+    blocks = {r.normal: (r.size, r.blocks) for r in signed}
+    assert all(blocks[r.normal] == (r.size, r.blocks) and r.blocks for r in got)
+    assert not re.search(r"hashpartitioning\(h1#\d+L, h2", plans["lines"]) and re.search(r"hashpartitioning\(h1#\d+L, h2", plans["lines-again"])
+
+
 def test_shared_ends_do_not_change_the_distance(spark):
     pick = np.random.default_rng(11)
     word = lambda n: "".join(pick.choice(list("abé日🙂"), n))
