@@ -34,7 +34,7 @@ gives an empty table; extra columns of any name pass through.
 
 from __future__ import annotations
 
-from functools import reduce
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -53,7 +53,9 @@ PLACES = tuple(sorted((k * 0x9E3779B97F4A7C15 + (1 << 63)) % (1 << 64) - (1 << 6
 SIMILARITY = 0.8
 MARKS = r"[^\p{L}\p{N}]+"
 HAS_WORD = r"[^\x20\x09-\x0D]"
-BANDS = (6, 2, 1)  # parts of the allowed edits that a pair is compared within, one after the other
+# Texts of some length are first compared in parts. By length from: characters of a part, of the anchor
+# looked for at its end, of how far off that may be, and of a part that is cut without one.
+PARTS = {2048: (32, 16, 1000, 2000), 256: (24, 8, 32, 192)}
 ENDS = tuple(1 << k for k in range(13, -1, -1))  # characters by which common ends are found; their sum is the longest
 
 
@@ -166,9 +168,46 @@ def _linked(pairs: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
     longest = F.greatest(F.length("text_a"), F.length("text_b"))
     most = F.floor((1 - similarity) * longest + 1e-9).cast("int")
     met = _stripped(met.where(F.abs(F.length("text_a") - F.length("text_b")) <= most).withColumn("most", most))
-    # Near copies are told by a narrow band of the table; only the others need the whole band.
-    within = [F.expr(f"levenshtein(text_a, text_b, most div {part})") >= 0 for part in BANDS]
-    return met.where(reduce(Column.__or__, within)).select("a", "b")
+    # Near copies of some length are told by their parts; only the others need the whole table.
+    x, y, near = F.col("text_a"), F.col("text_b"), F.lit(False)
+    for least, sizes in sorted(PARTS.items()):
+        near = F.when(F.least(F.length(x), F.length(y)) >= least, _in_parts(x, y, F.col("most"), *sizes) <= F.col("most")).otherwise(near)
+    return met.where(near | F.expr("levenshtein(text_a, text_b, most) >= 0")).select("a", "b")
+
+
+def _in_parts(x: Column, y: Column, most: Column, span: int, anchor: int, slip: int, long: int) -> Column:
+    """A number of edits that turn x into y, part by part: at least their distance.
+
+    Every `span` characters the next `anchor` characters of x are looked for in y, at most `slip` off from
+    where the last cut lets them be, and where they are there once both texts are cut. The distances of
+    the parts add up to an upper bound wherever the cuts lie. Counting ends above `most`.
+    """
+    starts = F.sequence(F.lit(1 + span), F.greatest(F.length(x) - anchor + 1, F.lit(1 + span)), F.lit(span))
+    part = lambda a, b: F.when(a == b, 0).otherwise(F.levenshtein(a, b))
+
+    def cut(so_far: Column, start: Column) -> Column:
+        length, sought = start - so_far["x"], x.substr(start, F.lit(anchor))
+        there = so_far["y"] + length
+        low = F.greatest(there - slip, so_far["y"])
+        anyway = F.when(length >= long, F.least(there, F.length(y) + 1))
+        edits = lambda at: so_far["edits"] + part(x.substr(so_far["x"], length), y.substr(so_far["y"], at - so_far["y"]))
+        moved = lambda at: F.when(at.isNull(), so_far).otherwise(F.struct(start.alias("x"), at.alias("y"), edits(at).alias("edits")))
+
+        def place(window: Column) -> Column:
+            again = lambda p: F.instr(window.substr(p + 1, F.length(window)), sought) > 0
+            return _once(F.instr(window, sought), lambda p: F.when((p > 0) & ~again(p), low + p - 1).otherwise(anyway))
+
+        found = _once(y.substr(low, there + slip + anchor - low), place)
+        return F.when(so_far["edits"] > most, so_far).otherwise(_once(found, moved))
+
+    rest = lambda t: F.when(t["edits"] > most, 0).otherwise(part(x.substr(t["x"], F.length(x)), y.substr(t["y"], F.length(y))))
+    first = F.struct(F.lit(1).alias("x"), F.lit(1).alias("y"), F.lit(0).alias("edits"))
+    return F.aggregate(starts, first, cut, lambda t: t["edits"] + rest(t))
+
+
+def _once(value: Column, use: Callable[[Column], Column]) -> Column:
+    """What `use` makes of a value that is computed once."""
+    return F.get(F.transform(F.array(value), use), 0)
 
 
 def _stripped(met: DataFrame) -> DataFrame:

@@ -208,6 +208,35 @@ def test_shared_ends_do_not_change_the_distance(spark):
     assert {r.a for r in lines._linked(pairs, texts, 0.8).collect()} == want and 0 < len(want) < 150
 
 
+def test_long_near_copies_are_told_by_their_parts(spark):
+    """The sum of the parts is never below the distance, is enough for near copies, and decides no pair wrongly."""
+    pick = np.random.default_rng(17)
+    word = lambda: "".join(pick.choice(list("abcdeé日"), pick.integers(1, 8)))
+    said, near = [], set()
+    for k in range(120):
+        line = [word() for _ in range(pick.integers(60, 140))]
+        share = (0.03, 0.08, 0.25, 0.4)[k % 4]
+        other = [word() if pick.random() < share else w for w in line]
+        said.append((" ".join(line), " ".join(other)))
+        near |= {k} if share < 0.1 else set()
+    runs = [word() for _ in range(90)]  # every word said often, one time more or less in the copy
+    said.append(tuple(" ".join(" ".join([w] * int(n + d)) for w, n, d in zip(runs, sizes, drift)) for sizes in [pick.integers(4, 9, 90)] for drift in (np.zeros(90), pick.integers(-1, 2, 90))))
+    near.add(120)
+    far = [distance(x, y) for x, y in said[:120]]
+    met = spark.createDataFrame([(k, x, y) for k, (x, y) in enumerate(said)], "a long, x string, y string")
+    most = F.floor(0.2 * F.greatest(F.length("x"), F.length("y")) + 1e-9).cast("int")
+    for least, sizes in lines.PARTS.items():
+        for allowed in (most, F.lit(1 << 20)):
+            got = {r.a: r for r in met.select("a", most.alias("most"), lines._in_parts(F.col("x"), F.col("y"), allowed, *sizes).alias("edits")).collect()}
+            assert all(got[k].edits >= n or got[k].edits > got[k].most for k, n in enumerate(far))
+        told = {k for k in near if got[k].edits <= got[k].most}
+        assert len(told - {120}) >= 0.9 * (len(near) - 1) and (least == 256 or 120 in told)
+    texts = spark.createDataFrame([(2 * k + j, t) for k, pair in enumerate(said) for j, t in enumerate(pair)], "line long, normal string")
+    pairs = spark.createDataFrame([(2 * k, 2 * k + 1) for k in range(121)], "a long, b long")
+    want = {2 * k for k, (x, y) in enumerate(said[:120]) if far[k] <= int(0.2 * max(len(x), len(y)) + 1e-9)} | {240}
+    assert {r.a for r in lines._linked(pairs, texts, 0.8).collect()} == want and 60 <= len(want) < 121
+
+
 def test_recall_of_fuzzy_lines(spark):
     """Lines with one word or character changed, told by edit similarity alone; also short and unspaced lines."""
     pick = np.random.default_rng(3)
