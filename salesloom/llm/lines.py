@@ -42,7 +42,7 @@ from pyspark.sql import functions as F
 from salesloom.llm.columns import packed, settled, unpacked
 from salesloom.llm.groups import connected
 from salesloom.llm.sieve import marked, sifted
-from salesloom.session import stored
+from salesloom.session import noted, remove, stored
 
 PAIRS_FROM = 8  # words from which pairs of words are features
 RUNS_BELOW = 12  # words below which runs of characters are features
@@ -110,12 +110,11 @@ def _signed(lines: DataFrame) -> DataFrame:
     runs = F.transform(starts, lambda k: F.xxhash64(F.lit(1), F.col("normal").substr(k, F.col("long"))))
     n = F.when(F.col("n").isNotNull(), F.size("words"))
     split = settled(split.withColumn("long", long), "h1", "h2", "n", "normal", pairs=F.when(n >= PAIRS_FROM, pairs), runs=F.when(n < RUNS_BELOW, runs))
-    none = F.array().cast("array<bigint>")
-    for c in ("pairs", "runs"):
-        ring = F.sort_array(F.array_distinct(c))
-        columns = [x for x in split.columns if x != c]
-        split = settled(split, *columns, ring=ring, all=F.sort_array(F.concat(ring, _places())))
-        split = settled(split, *columns, **{c: F.when(F.col("ring").isNotNull(), _blocks("ring", "all")).otherwise(none)})
+    kept, both, none = ("h1", "h2", "n", "normal"), ("pairs", "runs"), F.array().cast("array<bigint>")
+    split = settled(split, *kept, **{c: F.sort_array(F.array_distinct(c)) for c in both})
+    among = {f"{c} and places": F.sort_array(F.concat(c, _places())) for c in both}
+    split = settled(split, *kept, **{c: _around(c) for c in both}, **among)
+    split = settled(split, *kept, **{c: F.when(F.col(c).isNotNull(), _blocks(c, f"{c} and places")).otherwise(none) for c in both})
     return settled(split, "h1", "h2", "n", "normal", size=F.length("normal"), blocks=F.array_distinct(F.concat("pairs", "runs")))
 
 
@@ -123,14 +122,19 @@ def _places() -> Column:
     return F.array(*[F.lit(c) for c in PLACES])
 
 
+def _around(ring: str) -> Column:
+    """The sorted `ring` and its first features again, so that each vote is one look-up; null for null."""
+    few = F.when(F.size(ring) < VOTES, F.concat(*[ring] * VOTES)).otherwise(F.col(ring))
+    return F.concat(ring, F.slice(few, 1, VOTES))
+
+
 def _blocks(ring: str, among: str) -> Column:
-    """For each place the SimHash of the next features of the sorted `ring`, which starts again after its end.
+    """For each place the SimHash of the next features of a `ring` that has been led `_around`.
 
-    `among` holds ring and places, sorted: a place's position there, less that among the places, is one in the ring.
+    `among` holds the ring's features and places, sorted: a place's position there, less that among the places, is one in the ring.
     """
     firsts = F.transform(_places(), lambda c, k: F.array_position(among, c).cast("int") - k - 1)
-    vote = lambda p, k: F.get(ring, F.pmod(p + k, F.size(ring)))
-    return F.transform(firsts, lambda p: _majority(*[vote(p, k) for k in range(VOTES)]))
+    return F.transform(firsts, lambda p: _majority(*[F.get(ring, p + k) for k in range(VOTES)]))
 
 
 def _majority(a: Column, b: Column, c: Column, d: Column) -> Column:
@@ -228,9 +232,11 @@ def _shared(x: Column, y: Column) -> Column:
 
 def line_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", similarity: float = SIMILARITY) -> DataFrame:
     """Every line with a word: id, body, place, h1, h2, group, kept."""
-    found = _occurrences(docs, doc_id, text)
+    with noted() as written:  # so that lines are normalised once; the text goes when they are signed, which write it again
+        found = stored(_occurrences(docs, doc_id, text), "line-texts")
     places = stored(found.drop("normal"), "line-occurrences")
     lines = _distinct(found, places)
+    remove(docs.sparkSession, written)
     pairs, crowds = _candidates(lines, similarity)
     pairs = stored(pairs, "line-pairs")
     links = stored(_linked(pairs, lines, similarity), "line-links")

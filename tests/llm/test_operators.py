@@ -3,6 +3,7 @@
 import hashlib
 import itertools
 import json
+import os
 import re
 from collections import Counter
 
@@ -172,6 +173,39 @@ def test_crowded_buckets_lose_no_link(spark):
     assert got == {k: root(k) == k for k in range(60)} and 1 < sum(got.values()) < 60
 
 
+def test_lines_are_normalised_once(spark, monkeypatch):
+    """What signs the lines reads them normalised, and that copy of the text does not stay in scratch."""
+    plans, places, keep = {}, {}, lines.stored
+
+    def watched(frame, name):
+        plans[name] = frame._jdf.queryExecution().toString()
+        out = keep(frame, name)
+        places.setdefault(name, out.inputFiles())
+        return out
+
+    monkeypatch.setattr(lines, "stored", watched)
+    said = [(k, f"Line {k % 3}, said  more than once!\n...\nOnly {k}: one", "x") for k in range(9)]
+    got = lines.line_groups(spark.createDataFrame(said, "doc_id long, text string, other string")).collect()
+    assert len(got) == 27 and sum(r.kept for r in got if r.place == 1) == 1
+    assert [name for name, plan in plans.items() if "regexp_replace" in plan] == ["line-texts"]
+    assert places["line-texts"] and not any(os.path.exists(f.removeprefix("file:")) for f in places["line-texts"])
+    assert all(os.path.exists(f.removeprefix("file:")) for f in places["line-occurrences"])
+
+
+def test_blocks_by_brute_force(spark):
+    """Rings of fewer features than votes too: votes go round the ring as often as needed."""
+    pick = np.random.default_rng(5)
+    rings = [sorted({int(x) for x in pick.integers(-(1 << 63), (1 << 63) - 1, n)}) for n in (*range(1, 10), 40, 200)]
+    rows = spark.createDataFrame([(r,) for r in rings], "ring array<long>")
+    rows = rows.select("ring", F.sort_array(F.concat("ring", lines._places())).alias("all"), lines._around("ring").alias("around"))
+    for r in rows.select("ring", lines._blocks("around", "all").alias("blocks")).collect():
+        for place, block in zip(lines.PLACES, r.blocks, strict=True):
+            first = sum(x < place for x in r.ring)
+            votes = [r.ring[(first + k) % len(r.ring)] % (1 << 64) for k in range(lines.VOTES)]
+            want = sum((sum(v >> bit & 1 for v in votes) > lines.VOTES / 2) << bit for bit in range(64))
+            assert block % (1 << 64) == want
+
+
 def test_only_repeated_lines_are_shuffled_with_their_text(spark, monkeypatch):
     plans, keep = {}, lines.stored
     monkeypatch.setattr(lines, "stored", lambda frame, name: plans.setdefault(name, frame._jdf.queryExecution().toString()) and keep(frame, name))
